@@ -1,0 +1,38 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from proseloom.llm._tables import written
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``node, root`` for every node of ``edges`` (``u, v``, longs): root is the smallest node of its component.
+
+    Each round links every node to the smallest node around it, so the number of rounds grows
+    with the logarithm of the longest chain. Only a count and a checksum come to the driver.
+    """
+    edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state = _state(edges)
+    for _ in range(most_rounds):
+        if not state[0]:
+            break
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        edges = written(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, state = state, _state(edges)
+        if state == before:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
