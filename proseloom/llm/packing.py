@@ -24,22 +24,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseloom.llm._tables import texts, written
+from proseloom.llm._words import NOT_SPACE, Words, slices, utf8
 
 WINDOW, UNIT, END = 2048, 64, 1
 #: Queues at most: sources beyond share a queue with others, by hash.
 MOST_QUEUES = 64
-#: Documents of one block of a queue, about; words whose ids a Python worker remembers at most.
-BLOCK_ROWS, MOST_WORDS = 2048, 400_000
+#: Documents of one block of a queue, about; words' parts whose ids a Python worker remembers at most.
+BLOCK_ROWS, MOST_WORDS = 2048, 2_000_000
 _RESTS = [1 << b for b in reversed(range(UNIT.bit_length() - 1))]
 
-_known: dict[str, tuple] = {}
+_known: dict[str, Ids] = {}
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` from each start, one after the other."""
+    ends = np.cumsum(length)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + length, length)]
+
+
+#: Symbols that the tokenizer cuts off an ASCII letter or digit before them.
+_SYMBOLS = np.zeros(256, bool)
+_SYMBOLS[list(b",.;:!?&%*$#|")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+
+
+def _parts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words' parts in turn, and each row's first part: symbols at a word's end are a part where the tokenizer cuts."""
+    end = words.ends.copy()
+    while True:
+        drop = _SYMBOLS[words.data[end - 1]] & (end - 1 > words.starts)
+        if not drop.any():
+            break
+        end -= drop
+    cut = (end < words.ends) & _ALNUM[words.data[end - 1]]
+    n = 1 + cut
+    at = np.cumsum(n) - n
+    starts, ends = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
+    starts[at], ends[at] = words.starts, np.where(cut, end, words.ends)
+    starts[at[cut] + 1], ends[at[cut] + 1] = end[cut], words.ends[cut]
+    return starts, ends, np.append(at, len(starts))[words.first]
 
 
 class Ids:
-    """Token ids of whole texts, with the ids of words seen before remembered.
+    """Token ids of whole texts, with the ids of words' parts seen before remembered by their 64-bit hashes.
 
-    The tokenizer normalises, splits and merges within white-space-separated words only, so a
-    text's ids are those of its words in turn.
+    The tokenizer lower-cases, splits and merges within white-space-separated words only, and
+    cuts a word where symbols follow a letter, so a text's ids are those of its parts in turn.
+    Texts that may spell a special token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,53 +81,63 @@ class Ids:
         self._clear()
 
     def _clear(self) -> None:
-        self.word: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint16)
-        self.start = np.zeros(1 << 18, np.int64)
-        self.start_list_end = 0
-        self.length = np.zeros(1 << 18, np.int64)
+        self.hashes, self.start, self.length, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     @staticmethod
     def of(path: str) -> Ids:
         if path not in _known:
-            _known[path] = (Ids(path),)
-        return _known[path][0]
-
-    def _learn(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            found = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in part]
-            for w, ids in zip(part, found, strict=True):
-                k, at, n = len(self.word), self.start_list_end, len(ids)
-                while at + n > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-                if k == len(self.start):
-                    self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
-                self.flat[at : at + n] = ids
-                self.start[k], self.length[k] = at, n
-                self.start_list_end = at + n
-                self.word[w] = k
-
-    def __call__(self, many: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text (UTF-8), as 32-bit little-endian integers, the end id last."""
-        split = [t.split() for t in many]
-        if len(self.word) > MOST_WORDS:
+            _known[path] = Ids(path)
+        return _known[path]
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, encoded as one text, and how many each has."""
+        text = [w.decode() for w in words]
+        size = np.fromiter(map(len, text), np.int64, len(text))
+        encoded = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+        at = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded))
+        own = np.searchsorted(np.cumsum(size + 1) - size - 1, at, "right") - 1
+        return np.array(encoded.ids, np.uint16), np.bincount(own, minlength=len(words))
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        if len(self.hashes) > MOST_WORDS:
             self._clear()
-        get = self.word.get
-        new = {w for one in split for w in one if w not in self.word}
-        if new:
-            self._learn(list(new))
-        out = []
-        for one in split:
-            at = np.fromiter(map(get, one), np.int64, len(one))
-            n = self.length[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.empty(total + 1, "<u4")
-            ids[:-1] = self.flat[np.arange(total) + np.repeat(self.start[at] - ends + n, n)]
-            ids[-1] = END
-            out.append(ids)
-        return out
+        for lo in range(0, len(words), 20_000):
+            ids, length = self._encode(words[lo : lo + 20_000])
+            start = len(self.flat) + np.cumsum(length) - length
+            at = np.searchsorted(self.hashes, hashes[lo : lo + 20_000])
+            self.hashes, self.start, self.length = (np.insert(x, at, y) for x, y in ((self.hashes, hashes[lo : lo + 20_000]), (self.start, start), (self.length, length)))
+            self.flat = np.concatenate((self.flat, ids))
+
+    def _place(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, found), max(len(self.hashes) - 1, 0))
+        return at, self.hashes[at] == found if len(self.hashes) else np.zeros(len(found), bool)
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, as 32-bit little-endian integers, the end id last."""
+        data, offsets = utf8(column)
+        for lo, hi in slices(offsets):
+            words = Words(data, offsets[lo : hi + 1], NOT_SPACE, lower=True)
+            starts, ends, first = _parts(words)
+            distinct, where, own = np.unique(words.prefix().of(starts, ends), return_index=True, return_inverse=True)
+            at, known = self._place(distinct)
+            if not known.all():
+                new = where[~known]
+                spelled = [words.data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+                self._learn(distinct[~known], spelled)
+                at, known = self._place(distinct)
+                if not known.all():  # the store was emptied on the way
+                    gone = where[~known]
+                    self._learn(distinct[~known], [words.data[a:b].tobytes() for a, b in zip(starts[gone].tolist(), ends[gone].tolist(), strict=True)])
+                    at, _ = self._place(distinct)
+            length = self.length[at][own]
+            ids = _gathered(self.flat, self.start[at][own], length)
+            cuts = np.concatenate(([0], np.cumsum(length)))[first].tolist()
+            for k in range(hi - lo):
+                text = data[offsets[lo + k] : offsets[lo + k + 1]].tobytes()
+                part = ids[cuts[k] : cuts[k + 1]] if b"<|" not in text else np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+                one = np.empty(len(part) + 1, "<u4")
+                one[:-1], one[-1] = part, END
+                yield one
 
 
 def _tokenized(documents: DataFrame, path: str, source: str, queues: int, blocks: int) -> DataFrame:
@@ -104,10 +146,10 @@ def _tokenized(documents: DataFrame, path: str, source: str, queues: int, blocks
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids.of(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
                 tokens, crcs = [], []
-                for one in ids([t.encode() for t in part.column(1).to_pylist()]):
+                for one in ids(part.column(1)):
                     data, n = memoryview(one.tobytes()), len(one)
                     cuts = [*range(0, n - n % UNIT + 1, UNIT)]
                     for size in _RESTS:
