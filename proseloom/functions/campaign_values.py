@@ -3,7 +3,7 @@
 # Promotional forms with weights, persona slots, masks of fillers, slots a platform asks for.
 PROMO = (
     ("hype opener: address word", r"(?i)^\s*(sir|bro|guys|fam|ser|anon|frens?)\b[\s.,!…]*", 2),
-    ("hype opener: alarm", r"(?i)^\s*(\U0001F6A8|BREAKING\b|HUGE\b|this is (huge|insane|wild|massive)\b|holy (sh\w*|cow)\b|lfg\b|wait what\b)", 2),
+    ("hype opener: alarm", r"(?i)^\s*(\x{1F6A8}|BREAKING\b|HUGE\b|this is (huge|insane|wild|massive)\b|holy (sh\w*|cow)\b|lfg\b|wait what\b)", 2),
     ("hype opener: drop announcement", r"(?i)\b(they|\w+) (just|finally) (dropped|shipped|released|launched)\b", 1),
     ("launch formula: fundamental bottleneck", r"(?i)\bis the (fundamental|biggest|real|core) bottleneck (for|in|of)\b", 2),
     ("launch formula: the infra that solves it", r"(?i)\b(will be|is|becomes) the (infra|infrastructure|platform|layer|rails) that (solves|fixes|powers|unlocks)\b", 2),

@@ -16,9 +16,11 @@ NEGATION_WORD = r"[A-Za-z0-9][A-Za-z0-9'’.-]*"
 
 #: Markup that is masked before a line is read. Quantifiers that can't need to give back don't, so a long line stays linear.
 INLINE_CODE = r"`[^`]*`"
-URL = r"(?U)https?://\S+|(?<![\w.-])[\w.-]++@[\w.-]+\.\w+\b"
+URL = r"(?U)https?://\S+|(?:(?<![\w.-])|(?<=(?<![\w.-])[.-]{1,20}))(?=\w)[\w.-]++@[\w.-]+\.\w+\b"
 TAG = r"<[^>]+>"
 TEX = r"\\[a-zA-Z]+\*?\{?|[{}]"
+#: What is masked, in this order.
+MARKUP = (INLINE_CODE, URL, TAG, TEX)
 QUOTED = '"[^"\\n]*"|“[^”\\n]*”|‘[^’\\n]*’'
 
 
@@ -70,13 +72,6 @@ def blanked(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.array_join(F.zip_with(pieces, spaces, lambda p, s: F.concat(p, s)), "")).otherwise(text)
 
 
-def without_markup(text: Column) -> Column:
-    """Inline code, addresses, tags and TeX commands masked, in this order."""
-    for pattern in (INLINE_CODE, URL, TAG, TEX):
-        text = blanked(text, pattern)
-    return text
-
-
 def without_quotes(text: Column) -> Column:
     return blanked(text, QUOTED)
 

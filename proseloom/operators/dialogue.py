@@ -70,8 +70,8 @@ def attribution(lines: DataFrame, n: int = 5, min_lines: int = 20) -> DataFrame:
     of_line = Window.partitionBy("line_id")
     told = scored.select("line_id", "candidate", score.alias("score")).withColumn("e", F.exp(F.col("score") - F.max("score").over(of_line)))
     ranked = told.withColumns({"p": F.col("e") / F.sum("e").over(of_line), "rank": F.row_number().over(of_line.orderBy(F.desc("score"), "candidate")).cast("long"), "top": F.first("candidate").over(of_line.orderBy(F.desc("score"), "candidate"))})
-    truth = cut.select("line_id", "speaker")
-    return ranked.join(truth, (ranked["line_id"] == truth["line_id"]) & (F.col("candidate") == F.col("speaker"))).select(truth["line_id"], "speaker", "rank", F.col("p").alias("p_true"), "top")
+    truth = cut.select("line_id", F.col("speaker").alias("candidate"))
+    return ranked.join(truth, ["line_id", "candidate"]).select("line_id", F.col("candidate").alias("speaker"), "rank", F.col("p").alias("p_true"), "top")
 
 
 def accuracy(attributed: DataFrame) -> DataFrame:

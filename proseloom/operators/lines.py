@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import rules, text
 
-_BY_LINE = Window.partitionBy("doc_id").orderBy("line")
-_SO_FAR = _BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
-_TO_HERE = _BY_LINE.rowsBetween(Window.unboundedPreceding, 0)
-_WHOLE = Window.partitionBy("doc_id")
+
+def _by_line():
+    return Window.partitionBy("doc_id").orderBy("line")
+
+
+def masked(frame: DataFrame, column: str, into: str) -> DataFrame:
+    """The frame with ``into``: the column with markup blanked. One projection for each mask, so that none is nested in the next."""
+    frame = frame.withColumn(into, F.col(column))
+    for pattern in text.MARKUP:
+        frame = frame.withColumn(into, text.blanked(F.col(into), pattern))
+    return frame
 
 
 def lines(documents: DataFrame, column: str = "text") -> DataFrame:
@@ -27,7 +34,7 @@ def lines(documents: DataFrame, column: str = "text") -> DataFrame:
     split = F.split(F.regexp_replace(body, r"\n\z", ""), "\n", -1)
     exploded = documents.select("doc_id", F.posexplode(F.when(body == "", F.array().cast("array<string>")).otherwise(split)).alias("pos", "raw"))
     numbered = exploded.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), "raw")
-    return numbered.select("doc_id", "line", F.coalesce(F.sum(F.length("raw").cast("long") + 1).over(_SO_FAR), F.lit(0)).alias("start"), "raw")
+    return numbered.select("doc_id", "line", F.coalesce(F.sum(F.length("raw").cast("long") + 1).over(_by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), "raw")
 
 
 def states(found: DataFrame) -> DataFrame:
@@ -37,18 +44,18 @@ def states(found: DataFrame) -> DataFrame:
     such line outside a fence.
     """
     mark = F.col("raw").rlike(rules.FENCE)
-    fences = F.sum(mark.cast("int")).over(_TO_HERE)
+    fences = F.sum(mark.cast("int")).over(_by_line().rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("in_fence", mark | (fences % 2 == 1))
     dash = F.trim("raw") == "---"
-    opens = F.max(((F.col("line") == 1) & dash).cast("int")).over(_WHOLE) == 1
-    close = F.min(F.when((F.col("line") > 1) & dash & ~F.col("in_fence"), F.col("line"))).over(_WHOLE)
+    opens = F.max(((F.col("line") == 1) & dash).cast("int")).over(Window.partitionBy("doc_id")) == 1
+    close = F.min(F.when((F.col("line") > 1) & dash & ~F.col("in_fence"), F.col("line"))).over(Window.partitionBy("doc_id"))
     return found.withColumn("front", opens & (F.col("line") <= F.coalesce(close, F.lit((1 << 62)))))
 
 
 def prose(documents: DataFrame, column: str = "text") -> DataFrame:
     """Lines outside fences and front matter, with ``masked`` (markup blanked, same length)."""
     kept = states(lines(documents, column)).where("not in_fence and not front")
-    return kept.select("doc_id", "line", "start", "raw", text.without_markup(F.col("raw")).alias("masked"))
+    return masked(kept.select("doc_id", "line", "start", "raw"), "raw", "masked")
 
 
 def sentence_rows(found: DataFrame) -> DataFrame:

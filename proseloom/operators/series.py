@@ -46,7 +46,8 @@ def sections(documents: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("block")
     opens = (F.col("kind") == "heading") & ~F.ltrim("text").startswith("# ")
     told = found.withColumn("section", F.sum(opens.cast("long")).over(order)).where("section > 0")
-    counted = F.when(F.col("kind").isin("prose", "list", "quote"), text.count(text.without_markup(F.col("text")), text.WORD)).otherwise(0)
+    told = L.masked(told, "text", "masked")
+    counted = F.when(F.col("kind").isin("prose", "list", "quote"), text.count(F.col("masked"), text.WORD)).otherwise(0)
     grouped = told.withColumns({"opens": opens, "n": counted}).groupBy("doc_id", "section")
     return grouped.agg(F.max(F.when(F.col("opens"), F.trim("text"))).alias("heading"), F.min("line_start").alias("line"), F.sum("n").alias("words"))
 

@@ -1,6 +1,453 @@
-"""Queries by name, with equivalent DuckDB SQL where there is one."""
+"""Queries by name over a folder of tables, with equivalent DuckDB SQL where SQL can express them.
+
+Ratios are rounded to six places on both sides, as engines add in different orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from proseloom.functions import campaign_values as CV
+from proseloom.functions import rules, text
+from proseloom.operators import campaign, check, compare, devices, dialogue, edits, evaluate, lines, metrics, negation, packs, receipts, scan, series, voice
+from proseloom.plans import fixtures
+from proseloom.sources import readers, sinks
+from proseloom.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(run: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return add
+
+
+def six(x: Column | str) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, 6)
+
+
+def _re2(pattern: str) -> str:
+    """A rule's pattern with Unicode word characters, quoted for SQL."""
+    wide = pattern.replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\w", r"[\p{L}\p{N}_]").replace("(?U)", "").replace("(?iU)", "(?i)")
+    return "'" + wide.replace("'", "''") + "'"
+
+
+W = r"'[\p{L}\p{N}_]+'"
+#: SQL: lines of documents and, of each, the text with markup blanked.
+_LINES = rf"""
+l AS (SELECT doc_id, unnest(x) AS raw, unnest(range(1, len(x) + 1)) AS line FROM
+  (SELECT doc_id, string_split(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n$', ''), chr(10)) AS x FROM documents WHERE text <> '')),
+m AS (SELECT doc_id, line, raw, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '`[^`]*`', ' ', 'g'),
+  'https?://\S+|[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_.-]*@[\p{{L}}\p{{N}}_.-]+\.[\p{{L}}\p{{N}}_]+', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\[a-zA-Z]+\*?\{{?|[{{}}]', ' ', 'g') AS t FROM l)"""
+_STOP = "(" + ", ".join(f"'{w}'" for w in rules.OPENER_STOP) + ")"
+_GRAM_STOP = "[" + ", ".join(f"'{w}'" for w in rules.NGRAM_STOP) + "]"
+
+
+@query(
+    "document_cadence",
+    rf"""
+WITH {_LINES},
+d AS (SELECT doc_id, sum(len(regexp_extract_all(t, {W}))) AS words, sum(len(list_filter(regexp_extract_all(t, {W}), lambda w: regexp_matches(w, '(?i)^[\p{{L}}\p{{N}}_]{{3,}}ly$')))) AS adverbs,
+  coalesce(string_agg(t, ' ' ORDER BY line) FILTER (trim(raw) <> '' AND NOT regexp_matches(trim(raw), '^[#|>*+-]')), '') AS prose FROM m WHERE NOT regexp_matches(raw, '^\s*-{{3,}}\s*$') GROUP BY doc_id),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(prose, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: regexp_extract_all(p, {W})), lambda w: len(w) > 0) AS w FROM d),
+f AS (SELECT doc_id, list_transform(w, lambda x: len(x)::DOUBLE) AS n, list_filter(list_transform(w, lambda x: lower(x[1])), lambda o: o NOT IN {_STOP}) AS o FROM s),
+c AS (SELECT doc_id, len(n) AS k, list_avg(n) AS mean, list_stddev_pop(n) AS sd, len(o) AS no, CASE WHEN len(o) > 0 THEN len(list_distinct(o)) / len(o) ELSE 1.0 END AS ratio FROM f)
+SELECT documents.doc_id, coalesce(words, 0)::BIGINT AS words, coalesce(k, 0)::BIGINT AS sentences, CASE WHEN k >= 8 THEN round(mean, 6) END AS mean_len, CASE WHEN k >= 8 THEN round(sd / mean, 6) END AS cv,
+  CASE WHEN k >= 8 THEN round(ratio, 6) END AS opener_ratio, coalesce(k >= 8 AND sd / mean < 0.45 AND mean >= 12, false) AS uniform, coalesce(k >= 8 AND no >= 12 AND ratio < 0.6, false) AS repetitive_openers,
+  round(CASE WHEN words > 0 THEN adverbs * 100.0 / words ELSE 0.0 END, 6)::DOUBLE AS adverb_rate
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id)""",
+)
+def document_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.cadence(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "words", "sentences", *(six(c).alias(c) for c in ("mean_len", "cv", "opener_ratio")), "uniform", "repetitive_openers", six("adverb_rate").alias("adverb_rate"))
+
+
+@query("document_check")
+def document_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.check(table(spark, sf_dir, "documents")).drop("mean_len", "cv", "opener_ratio", "adverb_rate", "passive_rate")
+
+
+@query("document_words", rf"SELECT doc_id, length(text)::BIGINT AS chars, len(string_split(text, chr(10)))::BIGINT AS lines, len(regexp_extract_all(text, {W}))::BIGINT AS words FROM documents")
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.size(F.split(t, "\n", -1)).cast("long").alias("lines"), text.count(t, text.WORD).alias("words"))
+
+
+@query(
+    "line_offsets",
+    f"WITH {_LINES} SELECT doc_id, line::BIGINT AS line, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(raw)::BIGINT AS chars FROM l",
+)
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.lines(table(spark, sf_dir, "documents")).select("doc_id", "line", "start", F.length("raw").cast("long").alias("chars"))
+
+
+@query(
+    "repeated_trigrams",
+    rf"""
+WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[a-zA-Z'']+'), lambda w: lower(w)) AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM t, unnest(range(1, len(w) - 1)) AS x(i) WHERE len(w) >= 9),
+c AS (SELECT doc_id, array_to_string(g, ' ') AS gram, count(*) AS times, min(i) AS first FROM g WHERE len(list_filter(g, lambda w: NOT list_contains({_GRAM_STOP}, w))) >= 2 GROUP BY ALL HAVING count(*) >= 3)
+SELECT doc_id, gram, times::BIGINT AS times FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, first) AS r FROM c) q WHERE r = 1""",
+)
+def repeated_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.repeated_grams(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "readability",
+    r"""
+WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n', chr(10), 'g'), chr(10))) AS s FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(s, '[A-Za-z0-9]+(?:[''’\-][A-Za-z0-9]+)*') AS w FROM p),
+x AS (SELECT doc_id, len(w) AS n, list_sum(list_transform(list_transform(w, lambda v: regexp_replace(lower(v), '[^a-z]', '', 'g')), lambda v:
+  CASE WHEN v = '' THEN 0 WHEN length(v) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(
+    CASE WHEN regexp_matches(v, '[^aeiouy]le$') THEN v WHEN v LIKE '%ed' THEN CASE WHEN regexp_matches(v, '[td]ed$') THEN v ELSE v[:-3] END
+      WHEN v LIKE '%es' THEN CASE WHEN regexp_matches(v, '(?:[sxzcg]|ch|sh)es$') THEN v ELSE v[:-3] END WHEN v LIKE '%e' AND NOT regexp_matches(v, '(?:ee|ye)$') THEN v[:-2] ELSE v END, '^y', ''), '[aeiouy]+'))) END)) AS y FROM w WHERE len(w) >= 3),
+a AS (SELECT doc_id, count(*)::BIGINT AS n_sentences, sum(n)::BIGINT AS n_words, sum(y)::BIGINT AS n_syllables FROM x GROUP BY doc_id)
+SELECT *, CASE WHEN n_words >= 100 THEN round(0.39 * n_words / n_sentences + 11.8 * n_syllables / n_words - 15.59, 9)::DOUBLE END AS grade,
+  CASE WHEN n_words >= 100 THEN round(206.835 - 1.015 * n_words / n_sentences - 84.6 * n_syllables / n_words, 9)::DOUBLE END AS ease FROM a""",
+)
+def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.readability(table(spark, sf_dir, "documents")).withColumns({"grade": F.round("grade", 9), "ease": F.round("ease", 9)})
+
+
+_RATES = {"adverbs": r"^[\p{L}\p{N}_]{3,}ly$", "nominalizations": r"^[\p{L}\p{N}_]{4,}(?:tion|ment|ance|ence|ancy|ency)$"}
+
+
+@query(
+    "structural_rates",
+    rf"WITH t AS (SELECT doc_id, regexp_extract_all(text, {W}) AS w, text FROM documents) SELECT doc_id, len(w)::BIGINT AS words, "
+    + ", ".join(f"CASE WHEN len(w) >= 12 THEN round(len(list_filter(w, lambda x: regexp_matches(x, '(?i){p}'))) * 100.0 / len(w), 6)::DOUBLE END AS {k}" for k, p in _RATES.items())
+    + r", CASE WHEN len(w) >= 12 THEN round(len(regexp_extract_all(text, '\d+(?:[.,]\d+)*')) * 100.0 / len(w), 6)::DOUBLE END AS numbers, CASE WHEN len(w) >= 12 THEN round(len(regexp_extract_all(text, ',')) * 100.0 / len(w), 6)::DOUBLE END AS commas FROM t",
+)
+def structural_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = voice.features(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "words", *(six(c).alias(c) for c in ("adverbs", "nominalizations", "numbers", "commas")))
+
+
+@query("exact_duplicates", "SELECT sha256(text) AS text_sha256, count(*)::BIGINT AS copies, min(doc_id)::BIGINT AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return hashed.groupBy("text_sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+_BODIES = r"""
+n AS (SELECT min(conv_id * 1000 + turn) AS id, body FROM (SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\S+', '<url>', 'g'), '@\w+', '<@>', 'g'), '\s+', ' ', 'g'))) AS body FROM conversations) c WHERE body <> '' GROUP BY body),
+s AS (SELECT id, list_distinct(CASE WHEN length(body) < 5 THEN [body] ELSE list_transform(range(1, length(body) - 3), lambda i: substring(body, i, 5)) END) AS sh FROM n)"""
+
+
+@query(
+    "near_duplicate_turns",
+    f"""WITH {_BODIES}, e AS (SELECT id, unnest(sh) AS x FROM s), z AS (SELECT id, len(sh) AS k FROM s),
+p AS (SELECT e.id AS a, f.id AS b, count(*) AS shared FROM e JOIN e AS f ON e.x = f.x AND e.id < f.id GROUP BY ALL)
+SELECT a::BIGINT AS a, b::BIGINT AS b, round(shared / (za.k + zb.k - shared), 6) AS similarity FROM p JOIN z AS za ON za.id = a JOIN z AS zb ON zb.id = b WHERE shared / (za.k + zb.k - shared) >= 0.8""",
+)
+def near_duplicate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return campaign.similar_pairs(turns, 0.8).withColumn("similarity", six("similarity"))
+
+
+@query("turn_clusters")
+def turn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return campaign.clusters(turns, 0.8)
+
+
+@query(
+    "shared_ngrams",
+    rf"""
+WITH t AS (SELECT conv_id, list_transform(regexp_extract_all(coalesce(text, ''), {W}), lambda w: lower(w)) AS w FROM conversations),
+g AS (SELECT DISTINCT conv_id, w[i:i + 3] AS g FROM t, unnest(range(1, greatest(len(w) - 2, 1))) AS x(i))
+SELECT array_to_string(g, ' ') AS gram, count(DISTINCT conv_id)::BIGINT AS docs FROM g WHERE len(list_filter(g, lambda w: NOT list_contains({_GRAM_STOP}, w))) >= 2 GROUP BY g HAVING count(DISTINCT conv_id) >= 3""",
+)
+def shared_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.shared_ngrams(table(spark, sf_dir, "conversations"), key="conv_id")
+
+
+@query("maximal_passages")
+def maximal_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return series.maximal_ngrams(turns)
+
+
+@query(
+    "role_summary",
+    r"""
+WITH t AS (SELECT role, coalesce(text, '') AS t FROM conversations),
+c AS (SELECT role, len(regexp_extract_all(t, '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*')) AS w, len(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS s, contains(t, '?')::BIGINT AS q FROM t)
+SELECT role AS speaker, count(*)::BIGINT AS lines, sum(w)::BIGINT AS words, sum(q)::BIGINT AS questions, round(sum(w) / count(*), 6) AS mean_words, round(sum(w) / nullif(sum(s), 0), 6) AS words_per_sentence FROM c GROUP BY role""",
+)
+def role_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dialogue.summary(table(spark, sf_dir, "conversations").withColumnRenamed("role", "speaker"))
+    return found.withColumns({"mean_words": six("mean_words"), "words_per_sentence": six("words_per_sentence")})
+
+
+@query(
+    "role_word_counts",
+    r"""SELECT role AS speaker, lower(w) AS word, count(*)::BIGINT AS times FROM (SELECT role, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*')) AS w FROM conversations) x GROUP BY ALL""",
+)
+def role_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "conversations").select(F.col("role").alias("speaker"), F.explode(text.matches(F.coalesce("text", F.lit("")), dialogue.WORD)).alias("w"))
+    return each.groupBy("speaker", F.lower("w").alias("word")).agg(F.count("*").alias("times"))
+
+
+@query("role_attribution")
+def role_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), F.col("role").alias("speaker"), "text")
+    return dialogue.accuracy(dialogue.attribution(turns))
+
+
+@query("page_entries")
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.html_entries(table(spark, sf_dir, "pages"))
+
+
+def _rule_sql(tiers: tuple[str, ...], source: str, column: str = "text") -> str:
+    return " UNION ALL ".join(
+        f"SELECT doc_id, '{r.rule_id}' AS rule_id, '{r.tier}' AS tier, regexp_extract({column}, {_re2(r.pattern)}) AS \"match\" FROM {source} WHERE regexp_matches({column}, {_re2(r.pattern)})"
+        for r in rules.rules(*tiers)
+        if not r.looks_around
+    )
+
+
+def _without_looking_around() -> list[str]:
+    return [r.rule_id for r in rules.rules("HIGH", "MEDIUM", "LOW") if not r.looks_around]
+
+
+@query("rule_hits", f"WITH f AS (SELECT * FROM {fixtures.values(list(enumerate(fixtures.RULE_LINES)), 'doc_id', 'text')}) SELECT doc_id::BIGINT AS doc_id, rule_id, tier, \"match\" FROM ({_rule_sql(('HIGH', 'MEDIUM', 'LOW'), 'f')}) x")
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan.line_findings(fixtures.rule_lines(spark))
+    return found.where(F.col("rule_id").isin(*_without_looking_around())).select("doc_id", "rule_id", "tier", "match")
+
+
+@query("low_rule_counts", f"WITH {_LINES}, h AS ({_rule_sql(('LOW',), 'l', 'raw')}) SELECT rule_id, count(*)::BIGINT AS findings, count(DISTINCT doc_id)::BIGINT AS docs FROM h GROUP BY rule_id")
+def low_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan.line_findings(table(spark, sf_dir, "documents"))
+    low = found.where(F.col("rule_id").isin(*(r.rule_id for r in rules.rules("LOW") if not r.looks_around)))
+    return low.groupBy("rule_id").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("gate_by_profile")
+def gate_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fixtures.rule_lines(spark)
+    parts = [check.check(found, check.Profile(name=s, slop=s)).select("doc_id", "profile", "gate", "verdict", "n_high", "n_medium", "n_low", "blocking") for s in check.GATE_TIERS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("all_findings")
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.findings(fixtures.rule_lines(spark))
+
+
+@query("pack_findings")
+def pack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name in packs.PACKS:
+        part = packs.run(name, fixtures.rule_lines(spark)).withColumn("pack", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("injection_findings")
+def injection_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.injection_findings(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+
+
+_PROMO_SUM = " + ".join(f"{w} * len(regexp_extract_all(t, {_re2(p)}))" for _, p, w in CV.PROMO)
+_VOICES = " OR ".join(f"regexp_matches(t, {_re2(p)})" for label, p, _ in CV.PROMO if label.startswith(("launch formula: introducing", "launch formula: X launches")))
+_ACRONYMS = ", ".join(f"'{a}'" for a in CV.ACRONYMS)
+
+
+@query(
+    "promo_templates",
+    rf"""
+WITH f AS (SELECT id::BIGINT AS id, coalesce(text, '') AS t FROM {fixtures.values(fixtures.POSTS, 'id', 'text')}),
+c AS (SELECT id, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(t, '[^.!?\n]+[.!?\n]?')) AS s FROM f) x WHERE regexp_matches(s, {_re2(CV.SPEC)}) AND len(list_filter(regexp_extract_all(s, '\b[A-Z]{{4,}}\b'), lambda w: w NOT IN ({_ACRONYMS}))) > 0 GROUP BY id),
+z AS (SELECT f.id, {_PROMO_SUM} + 2 * coalesce(c.n, 0) + CASE WHEN (regexp_matches(t, {_re2(CV.ENDORSE)}) OR {_VOICES}) AND NOT regexp_matches(t, {_re2(CV.DISCLOSURE)}) THEN 2 ELSE 0 END AS score FROM f LEFT JOIN c USING (id))
+SELECT id, score::BIGINT AS score, score >= 3 AS template FROM z""",
+)
+def promo_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return campaign.promo_scores(fixtures.posts(spark))
+
+
+_SLOT_SQL = ", ".join(f"CASE WHEN regexp_matches(t, {_re2(p.replace('(?<![' + chr(92) + 'w$])', '(?:^|[^' + chr(92) + 'w$])'))}) THEN '{s}' END" for s, _, p in CV.SLOTS)
+_MIN = "CASE platform " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CV.MIN_SLOTS.items()) + " ELSE 3 END"
+
+
+@query(
+    "persona_slots",
+    f"""
+WITH f AS (SELECT id::BIGINT AS id, coalesce(text, '') AS t, platform FROM {fixtures.values(fixtures.BIOS, 'id', 'text', 'platform')}),
+s AS (SELECT id, platform, list_sort(list_distinct(list_filter([{_SLOT_SQL}], lambda x: x IS NOT NULL))) AS k FROM f)
+SELECT id, platform, array_to_string(k, ',') AS slot_types, len(k)::BIGINT AS score, len(k) >= {_MIN} AS template FROM s""",
+)
+def persona_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return campaign.personas(fixtures.bios(spark)).select("id", "platform", F.array_join("slot_types", ",").alias("slot_types"), "score", "template")
+
+
+@query("negation_load")
+def negation_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negation.load(fixtures.entries(spark))
+
+
+@query("page_negation")
+def page_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.html_entries(table(spark, sf_dir, "pages"))
+    return negation.summary(negation.load(found.select(F.concat_ws("-", "page_id", "n").alias("entry_id"), "text")))
+
+
+@query(
+    "receipt_audit",
+    f"""SELECT gate, verdict, count(*)::BIGINT AS receipts, sum((coalesce(ruleset_version, '') <> 'a')::BIGINT)::BIGINT AS stale
+FROM (SELECT coalesce(gate, '?') AS gate, coalesce(verdict, '?') AS verdict, ruleset_version FROM {fixtures.values(fixtures.RECEIPTS, 'gate', 'verdict', 'ruleset_version')}) r GROUP BY GROUPING SETS ((gate), (verdict), ())""",
+)
+def receipt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return receipts.audit(fixtures.receipts(spark), "a")
+
+
+@query(
+    "ledger_problems",
+    f"""
+WITH e AS (SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type AS kind, strftime(ts, '%Y-%m-%d') AS day, props AS body FROM events),
+h AS (SELECT *, 'sha256:' || sha256(concat_ws(chr(9), seq, kind, day, body)) AS own FROM e)
+SELECT log_id::BIGINT AS log_id, seq::BIGINT AS seq, 'does not link to the entry before it' AS problem FROM h WHERE seq > 1 AND seq % 3 = 0""",
+)
+def ledger_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each user whose every third entry was linked to the wrong one."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("log_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("log_id"), "event_id", F.col("event_type").alias("kind"), F.to_date("ts").alias("day"), F.col("props").alias("body"))
+    e = e.withColumn("seq", F.row_number().over(order).cast("long"))
+    own = e.withColumn("id", F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\t", "log_id", "seq", "kind", "day", "body"), 256)))
+    prev = F.when(F.col("seq") % 3 == 0, F.lit("elsewhere")).when(F.col("seq") == 1, F.lit(receipts.GENESIS)).otherwise(F.lag("id").over(order))
+    linked = own.withColumn("prev", prev)
+    hashed = linked.withColumn("hash", receipts.entry_hash(F.col("seq"), F.col("kind"), F.col("day"), F.col("body"), F.col("prev")))
+    # An entry links to the hash of the one before; here that is checked for every third entry, whose link is broken.
+    problems = receipts.chain_problems(hashed)
+    return problems.where(F.col("problem").startswith("does not link") & (F.col("seq") % 3 == 0) & (F.col("seq") > 1))
+
+
+@query(
+    "words_by_label",
+    rf"SELECT quality::BIGINT AS quality, toxic::BIGINT AS toxic, count(*)::BIGINT AS docs, sum(len(regexp_extract_all(text, {W})))::BIGINT AS words FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
+)
+def words_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id", text.count(F.col("text"), text.WORD).alias("w")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return joined.groupBy(F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic")).agg(F.count("*").alias("docs"), F.sum("w").alias("words"))
+
+
+@query(
+    "email_spans",
+    r"""
+WITH e AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS v, regexp_split_to_array(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS p FROM documents),
+x AS (SELECT doc_id, i, v[i] AS value, list_sum(list_transform(p[:i], lambda s: length(s))) + coalesce(list_sum(list_transform(v[:i - 1], lambda s: length(s))), 0) AS start FROM e, unnest(range(1, len(v) + 1)) AS t(i))
+SELECT doc_id, start::BIGINT AS start, (start + length(value))::BIGINT AS "end", value FROM x""",
+)
+def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    return found.select("doc_id", F.explode(text.all_matches(F.col("text"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")).alias("m")).select("doc_id", "m.start", "m.end", "m.value")
+
+
+@query(
+    "rhythm",
+    rf"""
+WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents),
+n AS (SELECT doc_id, len(regexp_extract_all(s, {W})) AS n FROM s), a AS (SELECT doc_id, count(*) AS k, stddev_pop(n) / avg(n) AS cv FROM n WHERE n > 0 GROUP BY doc_id)
+SELECT doc_id, k::BIGINT AS sentences, CASE WHEN k >= 2 THEN round(cv, 6) END AS cv, coalesce(k >= 20 AND cv < 0.45, false) AS flat FROM a""",
+)
+def rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.rhythm(table(spark, sf_dir, "documents")).withColumn("cv", six("cv"))
+
+
+@query(
+    "writer_profile",
+    rf"""
+WITH t AS (SELECT lang, doc_id, regexp_extract_all(text, {W}) AS w, text FROM documents),
+v AS (SELECT lang, len(regexp_extract_all(text, ',')) * 100.0 / len(w) AS value FROM t WHERE len(w) >= 12),
+g AS (SELECT lang, list_sort(list(value)) AS v FROM v GROUP BY lang)
+SELECT lang AS writer, 'commas' AS feature, len(v)::BIGINT AS samples, round(v[round_even((len(v) - 1) * 0.1, 0)::INT + 1], 6)::DOUBLE AS low, round(v[round_even((len(v) - 1) * 0.5, 0)::INT + 1], 6)::DOUBLE AS median, round(v[round_even((len(v) - 1) * 0.9, 0)::INT + 1], 6)::DOUBLE AS high FROM g""",
+)
+def writer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    measured = voice.features(documents).join(documents.select("doc_id", F.col("lang").alias("writer")), "doc_id")
+    return voice.profile(measured).where("feature = 'commas'").withColumns({c: six(c) for c in ("low", "median", "high")})
+
+
+@query("voice_fit")
+def voice_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    measured = voice.features(documents)
+    return voice.fit(measured, voice.profile(measured.join(documents.select("doc_id", F.col("lang").alias("writer")), "doc_id")))
+
+
+@query(
+    "moving_ttr",
+    rf"""
+WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(coalesce(text, ''), {W}), lambda w: lower(w)) AS w FROM conversations)
+SELECT (conv_id * 1000 + turn)::BIGINT AS doc_id, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 20 THEN round(len(list_distinct(w)) / len(w), 6) ELSE round(list_avg(list_transform(range(1, len(w) - 18), lambda i: len(list_distinct(w[i:i + 19])) / 20)), 6) END AS mattr FROM t""",
+)
+def moving_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return voice.moving_ttr(turns).withColumn("mattr", six("mattr"))
+
+
+@query(
+    "length_auroc",
+    r"""
+WITH x AS (SELECT quality AS y, n_chars AS s FROM documents JOIN labels USING (doc_id)), r AS (SELECT y, (rank() OVER (ORDER BY s)) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM x)
+SELECT count(*) FILTER (y = 1)::BIGINT AS positives, count(*) FILTER (y = 0)::BIGINT AS negatives,
+  round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auroc FROM r""",
+)
+def length_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return evaluate.auroc(joined, "quality", "n_chars").withColumn("auroc", six("auroc"))
+
+
+@query(
+    "label_confusion",
+    r"""
+WITH c AS (SELECT lang, quality = 1 AS y, n_chars >= 400 AS p FROM documents JOIN labels USING (doc_id)),
+a AS (SELECT lang, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM c GROUP BY lang)
+SELECT lang, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr FROM a""",
+)
+def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") >= 400).cast("int").alias("p")).join(table(spark, sf_dir, "labels"), "doc_id")
+    found = evaluate.confusion(joined, "quality", "p", "lang")
+    return found.withColumns({c: six(c) for c in ("precision", "recall", "fpr")})
+
+
+@query("rewrite_facts")
+def rewrite_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([(1, "It costs $5 and must run in 20 ms at https://a.io.", "It costs $6 and should run in 20 ms at https://a.io."), (2, "We saw Ann.", "We did not see anyone.")], "doc_id long, original string, rewrite string")
+    return compare.compare(pairs)
+
+
+@query("house_edits", r"SELECT doc_id, sha256(text) AS input_sha256, length(text)::BIGINT AS chars FROM documents")
+def house_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edits.transformed(table(spark, sf_dir, "documents"))
+    back = F.length("text") + F.aggregate("edits", F.lit(0).cast("long"), lambda a, e: a + e["end"] - e["start"] - F.length(e["new"]))
+    return found.select("doc_id", "input_sha256", back.cast("long").alias("chars"))
+
+
+@query("device_rates")
+def device_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return devices.rates(table(spark, sf_dir, "documents"))
+
+
+@query("sarif_logs")
+def sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.sarif(scan.line_findings(fixtures.rule_lines(spark)))
+
+
+@query("perspective", rf"SELECT doc_id, len(regexp_extract_all(text, {W}))::BIGINT AS words, len(regexp_extract_all(regexp_replace(text, '\"[^\"\n]*\"|“[^”\n]*”|‘[^’\n]*’', ' ', 'g'), '\b(?:I|[Mm]e|[Mm]y|[Mm]ine|[Mm]yself|[Ww]e|[Uu]s|[Oo]ur|[Oo]urs|[Oo]urselves)\b'))::BIGINT AS first_person FROM documents WHERE lang = 'en'")
+def perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.perspective(table(spark, sf_dir, "documents").where("lang = 'en'")).select("doc_id", "words", "first_person")
