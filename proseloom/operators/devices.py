@@ -18,33 +18,32 @@ def _sentences(documents: DataFrame) -> DataFrame:
     return rows.withColumn("w", F.transform(text.words(F.col("sentence")), lambda w: F.lower(w)))
 
 
-def _row(frame: DataFrame, device: str, detail) -> DataFrame:
-    return frame.select("doc_id", "line", F.lit(device).alias("device"), detail.cast("string").alias("detail"), "sentence")
-
-
 def read(documents: DataFrame) -> DataFrame:
-    """All devices found: anaphora, epistrophe, anadiplosis, epizeuxis, polysyndeton, asyndeton, tricolon, alliteration, isocolon."""
+    """All devices found, in one pass over the sentences: anaphora, epistrophe, anadiplosis, epizeuxis, polysyndeton, asyndeton, tricolon, alliteration, isocolon."""
     s = _sentences(documents)
-    w = F.col("w")
-    pair = s.select("*", *(F.lag(c).over(_order()).alias(f"last_{c}") for c in ("w", "words")))
-    first, last, before_first, before_last = F.element_at(w, 1), F.element_at(w, -1), F.element_at("last_w", 1), F.element_at("last_w", -1)
-    content = lambda x: ~x.isin(*rules.OPENER_STOP) & (F.length(x) >= 3)
-    known = F.col("last_w").isNotNull()
-    out = _row(pair.where(known & (first == before_first) & content(first)), "anaphora", first)
-    out = out.unionByName(_row(pair.where(known & (last == before_last) & content(last)), "epistrophe", last))
-    out = out.unionByName(_row(pair.where(known & (first == before_last) & content(first)), "anadiplosis", first))
-    doubled = F.filter(text.grams(w, 2), lambda g: (F.element_at(g, 1) == F.element_at(g, 2)) & (F.length(F.element_at(g, 1)) >= 3))
-    twice = s.withColumn("d", doubled).where(F.size("d") > 0)
-    out = out.unionByName(_row(twice, "epizeuxis", F.element_at(F.element_at("d", 1), 1)))
-    ands = F.size(F.filter(w, lambda x: x.isin("and", "or", "nor")))
-    out = out.unionByName(_row(s.where((ands >= 3) & ~F.col("sentence").contains(",")), "polysyndeton", ands))
-    out = out.unionByName(_row(s.where(F.col("sentence").rlike(r"(?U)\b\w+,\s\w+,\s\w+[.!?]?$") & (ands == 0)), "asyndeton", F.lit("list without a conjunction")))
-    out = out.unionByName(_row(s.where(F.col("sentence").rlike(r"(?U)\b\w+,\s+\w+,?\s+and\s+\w+\b")), "tricolon", F.regexp_extract("sentence", r"(?U)\b\w+,\s+\w+,?\s+and\s+\w+\b", 0)))
+    w, sentence = F.col("w"), F.col("sentence")
     sounds = F.transform(F.filter(w, lambda x: (F.length(x) >= 3) & ~x.isin(*rules.NGRAM_STOP)), lambda x: F.substring(x, 1, 1))
-    run = F.exists(text.grams(sounds, 3), lambda g: (F.size(F.array_distinct(g)) == 1) & F.element_at(g, 1).rlike("[b-df-hj-np-tv-z]"))
-    out = out.unionByName(_row(s.where(run), "alliteration", F.lit("three content words begin alike")))
-    even = pair.where(known & (F.col("words") == F.col("last_words")) & (F.col("words") >= 4) & (F.size(F.array_intersect("w", "last_w")) >= 2))
-    return out.unionByName(_row(even, "isocolon", F.col("words")))
+    s = s.withColumns({"first": F.element_at(w, 1), "last": F.element_at(w, -1), "pairs": text.grams(w, 2), "ands": F.size(F.filter(w, lambda x: x.isin("and", "or", "nor"))), "sounds": sounds})
+    s = s.withColumns({f"last_{c}": F.lag(c).over(_order()) for c in ("w", "words", "first", "last")})
+    s = s.withColumn("doubled", F.filter("pairs", lambda g: (F.element_at(g, 1) == F.element_at(g, 2)) & (F.length(F.element_at(g, 1)) >= 3)))
+    content = lambda x: ~F.col(x).isin(*rules.OPENER_STOP) & (F.length(x) >= 3)
+    same = lambda a, b: F.col(a) == F.col(b)
+    alike = F.exists(text.grams(F.col("sounds"), 3), lambda g: (F.size(F.array_distinct(g)) == 1) & F.element_at(g, 1).rlike("[b-df-hj-np-tv-z]"))
+    triple = r"(?U)\b\w+,\s+\w+,?\s+and\s+\w+\b"
+    says = lambda name, when, detail: F.when(when, F.struct(F.lit(name).alias("device"), detail.cast("string").alias("detail")))
+    found = F.array(
+        says("anaphora", same("first", "last_first") & content("first"), F.col("first")),
+        says("epistrophe", same("last", "last_last") & content("last"), F.col("last")),
+        says("anadiplosis", same("first", "last_last") & content("first"), F.col("first")),
+        says("epizeuxis", F.size("doubled") > 0, F.element_at(F.try_element_at("doubled", F.lit(1)), 1)),
+        says("polysyndeton", (F.col("ands") >= 3) & ~sentence.contains(","), F.col("ands")),
+        says("asyndeton", (F.col("ands") == 0) & sentence.rlike(r"(?U)\b\w+,\s\w+,\s\w+[.!?]?$"), F.lit("list without a conjunction")),
+        says("tricolon", sentence.rlike(triple), F.regexp_extract(sentence, triple, 0)),
+        says("alliteration", alike, F.lit("three content words begin alike")),
+        says("isocolon", same("words", "last_words") & (F.col("words") >= 4) & (F.size(F.array_intersect("w", "last_w")) >= 2), F.col("words")),
+    )
+    rows = s.select("doc_id", "line", "sentence", F.explode(F.array_compact(found)).alias("d"))
+    return rows.select("doc_id", "line", "d.device", "d.detail", "sentence")
 
 
 def rates(documents: DataFrame) -> DataFrame:

@@ -17,11 +17,15 @@ def _by_line():
 
 
 def masked(frame: DataFrame, column: str, into: str) -> DataFrame:
-    """The frame with ``into``: the column with markup blanked. One projection for each mask, so that none is nested in the next."""
+    """The frame with ``into``: the column with markup blanked.
+
+    One projection for each mask, so that none is nested in the next; the generator at the end
+    keeps later filters from being pushed through them, which would repeat the masks in each.
+    """
     frame = frame.withColumn(into, F.col(column))
     for pattern in text.MARKUP:
         frame = frame.withColumn(into, text.blanked(F.col(into), pattern))
-    return frame
+    return frame.select(*(c for c in frame.columns if c != into), F.explode(F.array(into)).alias(into))
 
 
 def lines(documents: DataFrame, column: str = "text") -> DataFrame:

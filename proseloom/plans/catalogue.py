@@ -41,6 +41,7 @@ def _re2(pattern: str) -> str:
     return "'" + wide.replace("'", "''") + "'"
 
 
+WORD_CLASS = r"\p{L}\p{N}_"
 W = r"'[\p{L}\p{N}_]+'"
 #: SQL: lines of documents and, of each, the text with markup blanked.
 _LINES = rf"""
@@ -278,7 +279,7 @@ def promo_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaign.promo_scores(fixtures.posts(spark))
 
 
-_SLOT_SQL = ", ".join(f"CASE WHEN regexp_matches(t, {_re2(p.replace('(?<![' + chr(92) + 'w$])', '(?:^|[^' + chr(92) + 'w$])'))}) THEN '{s}' END" for s, _, p in CV.SLOTS)
+_SLOT_SQL = ", ".join(f"CASE WHEN regexp_matches(t, {_re2(p).replace('(?<![' + WORD_CLASS + '$])', '(?:^|[^' + WORD_CLASS + '$])')}) THEN '{s}' END" for s, _, p in CV.SLOTS)
 _MIN = "CASE platform " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CV.MIN_SLOTS.items()) + " ELSE 3 END"
 
 
