@@ -6,16 +6,21 @@ import numpy as np
 
 
 class Rows:
-    """A sparse design matrix: row ``row[k]`` has ``value[k]`` at ``column[k]``."""
+    """A sparse design matrix: row ``row[k]`` has ``value[k]`` (None: 1) at ``column[k]``."""
 
-    def __init__(self, n: int, row: np.ndarray, column: np.ndarray, value: np.ndarray):
+    def __init__(self, n: int, row: np.ndarray, column: np.ndarray, value: np.ndarray | None = None):
         self.n, self.row, self.column, self.value = n, row, column, value
 
+    def _valued(self, x: np.ndarray) -> np.ndarray:
+        if self.value is not None:
+            x *= self.value
+        return x
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.column], self.n)
+        return np.bincount(self.row, self._valued(weights[self.column]), self.n)
 
     def back(self, residual: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.column, self.value * residual[self.row], width)
+        return np.bincount(self.column, self._valued(residual[self.row]), width)
 
     def norm(self, width: int, rounds: int = 12) -> float:
         """The largest eigenvalue of its Gram matrix, by power iteration from a fixed start."""
@@ -57,8 +62,8 @@ def fit(rows: Rows, target: np.ndarray, width: int, l1: float, swapped: Rows | N
     return w, bias
 
 
-def compact(columns: np.ndarray, rows: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The columns (sorted) seen in at least ``least`` rows, at most the ``most`` most frequent; (row, column) pairs are distinct."""
+def compact(columns: np.ndarray, least: float, most: int) -> np.ndarray:
+    """The columns (sorted) seen at least ``least`` times, at most the ``most`` most frequent."""
     found, n = np.unique(columns, return_counts=True)
     found, n = found[n >= least], n[n >= least]
     if len(found) > most:
@@ -73,3 +78,16 @@ def chosen(columns: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(len(columns), np.int64), np.zeros(len(columns), bool)
     at = np.minimum(np.searchsorted(among, columns), len(among) - 1)
     return at, among[at] == columns
+
+
+def design(counts: np.ndarray, columns: np.ndarray, among: np.ndarray, values: np.ndarray | None = None, step: int = 1 << 20) -> Rows:
+    """Rows of ``counts[i]`` columns each, cut to those in ``among``; a stretch at a time, so that little besides the result is held."""
+    ends = np.cumsum(counts)
+    parts = []
+    for lo in range(0, len(columns), step):
+        at, there = chosen(columns[lo : lo + step], among)
+        place = np.flatnonzero(there)
+        parts.append((np.searchsorted(ends, place + lo, "right"), at[place], values[lo : lo + step][place] if values is not None else None))
+    none = np.zeros(0, np.int64)
+    row, column = (np.concatenate([none, *(p[k] for p in parts)]) for k in range(2))
+    return Rows(len(counts), row, column, np.concatenate([np.zeros(0), *(p[2] for p in parts)]) if values is not None else None)

@@ -1,43 +1,13 @@
-"""Reading, writing and naming helpers shared by the training-data operators."""
+"""Documents as the training-data operators read them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.sources.tables import table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` under ``sf_dir`` (any path Spark can open)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where neither the setting nor a checkpoint folder exists (tests, a local shell)
-    a temporary folder is made and set for this session.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="proseloom-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``frame`` to the shared folder and reads it back.
-
-    A lost executor then costs a re-read of a file and not of the plan before it, and
-    Spark knows the true size of what was written when it plans the next join.
-    """
-    spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/proseloom/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+__all__ = ["table", "texts", "written"]
 
 
 def texts(documents: DataFrame, *more: str) -> DataFrame:

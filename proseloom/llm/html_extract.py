@@ -65,6 +65,8 @@ class Dom:
                 continue
             self._imply(open_, tag)
             self._add(open_[-1], tag, found[3])
+            if tag == "br":
+                self.runs.append((open_[-1], "\n"))
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
                 if tag == "textarea":
@@ -352,21 +354,14 @@ def text_of(dom: Dom, keep: np.ndarray) -> str:
         if dom.tag[i] in INLINE:
             block_of[i] = block_of[dom.parent[i]]
     last_block, parts, blocks = -1, [], []
-    seen = 0
-    element_at = 0
     for element, text in dom.runs:
         if not keep[element] or dom.tag[element] in RAW:
             continue
         block = block_of[element]
-        for k in range(element_at + 1, element + 1):
-            if dom.tag[k] == "br":
-                parts.append(" ")
-        element_at = max(element_at, element)
         if block != last_block:
             blocks.append("".join(parts))
             parts, last_block = [], block
         parts.append(text)
-        seen += 1
     blocks.append("".join(parts))
     return "\n".join(x for b in blocks if (x := _SPACE.sub(" ", b).strip()))
 

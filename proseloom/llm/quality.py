@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseloom.llm._linear import Rows, chosen, compact, fit, logistic
+from proseloom.llm._linear import chosen, compact, design, fit, logistic
 from proseloom.llm._tables import texts
 from proseloom.llm._words import NOT_SPACE, Words, mixed, utf8, word_slices
 
@@ -214,10 +214,9 @@ def scored(documents: DataFrame, max_train: int = MAX_TRAIN, threshold: float =
     got = sample.mapInArrow(featured, ", ".join(f"{k} long" for k in MEASURES) + ", features array<int>, values array<float>").select(posterior.alias("posterior"), "features", "values").toArrow()
     target = got.column("posterior").to_numpy()
     features, values = (got.column(k).combine_chunks() for k in ("features", "values"))
-    column = features.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(target)), np.diff(features.offsets.to_numpy()))
-    keep = compact(column, row, 3, 20_000)
-    at, there = chosen(column, keep)
-    weights, bias = fit(Rows(len(target), row[there], at[there], values.flatten().to_numpy()[there].astype(float)), target, len(keep), L1) if len(target) else (np.zeros(0), 0.0)
+    column = features.flatten().to_numpy()
+    keep = compact(column, 3, 20_000)
+    rows = design(np.diff(features.offsets.to_numpy()), column, keep, values.flatten().to_numpy())
+    weights, bias = fit(rows, target, len(keep), L1) if len(target) else (np.zeros(0), 0.0)
     model = documents.sparkSession.sparkContext.broadcast((keep, weights, bias))  # at most 20,000 weights
     return _mapped(texts(documents), model).select("doc_id", posterior.alias("posterior"), "score", (F.col("score") >= threshold).alias("keep"))

@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseloom.llm._linear import Rows, chosen, compact, fit, logistic
+from proseloom.llm._linear import Rows, chosen, compact, design, fit, logistic
 from proseloom.llm._tables import texts
 from proseloom.llm._words import ALPHANUMERIC, Words, utf8, word_slices
 
 #: Rows to train on at most: the labelled rows with the smallest hash of their doc_id.
 MAX_TRAIN = 6000
-#: Features are hashed to this many bits; those in fewer training rows than LEAST_ROWS have no weight.
-HASH_BITS, LEAST_ROWS, MOST_FEATURES = 26, 4, 60_000
-L1, PENALTY = 1.5e-4, 4.0
+#: Features are hashed to this many bits; those in fewer training rows than LEAST_ROWS, or in at least the share MOST_SHARE of rows with label 0, have no weight.
+HASH_BITS, LEAST_ROWS, MOST_SHARE, MOST_FEATURES = 26, 4, 0.15, 60_000
+#: The L1 term is this over the root of the number of training rows; PENALTY weighs the counterfactual term.
+L1, PENALTY = 0.03, 4.0
 #: Bytes of a word's beginnings that are features besides the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
@@ -70,7 +71,7 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def _of_texts(many: list[str]) -> Rows:
     data, offsets = utf8(pa.array(many, pa.string()))
     row, column = _features(Words(data, offsets, ALPHANUMERIC, lower=True))
-    return Rows(len(many), row, column, np.ones(len(row)))
+    return Rows(len(many), row, column)
 
 
 def _swaps(text: str) -> list[tuple[str, str]]:
@@ -130,20 +131,21 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, l
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     target = found.column("toxic").to_numpy().astype(float)
     features = found.column("features").combine_chunks()
-    column = features.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(target)), np.diff(features.offsets.to_numpy()))
+    column = features.flatten().to_numpy()
     swaps = [(x["text"], x["swapped"]) for one in found.column("swaps").to_pylist() for x in one]
     before, after = _of_texts([a for a, _ in swaps]), _of_texts([b for _, b in swaps])
-    keep = compact(column, row, LEAST_ROWS, MOST_FEATURES)
-    keep = np.union1d(keep, np.intersect1d(column, np.union1d(before.column, after.column)))
-    at, there = chosen(column, keep)
-    rows = Rows(len(target), row[there], at[there], np.ones(int(there.sum())))
+    counts = np.diff(features.offsets.to_numpy())
+    common = compact(column[np.repeat(target == 0, counts)], max(LEAST_ROWS, MOST_SHARE * (target == 0).sum()), len(column))
+    keep = np.setdiff1d(compact(column, LEAST_ROWS, MOST_FEATURES), common)
+    if swaps:
+        keep = np.union1d(keep, np.intersect1d(column, np.union1d(before.column, after.column)))
+    rows = design(counts, column, keep)
     change = None
     if swaps:
         at, there = chosen(np.concatenate((before.column, after.column)), keep)
         value = np.concatenate((np.ones(len(before.column)), -np.ones(len(after.column))))
         change = Rows(len(swaps), np.concatenate((before.row, after.row))[there], at[there], value[there])
-    weights, bias = fit(rows, target, len(keep), l1, change, penalty)
+    weights, bias = fit(rows, target, len(keep), l1 / len(target) ** 0.5, change, penalty)
     used = weights != 0
     return Model(keep[used], weights[used], bias)
 
@@ -157,7 +159,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             parts = [np.zeros(0)]
             for lo, hi, words in word_slices(batch.column(1), ALPHANUMERIC, lower=True):
                 row, column = _features(words)
-                parts.append(shared.value.score(Rows(hi - lo, row, column, np.ones(len(row)))))
+                parts.append(shared.value.score(Rows(hi - lo, row, column)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], ["doc_id", "score"])
 
     return texts(documents).mapInArrow(score, "doc_id long, score double")
