@@ -9,9 +9,8 @@ def feed(spark, path, batches, build, name):
     for k, rows in enumerate(batches):
         pd.DataFrame(rows, columns=["stream_id", "seq", "chunk", "last"]).to_parquet(f"{path}/{k:03d}.parquet")
     stream = spark.readStream.schema("stream_id string, seq long, chunk string, last boolean").option("maxFilesPerTrigger", 1).parquet(str(path))
-    query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{path}/_state").start()
-    query.processAllAvailable()
-    query.stop()
+    query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     return spark.table(name).orderBy("stream_id", "n").collect()
 
 
@@ -34,7 +33,6 @@ def test_newest_text_is_rechecked(spark, tmp_path):
     pd.DataFrame({"doc_id": [1, 1, 2], "version": [1, 2, 1], "text": ["old", "new", "x"]}).to_parquet(tmp_path / "0.parquet")
     seen = []
     stream = spark.readStream.schema("doc_id long, version long, text string").parquet(str(tmp_path))
-    query = P.rechecked(stream, lambda frame, n: seen.extend((r.doc_id, r.text) for r in frame.collect())).option("checkpointLocation", str(tmp_path / "_s")).start()
-    query.processAllAvailable()
-    query.stop()
+    query = P.rechecked(stream, lambda frame, n: seen.extend((r.doc_id, r.text) for r in frame.collect())).option("checkpointLocation", str(tmp_path / "_s")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     assert sorted(seen) == [(1, "new"), (2, "x")]
