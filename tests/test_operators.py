@@ -138,7 +138,7 @@ def test_series(spark):
 
 
 def test_voice_and_devices(spark):
-    docs = spark.createDataFrame([(i, "We came, we saw, and we won. The boat sails slowly. The boat sails quickly home again now.") for i in range(3)] + [(9, "tiny")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "We came, we saw, and we won. Boats sail slowly. Boats sail quickly home again now.") for i in range(3)] + [(9, "tiny")], "doc_id long, text string")
     measured = voice.features(docs)
     assert measured.where("doc_id = 9").first().commas is None
     profile = voice.profile(measured.withColumn("writer", F.lit("w")))
