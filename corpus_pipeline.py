@@ -13,35 +13,54 @@ from proseloom.llm._tables import table, written
 from proseloom.llm.queries import tokenizer_path
 
 
-def _with(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept; rows without a doc_id are not judged and stay."""
-    return docs.join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+#: Key of a row within a stage.
+ROW = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, written so that every read sees the same keys: doc_ids may be null or repeat."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """What the operators read: the rows' keys as doc_id."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _with(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of keyed whose key is a doc_id in kept, without the key."""
+    return keyed.join(kept.select(F.col("doc_id").alias("kept_row")), F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
-    found = toxicity.classified(docs, table(spark, sf_dir, "labels"))
-    return _with(docs, found.where("predicted = 0"))
+    """Rows that the toxicity classifier rejects go, with or without a doc_id."""
+    keyed = _keyed(docs)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _with(keyed, toxicity.scored(_by_row(keyed), model).where(F.col("score") < toxicity.THRESHOLD))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    return _with(docs, found.where("doc_id = component_id"))
+    """Of each group of near-duplicates one row stays: that of the smallest doc_id, one without a doc_id only where no other is there."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias("found_row"), "component_id")
+    told = found.join(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), ROW), F.col("found_row") == F.col(ROW))
+    first = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
+    return _with(keyed, first.select(F.col(f"first.{ROW}").alias("doc_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _with(docs, found.where("not contaminated"))
+    """Rows that hold a benchmark window go, with or without a doc_id."""
+    keyed = _keyed(docs)
+    return _with(keyed, decontaminate.contamination(_by_row(keyed), table(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and terms that disclose it are replaced in the text; n_chars follows."""
-    clean = pii.sanitised(docs).where(F.size(F.concat(*pii.PATTERNS)) > 0).select(F.col("doc_id").alias("clean_id"), "clean")
-    joined = docs.join(clean, F.col("doc_id") == F.col("clean_id"), "left")
-    text = F.coalesce("clean", "text")
-    return joined.select(*(text.alias(c) if c == "text" else F.when(F.col("clean").isNotNull(), F.length("clean")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))
+    """Personal data and terms that disclose it are replaced in the text; n_chars follows. Each row carries its other columns along."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.col("text").isNull().alias("_no_text"))
+    found = pii.sanitised(docs.select("doc_id", "text", rest.alias("_rest")), more=("_rest",))
+    changed = F.size(F.concat(*pii.PATTERNS)) > 0
+    text = F.when(~F.col("_rest._no_text"), F.when(changed, F.col("clean")).otherwise(F.col("text")))
+    return found.select(*(text.alias(c) if c == "text" else F.when(changed, F.length("clean")).otherwise(F.col("_rest")[c]).cast(t).alias(c) if c == "n_chars" else F.col("_rest")[c].alias(c) for c, t in docs.dtypes))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -28,3 +29,31 @@ def test_stages_of_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             now = stage(spark, now, SF)
         now.count()
+
+
+def test_rows_without_or_with_repeated_ids_are_judged_one_by_one(spark):
+    benchmark = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    plain = ["wolves crossed the frozen lake before anyone in the village had woken", "seven tall ships of grain were unloaded at the southern harbour today"]
+    mail = "write to quorvath@mailbox.example.org about the missing parcel of books"
+    rows = [(None, plain[0]), (None, mail), (None, benchmark), (7, plain[1]), (7, mail + " again and the broken clock"), (7, benchmark), (9, plain[1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda frame: sorted(r.text for r in frame.collect())
+    clean = stages["decontamination"](spark, docs, SF)
+    assert texts(clean) == sorted(t for _, t in rows if t != benchmark)
+    kept = stages["near_duplicates"](spark, clean, SF)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, plain[0]), (0, mail), (7, plain[1]), (7, mail + " again and the broken clock")])
+    twice = clean.union(clean)
+    redacted = stages["pii"](spark, twice, SF).collect()
+    assert len(redacted) == twice.count() and not any("@" in r.text for r in redacted)
+    assert all(r.n_chars == len(r.text) for r in redacted) and sum(r.doc_id is None for r in redacted) == 4
+
+
+def test_toxicity_judges_rows_without_an_id(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["toxicity"]
+    kept = {r.text for r in stage(spark, documents, SF).collect()}
+    unnamed = documents.withColumn("doc_id", F.lit(None).cast("long"))
+    both = stage(spark, documents.unionByName(unnamed), SF).where("doc_id is null")
+    assert 0 < len(kept) < documents.select("text").distinct().count()
+    assert {r.text for r in both.collect()} == kept
