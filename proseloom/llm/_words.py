@@ -7,9 +7,12 @@ the memory of a task doesn't depend on how long texts are, save for a single lon
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Odd, so that it has an inverse modulo 2**64 and hashes of slices come from prefix sums.
 _BASE = 0x9E3779B97F4A7C15
@@ -47,7 +50,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Hashes of any slices of a sequence of 64-bit values, in constant time for each."""
+    """Hashes of any slices of a sequence of 64-bit values, in constant time for each.
+
+    They choose candidates only: structured sequences can share a hash, so where equality
+    decides a result, bytes or ``digests`` are compared.
+    """
 
     def __init__(self, values: np.ndarray):
         self.sums = np.zeros(len(values) + 1, np.uint64)
@@ -90,6 +97,7 @@ class Words:
         before[1:], after[:-1] = inside[:-1], inside[1:]
         cuts = rows[(rows > 0) & (rows < n)]
         before[cuts], after[cuts - 1] = False, False
+        self.inside = inside
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, rows)
@@ -103,11 +111,32 @@ class Words:
     def hashes(self) -> np.ndarray:
         return self.prefix().of(self.starts, self.ends)
 
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words with one space between them, and where each starts and ends there."""
+        length = self.ends - self.starts
+        ends = np.cumsum(length + 1) - 1
+        out = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
+        keep = np.ones(len(out), bool)
+        keep[ends] = False
+        out[keep] = self.data[self.inside]
+        return out.tobytes(), ends - length, ends
+
     def row(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2 digests of stretches of ``data``, as two longs each: equal only if the stretches are."""
+    made = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(made, "<i8").reshape(-1, 2)
+
+
+def part(text: Column) -> Column:
+    """A long that tells texts apart which share a doc_id."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def word_slices(column: pa.Array, is_word: np.ndarray, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
     data, offsets = utf8(column)
     for lo, hi in slices(offsets, limit):
