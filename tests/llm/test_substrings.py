@@ -74,3 +74,52 @@ def test_decontamination_matches_brute_force(unique, spark):
     for chars in (1 << 20, 300):  # one block, several blocks
         found = {r.doc_id: (r.n_words, r.n_hit, set(r.item_ids)) for r in decontaminate.contamination(unique, benchmark, block_chars=chars).collect()}
         assert found == want
+
+
+def thue_morse(a: str, b: str, doublings: int = 10) -> str:
+    """A word and its complement share every polynomial hash modulo a power of two."""
+    out, other = a, b
+    for _ in range(doublings):
+        out, other = out + other, other + out
+    return out
+
+
+def test_words_that_collide_are_told_apart(spark):
+    rest = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*rest[:30], thue_morse("a", "b"), *rest[30:]])), (2, " ".join([*rest[:30], thue_morse("b", "a"), *rest[30:]]))]
+    found = {r.doc_id: r.n_removed for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 0, 2: 0}
+
+
+def test_repeated_ids(documents, spark):
+    """Rows that share a doc_id are cut each by its own text, shorter ones included."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    long = " ".join(f"w{i}" for i in range(130))
+    rows += [(500, long), (501, long), (501, "w1 w2"), (501, long), (501, "x " + long), (None, long), (None, long)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    first: dict[tuple, int] = {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for k in range(len(w) - 49):
+            if i is not None:
+                first[tuple(w[k : k + 50])] = min(first.get(tuple(w[k : k + 50]), i), i)
+    want = []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = set()
+        for k in range(len(w) - 49):
+            if i is not None and first[tuple(w[k : k + 50])] < i:
+                gone |= set(range(k, k + 50))
+        want.append((i or -1, b" ".join(x for k, x in enumerate(w) if k not in gone).decode(), len(w), len(gone)))
+    found = [(r.doc_id or -1, r.text, r.n_words, r.n_removed) for r in substring_dedup.deduplicated(frame).collect()]
+    assert sorted(found) == sorted(want)
+
+
+def test_blocks_do_not_change_the_rows(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    documents = spark.createDataFrame([(1, "five more words before it " + a), (1, a), (None, a), (None, "x"), (2, a), (2, a)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, a), (1, a), (2, a), (3, "x y"), (4, a + " " + a)], "item_id long, text string")
+    told = lambda chars: sorted((r.doc_id or 0, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in decontaminate.contamination(documents, benchmark, block_chars=chars).collect())
+    one = told(1 << 20)
+    assert one == told(100) and len(one) == 6
+    assert (1, 45, 40, ["1", "2", "4"], True) in one and (0, 1, 0, [], False) in one
