@@ -1,52 +1,56 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each document is tokenized once and cut into units of 64 tokens and a rest cut into powers of
-two, so that pieces always fit into aligned places and nothing but piece lengths and checksums
-leaves the task that tokenized. Each source is a queue of 64-token slots. In a round-robin
-with deficits, queue s earns its share of every slot that is filled, and the next slot goes
-to the queue whose next slot falls due first: slot i of queue s is due at (i + 1/2) / share(s).
-So every window holds each source's share to within a slot, and the deficit of a queue at a
-slot is a function of the slot's number alone. That gives the state at the start of any
-partition without running those before it: the order of all slots is computed in parallel.
-
-What is left over of all queues (under 64 tokens each) follows the last full slot, largest
-pieces first, and the last, partial window is cut at powers of two, so that nothing is padded.
+Each source is a queue: the stream of its documents' tokens, cut into slots of 128 tokens. The
+round-robin works in virtual time, in which queue s earns its target share of a slot for each
+unit that passes and carries what it has earned; a slot of it is served, and paid for, as soon
+as its credit reaches one. So slot i of queue s is served at time (i + phase) / share(s), where
+the phase in (0, 1), from the source's name, is what it lacks of its first slot. The deficit of
+a queue at any time is thus known without running the slots before it: sorting slots by that
+time gives the order of the round-robin, in parallel, with deficits carried across windows and
+partitions, for any number of queues.
+
+Each document is tokenized once. A task strings the documents of a source together and cuts
+them there and then, so nothing but piece lengths and checksums leaves it. What a task has left
+of a source, less than a slot, is cut at powers of two; these chunks, largest first, make up
+further slots of the queue. What queues have left, less than a slot each, follows the last
+slot in the same way, and the last, partial window is cut at powers of two: nothing is padded.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseloom.llm._tables import texts, written
 from proseloom.llm._words import NOT_SPACE, Words, slices, utf8
 
-WINDOW, UNIT, END = 2048, 64, 1
-#: Queues at most: sources beyond share a queue with others, by hash.
-MOST_QUEUES = 64
-#: Documents of one block of a queue, about; words' parts whose ids a Python worker remembers at most.
-BLOCK_ROWS, MOST_WORDS = 2048, 2_000_000
-_RESTS = [1 << b for b in reversed(range(UNIT.bit_length() - 1))]
+WINDOW, UNIT, END = 2048, 128, 1
+#: Words' parts whose ids a Python worker remembers at most; pieces of one batch, about; slots of one sorted bucket, about; rows summed up in one step of a running sum, about.
+MOST_WORDS, BATCH, SPREAD, STEP = 2_000_000, 20_000, 1 << 16, 512
 
 _known: dict[str, Ids] = {}
 
-
-def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The stretches of ``flat`` from each start, one after the other."""
-    ends = np.cumsum(length)
-    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + length, length)]
-
-
 #: Symbols that the tokenizer cuts off an ASCII letter or digit before them.
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b",.;:!?&%*$#|")] = True
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+#: The splitting of texts that `_parts` follows.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _gathered(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indices of stretches from each start, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + length, length)
 
 
 def _parts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,22 +70,34 @@ def _parts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.append(at, len(starts))[words.first]
 
 
+def _by_words(path: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and splits as `_parts` expects."""
+    found = json.loads(Path(path).read_text())
+    steps = [x.get("type") for x in (found.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x.get("pattern", {}).get("Regex") for x in (found.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+    return steps == ["NFC", "Replace", "Lowercase"] and splits == [_SPLIT] and not found["model"].get("ignore_merges")
+
+
 class Ids:
-    """Token ids of whole texts, with the ids of words' parts seen before remembered by their 64-bit hashes.
+    """Token ids of whole texts, with the ids of words' parts seen before remembered.
 
-    The tokenizer lower-cases, splits and merges within white-space-separated words only, and
-    cuts a word where symbols follow a letter, so a text's ids are those of its parts in turn.
-    Texts that may spell a special token are encoded whole.
+    A tokenizer that lower-cases, splits and merges within white-space-separated words only and
+    cuts a word where symbols follow a letter gives a text the ids of its parts in turn. Parts
+    are looked up by a hash and compared by their bytes. Texts with a part that shares its hash
+    with another, texts that may spell a special token and all texts of other tokenizers are
+    encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), _by_words(path)
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.start, self.length, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        none = np.zeros(0, np.int64)
+        self.hashes, self.start, self.length, self.flat = np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint32)
+        self.spelled, self.spelled_at, self.spelled_length = np.zeros(0, np.uint8), none, none
 
     @staticmethod
     def of(path: str) -> Ids:
@@ -89,6 +105,9 @@ class Ids:
             _known[path] = Ids(path)
         return _known[path]
 
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, encoded as one text, and how many each has."""
         text = [w.decode() for w in words]
@@ -96,187 +115,223 @@ class Ids:
         encoded = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
         at = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded))
         own = np.searchsorted(np.cumsum(size + 1) - size - 1, at, "right") - 1
-        return np.array(encoded.ids, np.uint16), np.bincount(own, minlength=len(words))
+        return np.array(encoded.ids, np.uint32), np.bincount(own, minlength=len(words))
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         if len(self.hashes) > MOST_WORDS:
             self._clear()
         for lo in range(0, len(words), 20_000):
-            ids, length = self._encode(words[lo : lo + 20_000])
-            start = len(self.flat) + np.cumsum(length) - length
+            some = words[lo : lo + 20_000]
+            ids, length = self._encode(some)
+            size = np.fromiter(map(len, some), np.int64, len(some))
             at = np.searchsorted(self.hashes, hashes[lo : lo + 20_000])
-            self.hashes, self.start, self.length = (np.insert(x, at, y) for x, y in ((self.hashes, hashes[lo : lo + 20_000]), (self.start, start), (self.length, length)))
+            new = {
+                "hashes": hashes[lo : lo + 20_000],
+                "start": len(self.flat) + np.cumsum(length) - length,
+                "length": length,
+                "spelled_at": len(self.spelled) + np.cumsum(size) - size,
+                "spelled_length": size,
+            }
+            for name, values in new.items():
+                setattr(self, name, np.insert(getattr(self, name), at, values))
             self.flat = np.concatenate((self.flat, ids))
+            self.spelled = np.concatenate((self.spelled, np.frombuffer(b"".join(some), np.uint8)))
 
     def _place(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.hashes, found), max(len(self.hashes) - 1, 0))
         return at, self.hashes[at] == found if len(self.hashes) else np.zeros(len(found), bool)
 
+    def _other(self, words: Words, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The parts that are not spelled as what was found for their hash."""
+        size = ends - starts
+        wrong = size != self.spelled_length[at]
+        check = np.flatnonzero(~wrong)
+        same = self.spelled[_gathered(self.spelled_at[at[check]], size[check])] == words.data[_gathered(starts[check], size[check])]
+        if not same.all():
+            wrong[check[np.searchsorted(np.cumsum(size[check]), np.flatnonzero(~same), "right")]] = True
+        return np.flatnonzero(wrong)
+
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, as 32-bit little-endian integers, the end id last."""
         data, offsets = utf8(column)
         for lo, hi in slices(offsets):
-            words = Words(data, offsets[lo : hi + 1], NOT_SPACE, lower=True)
-            starts, ends, first = _parts(words)
-            distinct, where, own = np.unique(words.prefix().of(starts, ends), return_index=True, return_inverse=True)
-            at, known = self._place(distinct)
-            if not known.all():
-                new = where[~known]
-                spelled = [words.data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-                self._learn(distinct[~known], spelled)
+            cuts, ids, whole = None, None, np.ones(hi - lo, bool)
+            if self.by_words:
+                words = Words(data, offsets[lo : hi + 1], NOT_SPACE, lower=True)
+                starts, ends, first = _parts(words)
+                distinct, where, own = np.unique(words.prefix().of(starts, ends), return_index=True, return_inverse=True)
                 at, known = self._place(distinct)
-                if not known.all():  # the store was emptied on the way
-                    gone = where[~known]
-                    self._learn(distinct[~known], [words.data[a:b].tobytes() for a, b in zip(starts[gone].tolist(), ends[gone].tolist(), strict=True)])
-                    at, _ = self._place(distinct)
-            length = self.length[at][own]
-            ids = _gathered(self.flat, self.start[at][own], length)
-            cuts = np.concatenate(([0], np.cumsum(length)))[first].tolist()
+                for _ in range(2):  # again where the store was emptied on the way
+                    if known.all():
+                        break
+                    new = where[~known]
+                    self._learn(distinct[~known], [words.data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+                    at, known = self._place(distinct)
+                length = self.length[at][own]
+                ids = self.flat[_gathered(self.start[at][own], length)]
+                cuts = np.concatenate(([0], np.cumsum(length)))[first].tolist()
+                whole[:] = False
+                whole[np.searchsorted(first, self._other(words, starts, ends, at[own]), "right") - 1] = True
             for k in range(hi - lo):
                 text = data[offsets[lo + k] : offsets[lo + k + 1]].tobytes()
-                part = ids[cuts[k] : cuts[k + 1]] if b"<|" not in text else np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+                part = self._whole(text) if whole[k] or b"<|" in text else ids[cuts[k] : cuts[k + 1]]
                 one = np.empty(len(part) + 1, "<u4")
                 one[:-1], one[-1] = part, END
                 yield one
 
 
-def _tokenized(documents: DataFrame, path: str, source: str, queues: int, blocks: int) -> DataFrame:
-    """``doc_id, queue, block, tokens, crcs`` (of the full units, then of the rest's pieces)."""
+class _Stream:
+    """A task's part of one queue: full slots so far, and the pieces that wait for the next to fill."""
+
+    def __init__(self):
+        self.slots, self.held, self.waiting = 0, 0, []  # waiting: doc_id, start, ids, doc_tokens
+
+
+def _cut(documents: DataFrame, path: str, source: str, unit: int) -> DataFrame:
+    """Pieces: ``doc_id, start, length, ids_crc32, doc_tokens, queue, task, size`` (of the slot or chunk), ``slot`` (among the task's of that size), ``inside``."""
+    names = "doc_id start length ids_crc32 doc_tokens queue task size slot inside".split()
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, task = Ids.of(path), TaskContext.get().partitionId()
+        streams: dict[str, _Stream] = {}
+        made: list[tuple] = []
+
+        def piece(doc, start: int, one: np.ndarray, tokens: int, queue: str, size: int, slot: int, inside: int) -> None:
+            made.append((doc, start, len(one), zlib.crc32(one.tobytes()), tokens, queue, task, size, slot, inside))
+
+        def emitted() -> pa.RecordBatch:
+            columns = zip(*made, strict=True) if made else [[] for _ in names]
+            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+            made.clear()
+            return out
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids.of(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                tokens, crcs = [], []
-                for one in ids(part.column(1)):
-                    data, n = memoryview(one.tobytes()), len(one)
-                    cuts = [*range(0, n - n % UNIT + 1, UNIT)]
-                    for size in _RESTS:
-                        if n % UNIT & size:
-                            cuts.append(cuts[-1] + size)
-                    tokens.append(n)
-                    crcs.append([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("queue"), part.column("block"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))],
-                    ["doc_id", "queue", "block", "tokens", "crcs"],
-                )
-
-    dealt = texts(documents, F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("queue")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
-    named = dealt.select("doc_id", "text", F.when(F.lit(bool(queues)), F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(queues or 1)))).otherwise(F.col("queue")).alias("queue"), "block")
-    return named.mapInArrow(counted, "doc_id long, queue string, block long, tokens long, crcs array<long>")
-
-
-def _rank(queue: np.ndarray, slot: np.ndarray, slots: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The place of each (queue, slot) in the order of due times, queues' numbers breaking ties; exact for any rounding, as due times rise with slots."""
-    due = (slot + 0.5) / share[queue]
-    rank = slot.copy()
-    for s in range(len(slots)):
-        other = queue != s
-        x = due[other]
-        n = np.floor(x * share[s] + 0.5).astype(np.int64)
-        for shift in (1, 0, -1):  # the last of these whose slot is due before x
-            at = n + shift - 1
-            before = (at + 0.5) / share[s]
-            n_new = np.where((before < x) | ((before == x) & (s < queue[other])), n + shift, -1)
-            best = n_new if shift == 1 else np.maximum(best, n_new)
-        rank[other] += np.clip(best, 0, slots[s])
-    return rank
-
-
-def packed(documents: DataFrame, tokenizer: str, source: str = "source", mixture: dict[str, float] | None = None, window: int = WINDOW, most_queues: int = MOST_QUEUES) -> DataFrame:
+            docs, queues = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc, queue, one in zip(docs, queues, ids(batch.column(1)), strict=True):
+                own = streams.setdefault(queue, _Stream())
+                n, at = len(one), 0
+                if own.held:
+                    at = min(n, unit - own.held)
+                    own.waiting.append((doc, 0, one[:at].copy(), n))
+                    own.held += at
+                    if own.held == unit:
+                        inside = 0
+                        for d, start, some, tokens in own.waiting:
+                            piece(d, start, some, tokens, queue, unit, own.slots, inside)
+                            inside += len(some)
+                        own.slots, own.held, own.waiting = own.slots + 1, 0, []
+                while n - at >= unit:
+                    piece(doc, at, one[at : at + unit], n, queue, unit, own.slots, 0)
+                    own.slots += 1
+                    at += unit
+                if at < n:
+                    own.waiting.append((doc, at, one[at:].copy(), n))
+                    own.held += n - at
+                if len(made) >= BATCH:
+                    yield emitted()
+        for queue, own in streams.items():
+            size = unit // 2
+            left = [x for x in own.waiting]
+            while size:
+                if own.held & size:
+                    inside = 0
+                    while inside < size:
+                        d, start, some, tokens = left[0]
+                        take = min(len(some), size - inside)
+                        piece(d, start, some[:take], tokens, queue, size, 0, inside)
+                        inside += take
+                        left[:1] = [(d, start + take, some[take:], tokens)] if take < len(some) else []
+                size //= 2
+            if len(made) >= BATCH:
+                yield emitted()
+        yield emitted()
+
+    schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, queue string, task int, size int, slot long, inside int"
+    return texts(documents, F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("queue")).mapInArrow(cut, schema)
+
+
+def _running(frame: DataFrame, by: list[str], coarse: list[Column], order: list[str], value: Column, name: str) -> DataFrame:
+    """The frame with the sum of ``value`` over all rows before, within ``by``, in the order of ``coarse`` and then ``order``: first over groups of equal ``coarse``, then inside each."""
+    keys = [f"_g{k}" for k in range(len(coarse))]
+    grouped = frame.select("*", value.alias("_v"), *(c.alias(k) for c, k in zip(coarse, keys, strict=True)))
+    before = (Window.partitionBy(*by) if by else Window).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy(*by, *keys).agg(F.sum("_v").alias("_s")).select(*by, *keys, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
+    inside = Window.partitionBy(*by, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = grouped.withColumn("_w", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    return own.join(sums, [*by, *keys]).select(*frame.columns, (F.col("_b") + F.col("_w")).alias(name))
+
+
+def _queues(groups: DataFrame, mixture: dict[str, float] | None, smoothing: float, unit: int) -> DataFrame:
+    """Per queue: ``slots``, ``rest`` (tokens), ``weight``, ``phase``."""
+    slots = F.floor(F.col("total") / unit).cast("long")
+    found = groups.groupBy("queue").agg(F.sum("tokens").alias("total")).select("queue", slots.alias("slots"), (F.col("total") % unit).alias("rest"))
+    share = F.pow(F.greatest("slots", F.lit(1)).cast("double"), F.lit(float(smoothing)))
+    if mixture:
+        if min(mixture.values()) <= 0:
+            raise ValueError("mixture weights must be positive: a source of weight 0 would never be packed")
+        wanted = groups.sparkSession.createDataFrame(sorted(mixture.items()), "queue string, factor double")
+        if missing := [r["queue"] for r in wanted.join(found, "queue", "left_anti").take(5)]:
+            raise ValueError(f"the mixture names sources that no document has: {missing}")
+        found = found.join(wanted, "queue", "left")
+        share = share * F.coalesce("factor", F.lit(1.0))
+    phase = (F.pmod(F.xxhash64("queue"), F.lit(1000)) + 0.5) / 1000
+    return found.select("queue", "slots", "rest", share.alias("weight"), phase.alias("phase"))
+
+
+def packed(documents: DataFrame, tokenizer: str, source: str = "source", mixture: dict[str, float] | None = None, smoothing: float = 1.0, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (longs), ``queue`` (string).
 
-    tokenizer: path of the vocabulary, readable on every node. mixture: weights of sources
-    relative to their share of all tokens (default 1 each, the natural mixture); a queue that
-    runs dry leaves its share to the others. Null sources are one queue named "". A null or
-    empty text is its end id alone. Every id lies in one piece; windows are filled without
-    gaps; all hold ``window`` tokens but the last few, which have power-of-two lengths.
+    tokenizer: path of the vocabulary, readable on every node. The target share of a source is
+    its number of tokens to the power ``smoothing`` (1: the natural mixture, 0: all alike),
+    times its weight in ``mixture`` (default 1; a name that no document has is an error). A
+    queue that runs dry leaves its share to the others. Each window holds each source's share to
+    within two slots of ``unit`` tokens (a power of two), those at the end of the last window
+    excepted. Null sources are one queue named "". A null or empty text is its end id alone.
+    Every id lies in one piece; windows are filled without gaps; all hold ``window`` tokens but
+    the last few, which have power-of-two lengths. The order of documents within a queue is
+    that of the table's partitions.
     """
-    count, n_sources = documents.agg(F.count("*"), F.approx_count_distinct(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))).first()
-    names = documents.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))).distinct().limit(most_queues + 1).count() if n_sources <= 2 * most_queues else most_queues + 1
-    blocks = max(1, -(-count // BLOCK_ROWS))
-    docs = written(_tokenized(documents, tokenizer, source, most_queues if names > most_queues else 0, blocks), "tokenized")
-
-    units, rest = F.floor(F.col("tokens") / UNIT).cast("long"), F.col("tokens") % UNIT
-    rests = {size: F.when(rest.bitwiseAND(F.lit(size).cast("long")) > 0, 1).otherwise(0).cast("long") for size in _RESTS}
-    sums = docs.groupBy("queue", "block").agg(F.sum(units).alias("units"), *(F.sum(v).alias(f"rest{k}") for k, v in rests.items()))
-    columns = ["units", *(f"rest{k}" for k in _RESTS)]
-    before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sums.select("queue", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns)), "block-starts")
-    totals = sorted((r.asDict() for r in sums.groupBy("queue").agg(*(F.sum(c).alias(c) for c in columns)).collect()), key=lambda r: r["queue"])  # at most most_queues rows
-    in_rest = np.array([[r[f"rest{k}"] for k in _RESTS] for r in totals], np.int64).reshape(len(totals), len(_RESTS))
-    full = np.array([r["units"] for r in totals], np.int64)
-    slots = full + in_rest @ np.array(_RESTS, np.int64) // UNIT
-    share = np.array([max(1, s) * (mixture or {}).get(r["queue"], 1.0) for s, r in zip(slots, totals, strict=True)], float)
-    if (share <= 0).any():
-        raise ValueError("mixture weights must be positive: a source of weight 0 would never be packed")
-    number = {r["queue"]: k for k, r in enumerate(totals)}
-    # where the pieces of each size of a queue's rest begin, and the places of what is left over, by size over all queues
-    sizes = np.array(_RESTS, np.int64)
-    begin = np.cumsum(in_rest * sizes, axis=1) - in_rest * sizes
-    whole = (slots - full)[:, None] * UNIT
-    kept = np.clip((whole - begin) // sizes, 0, in_rest)
-    over = in_rest - kept
-    base = int(slots.sum()) * UNIT
-    over_start = base + (np.cumsum(over.sum(0) * sizes) - over.sum(0) * sizes) + (np.cumsum(over, axis=0) - over) * sizes
-    total = base + int((over * sizes).sum())
-    tail = total - total % window
-    bits = [1 << b for b in reversed(range(window.bit_length())) if (total % window) >> b & 1]
-    tail_ends = tail + np.cumsum([0, *bits])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                queue = np.array([number[q] for q in part.column("queue").to_pylist()], np.int64)
-                doc, tokens = (part.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "tokens"))
-                first = {c: part.column(f"{c}_at").to_numpy(zero_copy_only=False) for c in columns}
-                n = tokens // UNIT
-                of = np.repeat(np.arange(len(n)), n)
-                k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                rows, start, length, slot, inside, at = [of], [k * UNIT], [np.full(len(of), UNIT)], [first["units"][of] + k], [np.zeros(len(of), np.int64)], [k]
-                fixed = [np.full(len(of), -1)]
-                done, piece = n * UNIT, n.copy()
-                for j, size in enumerate(_RESTS):
-                    has = np.flatnonzero(tokens % UNIT & size)
-                    q, i = queue[has], first[f"rest{size}"][has]
-                    place_ = begin[q, j] + i * size
-                    left = i - kept[q, j]
-                    rows.append(has)
-                    start.append(done[has])
-                    length.append(np.full(len(has), size))
-                    slot.append(np.where(left < 0, full[q] + place_ // UNIT, 0))
-                    inside.append(place_ % UNIT)
-                    at.append(piece[has])
-                    fixed.append(np.where(left < 0, -1, over_start[q, j] + left * size))
-                    done[has] += size
-                    piece[has] += 1
-                rows, start, length, slot, inside, at, fixed = map(np.concatenate, (rows, start, length, slot, inside, at, fixed))
-                place_ = np.where(fixed < 0, _rank(queue[rows], slot, slots, share) * UNIT + inside, fixed)
-                late = np.searchsorted(tail_ends, place_, "right") - 1
-                crcs = part.column("crcs")
-                crc = crcs.flatten().to_numpy()[(crcs.offsets.to_numpy()[:-1] - crcs.offsets.to_numpy()[0])[rows] + at]
-                ended = place_ >= tail
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(x)
-                        for x in (
-                            doc[rows],
-                            start,
-                            length,
-                            crc,
-                            tokens[rows],
-                            np.where(ended, tail // window + late, place_ // window),
-                            np.where(ended, place_ - tail_ends[late], place_ % window),
-                        )
-                    ]
-                    + [part.column("queue").take(pa.array(rows))],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
-                )
-
-    in_block = Window.partitionBy("queue", "block").orderBy("doc_id", "tokens", "crcs").rowsBetween(Window.unboundedPreceding, -1)
-    counted = docs.select("*", units.alias("units"), *(v.alias(f"rest{k}") for k, v in rests.items()))
-    local = counted.select("doc_id", "queue", "block", "tokens", "crcs", *(F.coalesce(F.sum(c).over(in_block), F.lit(0)).alias(f"{c}_here") for c in columns))
-    ready = local.join(starts, ["queue", "block"]).select("doc_id", "queue", "tokens", "crcs", *((F.col(f"{c}_here") + F.col(f"{c}_before")).alias(f"{c}_at") for c in columns))
-    return ready.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
+    pieces = written(_cut(documents, tokenizer, source, unit), "pieces")
+    groups = written(pieces.groupBy("queue", "task", "size").agg(((F.max("slot") + 1) * F.first("size")).alias("tokens")), "piece-groups")
+    placed = _running(groups, ["queue"], [-F.col("size"), F.floor(F.col("task") / STEP)], ["task"], F.col("tokens"), "begin")
+    queues = written(_queues(groups, mixture, smoothing, unit), "queues")
+    one = queues.agg(F.sum("slots").alias("slots"), F.sum("rest").alias("rest"), F.sum("weight").alias("weight")).first()
+    n_slots, n_rest, rate = one["slots"] or 0, one["rest"] or 0, one["weight"] or 1.0
+    base, total = n_slots * unit, n_slots * unit + n_rest
+
+    # what a queue has left, in powers of two: where each of them goes
+    sizes = [1 << b for b in reversed(range(unit.bit_length() - 1))]
+    cut = queues.select("queue", F.explode(F.array(*(F.lit(s) for s in sizes))).alias("bit"), "rest").where(F.col("rest").bitwiseAND(F.col("bit").cast("long")) > 0)
+    ends = _running(cut, [], [-F.col("bit"), F.pmod(F.xxhash64("queue"), F.lit(STEP))], ["queue"], F.col("bit").cast("long"), "place")
+    last = ends.groupBy("queue").agg(F.map_from_entries(F.collect_list(F.struct("bit", F.col("place") + F.lit(base)))).alias("ends"))  # at most one entry a bit
+    starts = placed.join(queues, "queue").join(last, "queue", "left").select("queue", "task", "size", "begin", "slots", "rest", "weight", "phase", "ends")
+
+    at = F.col("begin") + F.col("slot") * F.col("size") + F.col("inside")
+    slot, inside, over = F.floor(F.col("at") / unit).cast("long"), F.col("at") % unit, F.col("at") - F.col("slots") * unit
+    high = {s: F.col("rest").bitwiseAND(F.lit(-2 * s).cast("long")) for s in sizes}
+    fixed = F.coalesce(*(F.when((F.col("rest").bitwiseAND(F.lit(s).cast("long")) > 0) & over.between(high[s], high[s] + s - 1), F.element_at("ends", F.lit(s)) + over - high[s]) for s in sizes))
+    due = (slot + F.col("phase")) / F.col("weight")
+    timed = (
+        pieces.join(starts, ["queue", "task", "size"])
+        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "queue", "rest", "slots", "weight", "phase", "ends", at.alias("at"))
+        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "queue", F.when(over >= 0, fixed).alias("fixed"), slot.alias("slot"), inside.alias("inside"), due.alias("due"))
+        .withColumn("bucket", F.when(F.col("fixed").isNull(), F.floor(F.col("due") * (rate / SPREAD))))
+    )
+    timed = written(timed, "timed-pieces")
+    counts = timed.where("fixed is null and inside = 0").groupBy("bucket").agg(F.count("*").alias("n"))
+    earlier = written(_running(counts, [], [F.floor(F.col("bucket") / STEP)], ["bucket"], F.col("n"), "earlier").select("bucket", "earlier"), "slot-buckets")
+    order = F.dense_rank().over(Window.partitionBy("bucket").orderBy("due", "queue", "slot")) - 1
+    ranked = timed.where("fixed is null").select("*", order.alias("order")).join(earlier, "bucket")
+    columns = ["doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "queue"]
+    everything = ranked.select(*columns, ((F.col("earlier") + F.col("order")) * unit + F.col("inside")).alias("place")).union(timed.where("fixed is not null").select(*columns, F.col("fixed").alias("place")))
+
+    tail, sequence, begin = total - total % window, total // window, total - total % window
+    number, offset = F.floor(F.col("place") / window).cast("long"), F.col("place") % window
+    number, offset = F.when(F.col("place") < tail, number), F.when(F.col("place") < tail, offset)
+    for size in (1 << b for b in reversed(range(window.bit_length()))):
+        if total % window & size:
+            here = F.col("place").between(begin, begin + size - 1)
+            number, offset = number.when(here, F.lit(sequence).cast("long")), offset.when(here, F.col("place") - begin)
+            sequence, begin = sequence + 1, begin + size
+    return everything.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", number.alias("sequence_id"), offset.alias("offset"), "queue")

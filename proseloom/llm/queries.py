@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from proseloom.llm import decontaminate, html_extract, packing, pii, quality, sharding, simhash, substring_dedup, toxicity, transport_stream
 from proseloom.llm._tables import table
 
+#: Target mixture of op8: a source's share is its tokens to this power, so that small sources are seen more often than in the natural mixture.
+SMOOTHING = 0.7
 #: Placement of op10: names of the shards.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -62,7 +64,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), smoothing=SMOOTHING)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
