@@ -2,9 +2,9 @@
 
 Distinct fingerprints are sorted into a binary trie. Pairs of its nodes are walked
 together: a pair of nodes carries the bits in which its two prefixes differ so far, and is
-dropped as soon as these exceed the error budget. The top of the trie is walked once on the
-driver (its size depends on ``top_bits``, not on the data) and deals node pairs out to tasks;
-below it each task walks its own pairs breadth first, as numpy arrays.
+dropped as soon as these exceed the error budget. The top of the trie is walked by Spark: rows
+are dealt to their pairs of nodes, and pairs that hold too many rows are split further, a few
+bits at a time. Below it each task walks its own pairs breadth first, as numpy arrays.
 
 A fingerprint has at most ``sum(C(64, k), k <= budget)`` different neighbours, so the links
 between distinct fingerprints stay linear in their number; copies share one fingerprint and
@@ -13,13 +13,14 @@ are never paired.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.llm._tables import texts, written
@@ -27,8 +28,8 @@ from proseloom.llm._words import slices, utf8
 from proseloom.operators.components import components
 
 BITS = 64
-#: Fewest bits of the trie that are walked on the driver, and fingerprints below one node beyond which there are more.
-TOP_BITS, NODE_ROWS, MOST_TOP_BITS = 6, 1 << 16, 14
+#: Bits of the trie by which rows are dealt at first (fewest, most), rows of a pair of nodes beyond which it is split further, and by how many bits.
+TOP_BITS, MOST_TOP_BITS, NODE_ROWS, STEP_BITS = 6, 14, 1 << 16, 4
 #: Node pairs walked at once in a task.
 FRONTIER = 1 << 19
 
@@ -163,27 +164,57 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return label
 
 
-def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
+def _masks(bits: int, budget: int) -> list[int]:
+    """The ways in which two nodes may differ in their last ``bits`` bits, within the budget."""
+    return sorted(sum(1 << x for x in some) for k in range(min(budget, bits) + 1) for some in itertools.combinations(range(bits), k))
+
+
+def _node(order: list[int], lo: int, hi: int) -> Column:
+    """Bits ``order[lo:hi]`` of the fingerprint as one number."""
+    return sum((F.shiftleft(F.shiftrightunsigned("fingerprint", bit).bitwiseAND(F.lit(1)), hi - lo - 1 - at) for at, bit in enumerate(order[lo:hi])), F.lit(0).cast("long"))
+
+
+def _dealt(rows: DataFrame, order: list[int], lo: int, hi: int, budget: int) -> DataFrame:
+    """Rows (``fingerprint, id, node, mask``: node at depth lo, and its difference to the other of the pair) dealt to all pairs of nodes at depth hi that may hold links: with ``low`` (the lesser node) and ``high`` (of the greater)."""
+    ways = F.array(*(F.struct(F.lit(m).cast("long").alias("more"), F.lit(m.bit_count()).alias("cost")) for m in _masks(hi - lo, budget)))
+    deeper = rows.select("fingerprint", "id", (F.shiftleft("node", hi - lo) + _node(order, lo, hi)).alias("node"), "mask", F.explode(ways).alias("way"))
+    alive = deeper.where(F.bit_count("mask") + F.col("way.cost") <= budget)
+    found = alive.select("fingerprint", "id", "node", (F.shiftleft("mask", hi - lo) + F.col("way.more")).alias("mask"))
+    other = F.col("node").bitwiseXOR(F.col("mask"))
+    return found.select("fingerprint", "id", "node", "mask", F.least("node", other).alias("low"), (F.col("node") > other).alias("high"))
+
+
+def links(distinct: DataFrame, budget: int = 2, node_rows: int = NODE_ROWS) -> DataFrame:
     """``u, v`` (u > v): ids of linked distinct fingerprints, for each node pair of the trie a spanning forest of its links.
 
-    distinct: ``fingerprint`` and an ``id`` (long) of each; the links' transitive closure is
-    exactly that of "differs in at most ``budget`` bits".
+    distinct: ``fingerprint`` and an ``id`` (long, not null) of each; the links' transitive
+    closure is exactly that of "differs in at most ``budget`` bits". No pair of nodes with
+    more than ``node_rows`` fingerprints goes to one task, however alike they are.
     """
     ones = distinct.agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("fingerprint", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS))).first()
     n = ones["n"]
     order = sorted(range(BITS), key=lambda b: (abs((ones[f"b{b}"] or 0) / max(n, 1) - 0.5), b))
-    top = min(MOST_TOP_BITS, max(TOP_BITS, math.ceil(math.log2(max(n, 1) / NODE_ROWS))))
-    node = sum((F.shiftleft(F.shiftrightunsigned("fingerprint", bit).bitwiseAND(F.lit(1)), top - 1 - at) for at, bit in enumerate(order[:top])), F.lit(0).cast("long"))
-    near = [0, *(1 << i for i in range(top))] if budget else [0]
-    masks = sorted({x ^ y for x in near for y in near} if budget >= 2 else set(near))
-    masks = [m for m in masks if m.bit_count() <= budget]
-    if budget > 2:
-        masks = [m for m in range(1 << top) if m.bit_count() <= budget]
-    dealt = (
-        distinct.select("fingerprint", F.col("id").alias("id"), node.alias("node"))
-        .select("*", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
-        .select("fingerprint", "id", (F.least("node", F.col("node").bitwiseXOR(F.col("mask")))).alias("low"), "mask", (F.col("node") > F.col("node").bitwiseXOR(F.col("mask"))).alias("high"))
-    )
+    depth = min(MOST_TOP_BITS, max(TOP_BITS, math.ceil(math.log2(max(n, 1) / node_rows))))
+    root = distinct.select("fingerprint", "id", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("mask"))
+    rows = _dealt(root, order, 0, depth, budget)
+    parts = []
+    while True:
+        crowded = rows.groupBy("low", "mask").agg(F.count("*").alias("n")).where(F.col("n") > node_rows).select("low", "mask")
+        crowded = written(crowded, "crowded-nodes") if depth + STEP_BITS < BITS - 1 else crowded.limit(0)
+        if crowded.isEmpty():
+            parts.append(_walked(rows, order, depth, budget))
+            break
+        parts.append(_walked(rows.join(crowded, ["low", "mask"], "left_anti"), order, depth, budget))
+        rows = written(_dealt(rows.join(crowded, ["low", "mask"]), order, depth, depth + STEP_BITS, budget), "split-nodes")
+        depth += STEP_BITS
+    found = parts[0]
+    for one in parts[1:]:
+        found = found.union(one)
+    return found
+
+
+def _walked(rows: DataFrame, order: list[int], top: int, budget: int) -> DataFrame:
+    """The links of each pair of nodes at depth ``top``, as a forest: ``u, v``."""
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(low: int, mask: int, group: np.ndarray) -> pa.RecordBatch | None:
@@ -211,6 +242,8 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
         key: tuple[int, int] | None = None
         kind = np.dtype([("f", np.int64), ("id", np.int64), ("high", bool)])
         for batch in batches:
+            if not batch.num_rows:
+                continue
             low, mask = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("low", "mask"))
             rows = np.empty(len(low), kind)
             for name, column in (("f", "fingerprint"), ("id", "id"), ("high", "high")):
@@ -228,17 +261,19 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
         if key is not None and (out := pairs(*map(int, key), np.concatenate(kept))):
             yield out
 
-    return dealt.repartition("low", "mask").sortWithinPartitions("low", "mask").mapInArrow(walked, "u long, v long")
+    keyed = rows.select("fingerprint", "id", "low", "mask", "high")
+    return keyed.repartition("low", "mask").sortWithinPartitions("low", "mask").mapInArrow(walked, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, words: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (long), ``component_id`` (smallest reachable doc_id, itself included).
 
     Texts without words share fingerprint 0 and so one component. Rows that repeat a doc_id
-    are kept as they are. An empty table gives an empty result.
+    are kept as they are. Rows without a doc_id link nothing; their component_id is that of rows
+    with the same fingerprint, null if there are none. An empty table gives an empty result.
     """
     prints = written(fingerprints(documents, words, seed), "fingerprints")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
+    distinct = written(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
     found = components(links(distinct, budget))
     roots = written(distinct.join(found, distinct["id"] == found["node"], "left").select("fingerprint", F.coalesce("root", "id").alias("component_id")), "fingerprint-components")
-    return prints.join(roots, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(roots, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")

@@ -61,6 +61,27 @@ def test_chains_and_dense_groups(spark):
     assert len({r for n, r in roots.items() if n >= 1000}) == 1
 
 
+def test_crowded_nodes_are_split(spark):
+    """Fingerprints that share most bits fill one node; with nodes of a few rows the links are the same."""
+    rng = np.random.default_rng(5)
+    near = np.uint64(0x5A5A << 40) ^ rng.integers(0, 1 << 12, 700, np.uint64)
+    far = rng.integers(0, 1 << 63, 200, np.uint64)
+    values = np.unique(np.concatenate((near, far, far ^ np.uint64(3 << 20))))
+    frame = spark.createDataFrame([(i, int(f.view(np.int64))) for i, f in enumerate(values)], "id long, fingerprint long")
+    from proseloom.operators.components import components
+
+    want = brute_components({i: int(f) for i, f in enumerate(values)}, 2)
+    for node_rows in (8, 1 << 16):
+        roots = {r.node: r.root for r in components(simhash.links(frame, 2, node_rows)).collect()}
+        assert {i: roots.get(i, i) for i in range(len(values))} == want
+
+
+def test_rows_without_ids(spark):
+    rows = [(None, "a b c d"), (2**60 + 1, "a b c d"), (2**60 + 3, "a b c d"), (None, "quite another text of words"), (5, None)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 2**60 + 1), (5, 5), (2**60 + 1, 2**60 + 1), (2**60 + 3, 2**60 + 1)]
+
+
 def test_empty_and_repeated(empty, documents):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.near_duplicates(documents).count() == documents.count()
