@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.llm._words import slices, utf8
+
 # Fixed values of the HTML syntax.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -30,7 +32,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre figure figcaption nav header footer aside form a span b i em strong dl dt dd img label button details summary".split()
 
-_TOKEN = re.compile(r"<!--(?:.*?)(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _PIECE = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -41,42 +44,111 @@ GOOD = "article content main body post entry story text prose".split()
 BAD = "nav menu header footer sidebar side comment comments reply discussion ad ads advert banner sponsor promo cookie consent notice popup modal newsletter subscribe share social related recommended breadcrumb pagination widget login search form copyright tags meta".split()
 
 
+class _Tags:
+    """Where tags end. Each position is looked at a bounded number of times, whatever is left open."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+        self.unquoted = -1  # up to here quotes mean nothing, as one of them is never closed
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends at ``at``; -1: none does."""
+        if at > self.last[">"]:
+            return -1
+        start = at
+        while start > self.unquoted and (found := _STOP.search(self.source, at)):
+            quote = found[0]
+            if quote == ">":
+                return found.start()
+            if found.start() == self.last[quote]:
+                self.unquoted = found.start()
+                break
+            at = self.source.find(quote, found.end()) + 1
+        else:
+            self.unquoted = max(self.unquoted, len(self.source) if start > self.unquoted else -1)
+        return self.source.find(">", start)
+
+
+class _Open:
+    """The open elements, and for each tag, for blocks and for barriers where they stand among them."""
+
+    BARRIERS = frozenset("article section main td th table div body".split())
+
+    def __init__(self):
+        self.elements, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {"#block": [], "#barrier": []}
+
+    def _kinds(self, tag: str) -> list[str]:
+        return [tag, *(["#block"] if tag not in INLINE else []), *(["#barrier"] if tag in self.BARRIERS else [])]
+
+    def last(self, *kinds: str) -> int:
+        return max((self.places[k][-1] for k in kinds if self.places.get(k)), default=-1)
+
+    def push(self, element: int, tag: str) -> None:
+        for k in self._kinds(tag):
+            self.places.setdefault(k, []).append(len(self.elements))
+        self.elements.append(element)
+        self.tags.append(tag)
+
+    def cut(self, place: int) -> None:
+        """Closes the elements from this place on."""
+        while len(self.elements) > place:
+            self.elements.pop()
+            for k in self._kinds(self.tags.pop()):
+                self.places[k].pop()
+
+
 class Dom:
     """Elements in page order: tag, parent, attribute tokens, and text runs (element, place among all, text)."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.tokens, self.hidden = ["#root"], [-1], [()], [False]
         self.runs: list[tuple[int, str]] = []
-        open_: list[int] = [0]
-        at, end = 0, len(source)
+        open_, tags = _Open(), _Tags(source)
+        at, text, end = 0, 0, len(source)  # text: where the run of text began
         while at < end:
-            found = _TOKEN.search(source, at)
-            stop = found.start() if found else end
-            if stop > at:
-                self.runs.append((open_[-1], html.unescape(source[at:stop])))
-            if not found:
+            found = source.find("<", at)
+            if found < 0:
                 break
-            at = found.end()
-            if not found[2]:
+            name, stop = None, -1
+            if source.startswith("<!--", found):
+                stop = source.find("-->", found + 4)
+                stop = end if stop < 0 else stop + 3
+            elif source.startswith(("<!", "<?"), found):
+                stop = source.find(">", found) + 1 if found < tags.last[">"] else -1
+            elif name := _NAME.match(source, found):
+                stop = tags.end(name.end()) + 1
+            if stop <= 0:  # no markup
+                at = found + 1
                 continue
-            tag = found[2].lower()
-            if found[1]:
+            self._text(open_, source[text:found])
+            at = text = stop
+            if not name:
+                continue
+            tag, attributes = name[2].lower(), source[name.end() : stop - 1]
+            if name[1]:
                 self._close(open_, tag)
                 continue
             self._imply(open_, tag)
-            self._add(open_[-1], tag, found[3])
+            self._add(open_.elements[-1], tag, attributes)
             if tag == "br":
-                self.runs.append((open_[-1], "\n"))
+                self.runs.append((open_.elements[-1], "\n"))
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
                 if tag == "textarea":
                     self.runs.append((len(self.tag) - 1, html.unescape(source[at : close.start() if close else end])))
-                at = close.end() if close else end
-            elif tag not in VOID and not (found[3].endswith("/") and tag in ("svg", "path", "g", "use", "circle", "rect", "line")):
-                open_.append(len(self.tag) - 1)
+                at = text = (source.find(">", close.end()) + 1 or end) if close else end
+            elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path", "g", "use", "circle", "rect", "line")):
+                open_.push(len(self.tag) - 1, tag)
+        self._text(open_, source[text:])
+
+    def _text(self, open_: _Open, text: str) -> None:
+        if text:
+            self.runs.append((open_.elements[-1], html.unescape(text)))
 
     def _add(self, parent: int, tag: str, attributes: str) -> None:
-        tokens: tuple[str, ...] = ()
+        tokens: list[str] = []
         hidden = False
         if attributes and not attributes.isspace():
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -84,39 +156,28 @@ class Dom:
                 name = name.lower()
                 hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(_HIDDEN.search(value))
                 if name not in ("style", "hidden", "aria-hidden"):
-                    tokens += tuple(_PIECE.findall(value))
+                    tokens += _PIECE.findall(value)
         self.tag.append(tag)
         self.parent.append(parent)
-        self.tokens.append(tokens)
+        self.tokens.append(tuple(tokens))
         self.hidden.append(hidden)
 
-    def _close(self, open_: list[int], tag: str) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if self.tag[open_[k]] == tag:
-                del open_[k:]
-                return
-            if tag not in ("html", "body") and self.tag[open_[k]] in ("article", "section", "main", "td", "th", "table", "div", "body") and tag in INLINE:
-                return
+    def _close(self, open_: _Open, tag: str) -> None:
+        place = open_.last(tag)
+        if place > 0 and not (tag in INLINE and open_.last("#barrier") > place):
+            open_.cut(place)
 
-    def _imply(self, open_: list[int], tag: str) -> None:
+    def _imply(self, open_: _Open, tag: str) -> None:
         """Ends what a start tag ends: a paragraph before a block, an item before the next, the head before the body."""
         if tag in CLOSES_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if self.tag[open_[k]] == "p":
-                    del open_[k:]
-                    break
-                if self.tag[open_[k]] not in INLINE:
-                    break
+            if 0 < (place := open_.last("p")) == open_.last("#block"):
+                open_.cut(place)
         elif tag in CLOSES:
             ends, within = CLOSES[tag]
-            for k in range(len(open_) - 1, 0, -1):
-                if self.tag[open_[k]] in within:
-                    break
-                if self.tag[open_[k]] in ends.split():
-                    del open_[k:]
-                    break
-        if tag == "body" and any(self.tag[k] == "head" for k in open_):
-            del open_[next(k for k, e in enumerate(open_) if self.tag[e] == "head") :]
+            if (place := open_.last(*ends.split())) > open_.last(*within) and place > 0:
+                open_.cut(place)
+        if tag == "body" and open_.places.get("head"):
+            open_.cut(open_.places["head"][0])
 
 
 NUMBERS = ("depth", "place", "siblings", "same", "children", "chars", "share", "link", "tags", "blocks", "stops", "before", "mean", "good", "bad", "bad_above", "good_above", "article_above", "hidden")
@@ -373,8 +434,8 @@ def extracted(pages: DataFrame, train_pages: int = 500) -> DataFrame:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for lo in range(0, batch.num_rows, 64):
-                doms = [Dom(h) for h in batch.column(2).slice(lo, 64).to_pylist()]
+            for lo, hi in slices(utf8(batch.column(2))[1]):
+                doms = [Dom(h) for h in batch.column(2).slice(lo, hi - lo).to_pylist()]
                 odds = trees.value.score(np.concatenate([features(d) for d in doms]))
                 at = np.cumsum([0, *(len(d.tag) for d in doms)])
                 out += [text_of(d, decoded(d, odds[a:b])) for d, a, b in zip(doms, at, at[1:], strict=False)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 import zlib
 
 import numpy as np
@@ -102,6 +104,32 @@ def test_decoding_is_consistent_and_best():
         assert abs(sum(odds[i] for i in range(1, n) if kept[i]) - best) < 1e-9
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a ">', "<b><i>", "</x>", "<p><i>", "<div></b>", "<!", "</script ", "<script></script ", "<a class='x ", '<a x="" ', '<a "><b" ', "<li><i>", "<body>", "&amp", "<!--", "<td>"])
+def test_broken_markup_takes_linear_time(piece, trees):
+    import time
+
+    begin = time.process_time()
+    dom = html_extract.Dom(piece * 100_000)
+    assert time.process_time() - begin < 5
+    assert len(dom.tag) == len(dom.parent)
+
+
+def _article(source: str) -> str:
+    """The article of a page of the table, read by its own few shapes: blocks are h1, p, li and the like, br is a space."""
+    inside = re.search(r"<article>(.*?)(<section|<div|<aside|<form|<nav|<ul class|</article>)", source, re.DOTALL)[1]
+    blocks = re.split(r"</?(?:h[1-6]|p|li|ul|ol|blockquote|pre|figure|figcaption|table|tr|td)\b[^>]*>", re.sub(r"<br\s*/?>", " ", inside))
+    return "\n".join(x for b in blocks if (x := " ".join(html.unescape(re.sub(r"</?[a-z][^>]*>", "", b)).split())))
+
+
+def test_pages_of_the_table(spark):
+    pages = {r.page_id: r.html for r in table(spark, SF, "pages").where("html is not null").collect()}
+    found = {r.page_id: r.text for r in html_extract.extracted(table(spark, SF, "pages")).collect()}
+    plain = [i for i, h in pages.items() if h.count("<article>") == 1]
+    assert len(plain) > 0.9 * len(pages)
+    wrong = [i for i in plain if found[i] != _article(pages[i])]
+    assert len(wrong) <= 0.01 * len(plain), wrong[:5]
+
+
 def test_pages_odd_input(spark):
     rows = [
         (1, "u", None), (2, "u", ""), (3, None, "no markup &amp; &#233;"), (4, "u", "<p>one<p>two  \n three<br>four"), (5, "u", "<article><script>var a='<p>';</script><p>x &lt; y</p></article>"),
