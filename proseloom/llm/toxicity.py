@@ -2,14 +2,15 @@
 
 A text's features are its distinct words and the beginnings of its words, hashed. Training
 minimises the logistic loss with an L1 term, so that the many words without any bearing
-get no weight and a long text is not judged by the sum of small ones. For each training
-sentence that names a group, each group term is swapped for the others of its kind, and the
-squared change of the score is penalised: a mention alone then moves no score.
+get no weight and a long text is not judged by the sum of small ones. In each training
+sentence that names a group, each group term (pronouns among them) is swapped for the others
+of its kind, and the squared change of the score is penalised: a mention alone then moves no
+score. Of a sentence and its counterpart only the features that differ matter, so what a task
+hands over for a text is the swaps it offers, not copies of its sentences.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +43,27 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "deaf", "blind"),
     ("old", "young", "elderly"),
+    ("he", "she"),
+    ("him", "her"),
+    ("his", "hers"),
     ("frauen", "männer"),
+    ("frau", "mann"),
+    ("er", "sie"),
+    ("ihm", "ihr"),
+    ("ausländer", "flüchtlinge", "einheimische"),
     ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("il", "elle"),
+    ("ils", "elles"),
+    ("immigrés", "réfugiés", "étrangers"),
     ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("él", "ella"),
+    ("ellos", "ellas"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
 _KIN = {term: [x for x in kind if x != term] for kind in IDENTITY_TERMS for term in kind}
-_IDENTITY = re.compile(r"(?<!\w)(" + "|".join(sorted(_KIN, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
-
+_TERMS = sorted(_KIN)
 
 def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs, as two arrays."""
@@ -74,13 +88,33 @@ def _of_texts(many: list[str]) -> Rows:
     return Rows(len(many), row, column)
 
 
-def _swaps(text: str) -> list[tuple[str, str]]:
-    """Sentences of the text that name a group, each with a version in which one term is swapped."""
-    out = []
-    for sentence in _SENTENCE.findall(text) if _IDENTITY.search(text) else []:
-        for m in _IDENTITY.finditer(sentence):
-            out += [(sentence, sentence[: m.start()] + kin + sentence[m.end() :]) for kin in _KIN.get(m[0].lower(), [])]
-    return out
+def _named(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, number of the group term) of the terms that a row's sentences name, as two arrays."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    prefix = Words(*utf8(pa.array(_TERMS)), ALPHANUMERIC)
+    known = prefix.hashes()
+    order = np.argsort(known)
+    at, there = chosen(words.hashes(), known[order])
+    where = np.flatnonzero(there)
+    spelled = [words.data[a:b].tobytes().decode(errors="replace") for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)]
+    term = order[at[where]]
+    same = np.array([w == _TERMS[t] for w, t in zip(spelled, term.tolist(), strict=True)], bool)
+    where, term = where[same], term[same]
+    pairs = np.unique(words.row()[where] * len(_TERMS) + term)
+    return pairs // len(_TERMS), pairs % len(_TERMS)
+
+
+def _changes() -> tuple[list[tuple[int, str]], Rows]:
+    """All swaps (number of the term, kin), and what each changes: +1 for the features that go, -1 for those that come."""
+    swaps = [(t, kin) for t, term in enumerate(_TERMS) for kin in _KIN[term]]
+    out, into = _of_texts([_TERMS[t] for t, _ in swaps]), _of_texts([kin for _, kin in swaps])
+    row, column = np.concatenate((out.row, into.row)), np.concatenate((out.column, into.column))
+    value = np.concatenate((np.ones(len(out.row)), -np.ones(len(into.row))))
+    pairs, place = np.unique(row << HASH_BITS | column, return_inverse=True)
+    summed = np.bincount(place, value, len(pairs))
+    keep = summed != 0  # beginnings that both words share do not change
+    return swaps, Rows(len(swaps), pairs[keep] >> HASH_BITS, pairs[keep] & ((1 << HASH_BITS) - 1), summed[keep])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -89,8 +123,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class Model:
-    def __init__(self, columns: np.ndarray, weights: np.ndarray, bias: float):
-        self.columns, self.weights, self.bias = columns, weights, bias
+    """swaps: counterfactual pairs that the fit saw (each text's distinct ones)."""
+
+    def __init__(self, columns: np.ndarray, weights: np.ndarray, bias: float, swaps: int = 0):
+        self.columns, self.weights, self.bias, self.swaps = columns, weights, bias, swaps
 
     def score(self, rows: Rows) -> np.ndarray:
         at, there = chosen(rows.column, self.columns)
@@ -101,7 +137,8 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, l
     """Fits on at most ``max_train`` labelled rows that are not held out, chosen by the hash of their doc_id.
 
     Rows with a null label, doc_id or text, and labels without a document, are left out. Of
-    repeated labels of one document the largest counts. Without any row, every score is 0.5.
+    repeated labels of one document the largest counts; each row that repeats a doc_id counts.
+    Without any row, every score is 0.5. A term of several words takes part in no swap.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -113,41 +150,40 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, l
     there = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     ids = there.join(marked, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = texts(documents.where("text is not null")).join(F.broadcast(ids), "doc_id")  # at most max_train ids
-    swap_kind = pa.list_(pa.struct([("text", pa.string()), ("swapped", pa.string())]))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each: list[np.ndarray] = []
+            named: list[np.ndarray] = []
             for lo, hi, words in word_slices(batch.column("text"), ALPHANUMERIC, lower=True):
-                row, column = _features(words)
-                each += np.split(column.astype(np.int32), np.searchsorted(row, np.arange(1, hi - lo)))
-            swaps = [[{"text": a, "swapped": b} for a, b in _swaps(t)] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(each, pa.list_(pa.int32())), pa.array(swaps, swap_kind)], ["toxic", "features", "swaps"]
-            )
+                for found, (row, column) in ((each, _features(words)), (named, _named(words))):
+                    found += np.split(column.astype(np.int32), np.searchsorted(row, np.arange(1, hi - lo)))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(each, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.int32()))], ["toxic", "features", "named"])
 
-    found = sample.mapInArrow(featured, "toxic int, features array<int>, swaps array<struct<text:string,swapped:string>>").toArrow()
+    found = sample.mapInArrow(featured, "toxic int, features array<int>, named array<int>").toArrow()
     if not found.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     target = found.column("toxic").to_numpy().astype(float)
     features = found.column("features").combine_chunks()
     column = features.flatten().to_numpy()
-    swaps = [(x["text"], x["swapped"]) for one in found.column("swaps").to_pylist() for x in one]
-    before, after = _of_texts([a for a, _ in swaps]), _of_texts([b for _, b in swaps])
     counts = np.diff(features.offsets.to_numpy())
+    named = np.bincount(found.column("named").combine_chunks().flatten().to_numpy(), minlength=len(_TERMS))
+    swaps, changes = _changes()
+    seen = np.array([named[t] for t, _ in swaps])  # texts that offer each swap
+    own = np.unique(changes.column[seen[changes.row] > 0])  # a few for each of the fixed swaps
     common = compact(column[np.repeat(target == 0, counts)], max(LEAST_ROWS, MOST_SHARE * (target == 0).sum()), len(column))
-    keep = np.setdiff1d(compact(column, LEAST_ROWS, MOST_FEATURES), common)
-    if swaps:
-        keep = np.union1d(keep, np.intersect1d(column, np.union1d(before.column, after.column)))
+    keep = np.setdiff1d(compact(column, LEAST_ROWS, MOST_FEATURES - len(own)), common)
+    keep = np.union1d(keep, np.intersect1d(column, own))
     rows = design(counts, column, keep)
     change = None
-    if swaps:
-        at, there = chosen(np.concatenate((before.column, after.column)), keep)
-        value = np.concatenate((np.ones(len(before.column)), -np.ones(len(after.column))))
-        change = Rows(len(swaps), np.concatenate((before.row, after.row))[there], at[there], value[there])
+    if seen.any():
+        # a swap offered n times counts n times: its row is scaled by the root of its share
+        at, there = chosen(changes.column, keep)
+        weight = np.sqrt(seen / seen.sum() * len(swaps))[changes.row]
+        change = Rows(len(swaps), changes.row[there], at[there], (changes.value * weight)[there])
     weights, bias = fit(rows, target, len(keep), l1 / len(target) ** 0.5, change, penalty)
     used = weights != 0
-    return Model(keep[used], weights[used], bias)
+    return Model(keep[used], weights[used], bias, int(seen.sum()))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
