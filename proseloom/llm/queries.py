@@ -26,7 +26,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature errors".split()
+    digests = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature errors pts random_access sizes".split()
     return transport_stream.parsed(transport_stream.media(table(spark, sf_dir, "documents"))).select(*digests)
 
 

@@ -15,14 +15,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from proseloom.llm._tables import texts
+from proseloom.llm._words import slices, utf8
 
 #: Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PRIVATE_PES, CLOCK = 188, 0x47, 0x0000, 0x1000, 0x0100, 0x06, 90_000
 STREAM_ID = 0xBD
-#: Payload bytes of one access unit, ticks between units (25 a second), units between random-access points.
+#: Payload bytes of one access unit, ticks between units (25 a second), units between random-access points; before each of these the tables are repeated.
 UNIT, TICKS, RANDOM_ACCESS_EVERY = 4096, CLOCK // 25, 8
 ALIGN = 64
 _CRC = np.zeros(256, np.uint64)
@@ -52,6 +54,10 @@ def _table_packet(pid: int, section: bytes) -> bytes:
     return (head + section).ljust(PACKET, b"\xff")
 
 
+def _counted(packet: bytes, counter: int) -> bytes:
+    return packet[:3] + bytes([packet[3] | counter & 15]) + packet[4:]
+
+
 _PAT = _table_packet(PAT_PID, _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big")))
 _PMT = _table_packet(PMT_PID, _section(2, 1, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\0" + bytes([PRIVATE_PES]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\0"))
 
@@ -67,13 +73,15 @@ def _unstamp(b: bytes) -> int:
 
 def mux(payload: bytes) -> bytes:
     """The payload as a transport stream with one program of one elementary stream."""
-    out = [_PAT, _PMT]
-    counter = 0
+    out = []
+    counter = tables = 0
     for unit, at in enumerate(range(0, len(payload), UNIT)):
         data = payload[at : at + UNIT]
         data = b"\0\0\1" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(unit * TICKS) + data
         pcr = b""
         if unit % RANDOM_ACCESS_EVERY == 0:
+            out += [_counted(_PAT, tables), _counted(_PMT, tables)]
+            tables += 1
             pcr = b"\x07\x50" + (((unit * TICKS) & ((1 << 33) - 1)) << 15 | 0x7E00).to_bytes(6, "big")
         first = PACKET - 4 - len(pcr)
         heads = [data[:first], *(data[i : i + PACKET - 4] for i in range(first, len(data), PACKET - 4))]
@@ -91,7 +99,7 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds. ``errors`` counts lost sync bytes, bad table checksums, continuity breaks and truncated units."""
+    """What a transport stream holds. ``errors`` counts lost sync bytes, bad or truncated tables, continuity breaks (of any packets' counter) and truncated units."""
 
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
@@ -102,15 +110,50 @@ class Stream:
     payload: dict[int, bytes] = field(default_factory=dict)
 
 
-def _read_section(payload: bytes, stream: Stream) -> bytes | None:
-    if not payload or len(payload) < payload[0] + 4:
-        return None
-    section = payload[payload[0] + 1 :]
-    section = section[: 3 + (int.from_bytes(section[1:3], "big") & 0x0FFF)]
-    if len(section) < 12 or crc_mpeg(section):
-        stream.errors["crc"] += 1
-        return None
-    return section
+def _sections(packets: np.ndarray, body: np.ndarray, begins: np.ndarray, stream: Stream) -> Iterator[bytes]:
+    """The sections of one table's packets, in one packet or over several."""
+    held = b""
+
+    def whole(last: bool) -> Iterator[bytes]:
+        nonlocal held
+        while held and held[0] != 0xFF:  # 0xFF: stuffing up to the packet's end
+            size = 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF) if len(held) >= 3 else 0
+            if not size or len(held) < size:
+                if last:
+                    stream.errors["crc"] += 1
+                    held = b""
+                return
+            section, held = held[:size], held[size:]
+            if size < 12 or crc_mpeg(section):
+                stream.errors["crc"] += 1
+            else:
+                yield section
+        held = b""
+
+    for packet, at, first in zip(packets, body.tolist(), begins.tolist(), strict=True):
+        payload = packet[at:].tobytes()
+        if not payload:
+            continue
+        if first:
+            pointer = payload[0]
+            held = held + payload[1 : 1 + pointer] if held else b""
+            yield from whole(last=True)
+            held = payload[1 + pointer :]
+        elif held:
+            held += payload
+        yield from whole(last=False)
+    yield from whole(last=True)
+
+
+def _continuity(counter: np.ndarray, signalled: np.ndarray, packets: np.ndarray, stream: Stream) -> np.ndarray:
+    """Counts the breaks of one elementary stream's counter; which packets to read: one that repeats its predecessor is legal and dropped. A signalled discontinuity is no break."""
+    step = np.diff(counter.astype(np.int64)) & 15
+    again = np.zeros(len(counter), bool)
+    same = np.flatnonzero(step == 0) + 1
+    again[same] = (packets[same] == packets[same - 1]).all(1)
+    again[1:] &= ~again[:-1]  # once only
+    stream.errors["continuity"] += int(((step != 1) & ~again[1:] & ~signalled[1:]).sum())
+    return ~again
 
 
 def demux(data: bytes) -> Stream:
@@ -138,20 +181,30 @@ def demux(data: bytes) -> Stream:
     pid = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
     begins, has_field, has_payload, counter = packets[:, 1] & 0x40 > 0, packets[:, 3] & 0x20 > 0, packets[:, 3] & 0x10 > 0, packets[:, 3] & 15
     body = 4 + np.where(has_field, packets[:, 4].astype(np.int64) + 1, 0)
-    for table in np.flatnonzero((pid == PAT_PID) & begins).tolist():
-        if section := _read_section(packets[table, int(body[table]) :].tobytes(), stream):
-            stream.programs |= {int.from_bytes(section[i : i + 2], "big"): int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(section) - 4, 4)}
-    for table in np.flatnonzero(np.isin(pid, list(stream.programs.values())) & begins).tolist():
-        if section := _read_section(packets[table, int(body[table]) :].tobytes(), stream):
+    signalled = has_field & (packets[:, 4] > 0) & (packets[:, 5] & 0x80 > 0)
+
+    def read(one: int) -> np.ndarray:
+        own = np.flatnonzero((pid == one) & has_payload)
+        return own[_continuity(counter[own], signalled[own], packets[own], stream)] if len(own) else own
+
+    def sections(one: int, table: int) -> Iterator[bytes]:
+        own = read(one)
+        return (x for x in _sections(packets[own], np.minimum(body[own], PACKET), begins[own], stream) if x[0] == table)
+
+    for section in sections(PAT_PID, 0):
+        for i in range(8, len(section) - 4, 4):
+            if number := int.from_bytes(section[i : i + 2], "big"):  # program 0 is the network's table
+                stream.programs[number] = int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF
+    for one in sorted(set(stream.programs.values())):
+        for section in sections(one, 2):
             at = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
             while at + 5 <= len(section) - 4:
                 stream.streams[int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF] = section[at]
                 at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0x0FFF)
     for one in stream.streams:
-        own = np.flatnonzero((pid == one) & has_payload)
+        own = read(one)
         if not len(own):
             continue
-        stream.errors["continuity"] += int(((np.diff(counter[own].astype(np.int64)) & 15) != 1).sum())
         mask = np.arange(PACKET) >= np.minimum(body[own], PACKET)[:, None]
         flat = packets[own][mask].tobytes()
         ends = np.cumsum(mask.sum(1))
@@ -197,8 +250,8 @@ def media(documents: DataFrame) -> DataFrame:
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):  # a few texts at a time: media are larger than texts
-                part = batch.slice(lo, 256)
+            for lo, hi in slices(utf8(batch.column(1))[1]):  # so many bytes at a time: media are larger than texts
+                part = batch.slice(lo, hi - lo)
                 made = [padded(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([mux(p) for _, p in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -213,8 +266,9 @@ def parsed(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy().astype(np.int64))))
+            for lo, hi in slices(sizes):
+                part = batch.slice(lo, hi - lo)
                 rows = []
                 for data in part.column(2).to_pylist():
                     stream = demux(data or b"")

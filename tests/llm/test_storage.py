@@ -38,8 +38,30 @@ def test_stream_faults_are_counted():
     assert [u[3] for u in stamps] == [i % 8 == 0 for i in range(len(stamps))]
 
 
+def test_stream_faults_that_are_none():
+    ts = transport_stream
+    whole = ts.mux(bytes(range(256)) * 400)
+    packets = [whole[i : i + 188] for i in range(0, len(whole), 188)]
+    clean = ts.demux(whole)
+    own = [k for k, p in enumerate(packets) if p[1] & 0x1F == ts.ES_PID >> 8 and p[2] == ts.ES_PID & 0xFF and not p[3] & 0x20]
+    twice = ts.demux(b"".join([*packets[: own[3] + 1], packets[own[3]], *packets[own[3] + 1 :]]))
+    assert not sum(twice.errors.values()) and twice.payload == clean.payload
+    assert ts.demux(b"".join([*packets[: own[3] + 1], *[packets[own[3]]] * 2, *packets[own[3] + 1 :]])).errors["continuity"] == 1
+    jump = bytes([0x47, 1, 0, 0x30 | packets[own[3]][3] + 5 & 15, 1, 0x80]) + bytes(182)
+    assert ts.demux(b"".join([*packets[: own[3] + 1], jump])).errors["continuity"] == 0
+    # a program map over two packets, after a table that names the network
+    pat = ts._table_packet(0, ts._section(0, 1, bytes([0, 0, 0xE0, 0x10, 0, 1, 0xF0, 0])))
+    streams = b"".join(bytes([6]) + (0xE000 | 0x100 + k).to_bytes(2, "big") + b"\xf0\0" for k in range(50))
+    section = ts._section(2, 1, (0xE000 | 0x100).to_bytes(2, "big") + b"\xf0\0" + streams)
+    head = bytes([0x47, 0x50, 0, 0x10, 0]) + section[:183], bytes([0x47, 0x10, 0, 0x11]) + section[183:].ljust(184, b"\xff")
+    found = ts.demux(pat + b"".join(head))
+    assert found.programs == {1: 0x1000} and len(found.streams) == 50 and not sum(found.errors.values())
+    assert ts.demux(pat + head[0]).errors["crc"] == 1
+
+
 def test_media_of_documents(documents, empty, rows):
     found = transport_stream.parsed(transport_stream.media(documents)).collect()
+    assert all(len(r.pts) == len(r.sizes) == len(r.random_access) and sum(r.sizes) == r.payload_bytes and not r.errors for r in found)
     texts = Counter((i, t or "") for i, t, *_ in rows)
     assert len(found) == len(rows)
     want = Counter()
