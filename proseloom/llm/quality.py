@@ -189,7 +189,8 @@ def scored(documents: DataFrame, max_train: int = MAX_TRAIN, threshold: float =
     """Per document: ``doc_id, posterior`` (of the labellers), ``score`` (0 to 1, of the linear model), ``keep`` (boolean: score is at least ``threshold``).
 
     Null and empty texts are judged like any other (their votes are those of a text without
-    words). An empty table gives an empty result.
+    words). Rows that repeat a doc_id are judged one by one, and count one by one in the fit;
+    rows without a doc_id are not fitted on. An empty table gives an empty result.
     """
     posterior = _odds(*labellers(documents))
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)

@@ -45,6 +45,29 @@ def test_swaps_lower_the_weight_of_groups(spark):
     assert gap(50.0) < 0.25 * gap(0.0)
 
 
+def test_swaps_of_the_table_lower_the_gap(spark):
+    """The labelled texts offer swaps, and with the penalty on, neutral held-out mentions score alike whoever they name."""
+    documents, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    pairs = [(a, b) for kind in toxicity.IDENTITY_TERMS for a in kind for b in kind if a < b]
+    neutral = spark.createDataFrame([(2 * i + k, f"the house of {x} near the river") for i, p in enumerate(pairs) for k, x in enumerate(p)], "doc_id long, text string")
+
+    def gap(penalty: float) -> float:
+        model = toxicity.train(documents, labels, l1=0.0005, penalty=penalty)
+        assert model.swaps > 100
+        scores = {r.doc_id: r.score for r in toxicity.scored(neutral, model).collect()}
+        return sum(abs(scores[2 * i] - scores[2 * i + 1]) for i in range(len(pairs)))
+
+    on, off = gap(toxicity.PENALTY), gap(0.0)
+    assert on < off
+
+
+def test_long_texts_offer_swaps_in_linear_memory(spark):
+    long = "she and he and the muslims " * 20_000
+    documents = spark.createDataFrame([(i, long if i == 0 else f"plain words {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.train(documents, labels).swaps in (0, 7)  # he, she: one each; muslims: five
+
+
 def test_toxicity_odd_input(spark, documents, empty):
     labels = spark.createDataFrame([(6, None), (None, 1), (9999, 1), (20, 1), (20, 0)], "doc_id long, toxic int").selectExpr("doc_id", "1 quality", "toxic")
     assert toxicity.classified(documents, labels).count() == documents.count()
@@ -53,6 +76,47 @@ def test_toxicity_odd_input(spark, documents, empty):
     assert toxicity.classified(empty, labels).count() == 0
 
 
+def plain_em(rows: list[tuple], rounds: int) -> tuple[float, list]:
+    """The same estimate by a plain loop over rows."""
+    m, n = len(rows[0]), len(rows)
+    believed = [[quality.BELIEF * n * x + 1 for x in one] for one in quality.PRIOR_VOTES]
+    good = [1 / (1 + np.exp(-(sum(v > 0 for v in r) - 3.0 * sum(v < 0 for v in r)))) for r in rows]
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (n + 2)
+        table = [[[believed[c][v] for v in range(3)] for c in range(2)] for _ in range(m)]
+        for r, g in zip(rows, good, strict=True):
+            for k, v in enumerate(r):
+                table[k][0][v + 1] += 1 - g
+                table[k][1][v + 1] += g
+        table = [[[x / sum(c) for x in c] for c in one] for one in table]
+        good = []
+        for r in rows:
+            odds = np.log(prior / (1 - prior)) + sum(np.log(table[k][1][v + 1] / table[k][0][v + 1]) for k, v in enumerate(r))
+            good.append(1 / (1 + np.exp(-odds)))
+    return prior, table
+
+
+def test_accuracies_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(2)
+    truth = rng.random(400) < 0.7
+    votes = np.where(rng.random((400, 4)) < 0.8, np.where(truth, 1, -1)[:, None], rng.integers(-1, 2, (400, 4)))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    prior, found = quality.accuracies(patterns, counts.astype(float), rounds=12)
+    want_prior, want = plain_em([tuple(r) for r in votes.tolist()], 12)
+    assert abs(prior - want_prior) < 1e-9 and np.abs(found - np.array(want)).max() < 1e-9
+
+
+def test_labellers_against_labels(spark):
+    """Votes for good are more often right than wrong: what EM believes of each labeller agrees with the table's labels."""
+    documents, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    _, found = quality.labellers(documents)
+    marked = quality._mapped(documents.select("doc_id", "text")).select("doc_id", *(v.alias(k) for k, v in quality.votes().items())).join(labels, "doc_id").collect()
+    for k, name in enumerate(quality.votes()):
+        good = [r[name] for r in marked if r.quality]
+        share = sum(v == 1 for v in good) / len(good)
+        assert abs(share - found[k, 1, 2]) < 0.15, name
+
+
 def test_accuracies_recover_labellers():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.8
