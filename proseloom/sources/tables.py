@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,18 +16,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where nothing is set (tests), a temporary folder."""
+    """``spark.checkpoint.dir``: a folder that driver and executors share. Without it a local session uses a temporary folder; a cluster has no such folder, so there it is an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="proseloom-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Paths written since each enclosing ``scratch`` began.
+_open: list[list[str]] = []
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read back: a lost executor costs a re-read, not the plan before it."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/proseloom/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at its end, the tables that ``written`` made inside, but for those whose paths are taken out of the list it gives."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        for path in _open.pop():
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
