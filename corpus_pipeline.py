@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.llm import decontaminate, packing, pii, simhash, toxicity
-from proseloom.llm._tables import table, written
-from proseloom.llm.queries import tokenizer_path
+from proseloom.llm._tables import scratch, table, written
+from proseloom.llm.queries import SMOOTHING, tokenizer_path
 
 
-#: Key of a row within a stage.
-ROW = "_row"
+#: Key of a row within a stage; no column of documents has this name.
+ROW = "__stage_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _by_row(keyed: DataFrame) -> DataFrame:
 
 def _with(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of keyed whose key is a doc_id in kept, without the key."""
-    return keyed.join(kept.select(F.col("doc_id").alias("kept_row")), F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW)
+    return keyed.join(kept.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,16 +56,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it are replaced in the text; n_chars follows. Each row carries its other columns along."""
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.col("text").isNull().alias("_no_text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.col("text").isNull().alias("__no_text"))
     found = pii.sanitised(docs.select("doc_id", "text", rest.alias("_rest")), more=("_rest",))
     changed = F.size(F.concat(*pii.PATTERNS)) > 0
-    text = F.when(~F.col("_rest._no_text"), F.when(changed, F.col("clean")).otherwise(F.col("text")))
+    text = F.when(~F.col("_rest.__no_text"), F.when(changed, F.col("clean")).otherwise(F.col("text")))
     return found.select(*(text.alias(c) if c == "text" else F.when(changed, F.length("clean")).otherwise(F.col("_rest")[c]).cast(t).alias(c) if c == "n_chars" else F.col("_rest")[c].alias(c) for c, t in docs.dtypes))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 tokens with every source at its share."""
-    return packing.packed(docs, tokenizer_path())
+    """Windows of 2048 tokens with every source at its target share."""
+    return packing.packed(docs, tokenizer_path(), smoothing=SMOOTHING)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", redact), ("packing", pack)]
@@ -74,7 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, in a table of the shared folder; all other tables written on the way are removed."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with scratch(spark) as stages:
+        for name, stage in STAGES:
+            with scratch(spark) as made:
+                docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+                stages.append(made.pop())
+        stages.pop()
     return docs

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseloom.sources.tables import table, written
+from proseloom.sources.tables import scratch, table, written
 
-__all__ = ["table", "texts", "written"]
+__all__ = ["scratch", "table", "texts", "written"]
 
 
 def texts(documents: DataFrame, *more: str) -> DataFrame:

@@ -57,3 +57,25 @@ def test_toxicity_judges_rows_without_an_id(spark):
     both = stage(spark, documents.unionByName(unnamed), SF).where("doc_id is null")
     assert 0 < len(kept) < documents.select("text").distinct().count()
     assert {r.text for r in both.collect()} == kept
+
+
+def test_columns_of_any_name_and_no_tables_left(spark):
+    rows = [(i, f"some words of text number {i} sent by a{i}@mail.example.org", "en", "a", 9, "x", "y", "z", 3, 4) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, clean string, clean_id string, kept_id string, kept_row long, score long")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.dtypes == docs.dtypes, name
+    assert now.count() > 0 and not [r for r in now.collect() if "@" in r.text]
+
+
+def test_run_leaves_only_its_result(spark):
+    import os
+
+    from proseloom.sources.tables import shared_dir
+
+    folder = f"{shared_dir(spark)}/proseloom".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("stage-packing")
