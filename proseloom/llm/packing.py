@@ -19,9 +19,9 @@ slot in the same way, and the last, partial window is cut at powers of two: noth
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from proseloom.llm._words import NOT_SPACE, Words, slices, utf8
 
 WINDOW, UNIT, END = 2048, 128, 1
 #: Words' parts whose ids a Python worker remembers at most; pieces of one batch, about; slots of one sorted bucket, about; rows summed up in one step of a running sum, about.
-MOST_WORDS, BATCH, SPREAD, STEP = 2_000_000, 20_000, 1 << 16, 512
+MOST_WORDS, BATCH, SPREAD, STEP = 2_000_000, 20_000, 1 << 13, 512
 
 _known: dict[str, Ids] = {}
 
@@ -146,9 +146,12 @@ class Ids:
         size = ends - starts
         wrong = size != self.spelled_length[at]
         check = np.flatnonzero(~wrong)
-        same = self.spelled[_gathered(self.spelled_at[at[check]], size[check])] == words.data[_gathered(starts[check], size[check])]
+        own, size = starts[check], size[check]
+        ahead = np.repeat(self.spelled_at[at[check]] - own, size)
+        place = _gathered(own, size)
+        same = self.spelled[place + ahead] == words.data[place]
         if not same.all():
-            wrong[check[np.searchsorted(np.cumsum(size[check]), np.flatnonzero(~same), "right")]] = True
+            wrong[check[np.searchsorted(np.cumsum(size), np.flatnonzero(~same), "right")]] = True
         return np.flatnonzero(wrong)
 
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
@@ -184,7 +187,7 @@ class _Stream:
     """A task's part of one queue: full slots so far, and the pieces that wait for the next to fill."""
 
     def __init__(self):
-        self.slots, self.held, self.waiting = 0, 0, []  # waiting: doc_id, start, ids, doc_tokens
+        self.slots, self.held, self.waiting = 0, 0, []  # waiting: doc_id, start, ids as bytes, doc_tokens
 
 
 def _cut(documents: DataFrame, path: str, source: str, unit: int) -> DataFrame:
@@ -197,9 +200,6 @@ def _cut(documents: DataFrame, path: str, source: str, unit: int) -> DataFrame:
         streams: dict[str, _Stream] = {}
         made: list[tuple] = []
 
-        def piece(doc, start: int, one: np.ndarray, tokens: int, queue: str, size: int, slot: int, inside: int) -> None:
-            made.append((doc, start, len(one), zlib.crc32(one.tobytes()), tokens, queue, task, size, slot, inside))
-
         def emitted() -> pa.RecordBatch:
             columns = zip(*made, strict=True) if made else [[] for _ in names]
             out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
@@ -209,39 +209,38 @@ def _cut(documents: DataFrame, path: str, source: str, unit: int) -> DataFrame:
         for batch in batches:
             docs, queues = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for doc, queue, one in zip(docs, queues, ids(batch.column(1)), strict=True):
-                own = streams.setdefault(queue, _Stream())
-                n, at = len(one), 0
+                if (own := streams.get(queue)) is None:
+                    own = streams[queue] = _Stream()
+                data, n, at = memoryview(one).cast("B"), len(one), 0  # four bytes an id
                 if own.held:
                     at = min(n, unit - own.held)
-                    own.waiting.append((doc, 0, one[:at].copy(), n))
+                    own.waiting.append((doc, 0, bytes(data[: 4 * at]), n))
                     own.held += at
                     if own.held == unit:
                         inside = 0
                         for d, start, some, tokens in own.waiting:
-                            piece(d, start, some, tokens, queue, unit, own.slots, inside)
-                            inside += len(some)
+                            made.append((d, start, len(some) // 4, crc32(some), tokens, queue, task, unit, own.slots, inside))
+                            inside += len(some) // 4
                         own.slots, own.held, own.waiting = own.slots + 1, 0, []
-                while n - at >= unit:
-                    piece(doc, at, one[at : at + unit], n, queue, unit, own.slots, 0)
-                    own.slots += 1
-                    at += unit
-                if at < n:
-                    own.waiting.append((doc, at, one[at:].copy(), n))
-                    own.held += n - at
+                stop = n - (n - at) % unit
+                made += [(doc, k, unit, crc32(data[4 * k : 4 * (k + unit)]), n, queue, task, unit, own.slots + i, 0) for i, k in enumerate(range(at, stop, unit))]
+                own.slots += (stop - at) // unit
+                if stop < n:
+                    own.waiting.append((doc, stop, bytes(data[4 * stop :]), n))
+                    own.held += n - stop
                 if len(made) >= BATCH:
                     yield emitted()
         for queue, own in streams.items():
-            size = unit // 2
-            left = [x for x in own.waiting]
+            size, left = unit // 2, list(own.waiting)
             while size:
                 if own.held & size:
                     inside = 0
                     while inside < size:
                         d, start, some, tokens = left[0]
-                        take = min(len(some), size - inside)
-                        piece(d, start, some[:take], tokens, queue, size, 0, inside)
+                        take = min(len(some) // 4, size - inside)
+                        made.append((d, start, take, crc32(some[: 4 * take]), tokens, queue, task, size, 0, inside))
                         inside += take
-                        left[:1] = [(d, start + take, some[take:], tokens)] if take < len(some) else []
+                        left[:1] = [(d, start + take, some[4 * take :], tokens)] if 4 * take < len(some) else []
                 size //= 2
             if len(made) >= BATCH:
                 yield emitted()
