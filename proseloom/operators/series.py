@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import rules, text
 from proseloom.operators import lines as L
+from proseloom.sources.tables import written
 
 # Thresholds of the series checks.
 NGRAM, NGRAM_DOCS, NGRAM_REPORT = 4, 3, 10
@@ -104,8 +105,15 @@ def shared_ngrams(documents: DataFrame, n: int = NGRAM, least: int = NGRAM_DOCS,
     return content.groupBy(F.array_join("g", " ").alias("gram")).agg(F.count_distinct("k").alias("docs")).where(F.col("docs") >= least)
 
 
-def maximal_ngrams(documents: DataFrame, n: int = NGRAM, least: int = NGRAM_DOCS, report: int = NGRAM_REPORT) -> DataFrame:
-    """``passage, words, docs``: runs of shared n-grams joined to maximal passages, the most shared first (a top-``report`` list)."""
+def maximal_ngrams(documents: DataFrame, n: int = NGRAM, least: int | None = None, report: int = NGRAM_REPORT) -> DataFrame:
+    """``passage, words, docs``: runs of shared n-grams joined to maximal passages, the most shared first (a top-``report`` list).
+
+    A passage counts every document that holds it, inside a longer run too; one that lies in
+    another of at least as many documents is left out. least: NGRAM_DOCS, or 2 for at most
+    three documents.
+    """
+    if least is None:
+        least = NGRAM_DOCS if documents.select("doc_id").distinct().limit(4).count() > 3 else 2
     shared = shared_ngrams(documents, n, least).select("gram")
     tokens = F.transform(text.words(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.lower(w))
     placed = documents.select("doc_id", tokens.alias("t")).select("doc_id", F.posexplode(text.grams(F.col("t"), n)).alias("at", "g")).select("doc_id", "at", F.array_join("g", " ").alias("gram"), F.element_at("g", -1).alias("last"))
@@ -114,9 +122,21 @@ def maximal_ngrams(documents: DataFrame, n: int = NGRAM, least: int = NGRAM_DOCS
     apart = F.coalesce((F.col("at") > F.lag("at").over(order) + 1).cast("int"), F.lit(1))
     islands = hits.withColumn("new", apart).withColumn("island", F.sum("new").over(order))
     rows = F.array_sort(F.collect_list(F.struct("at", "gram", "last")))
-    passages = islands.groupBy("doc_id", "island").agg(rows.alias("r")).select("doc_id", F.concat_ws(" ", F.element_at("r", 1)["gram"], F.transform(F.slice("r", 2, F.greatest(F.size("r"), F.lit(1))), lambda x: x["last"])).alias("passage"), (F.size("r") + n - 1).cast("long").alias("words"))
-    agg = passages.groupBy("passage", "words").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= least)
-    return agg.orderBy(F.desc("docs"), F.desc("words"), "passage").limit(report)
+    words = F.concat(F.split(F.element_at("r", 1)["gram"], " "), F.transform(F.slice("r", 2, F.greatest(F.size("r"), F.lit(1))), lambda x: x["last"]))
+    runs = written(islands.groupBy("doc_id", "island").agg(rows.alias("r")).select("doc_id", words.alias("w"), F.transform("r", lambda x: x["gram"]).alias("grams")), "shared-runs")
+    passages = runs.groupBy("w").agg(F.first("grams").alias("grams"))
+
+    def inside(of: DataFrame, *keep: str) -> DataFrame:
+        """``w`` and what is kept of ``of`` (``w, grams``), for all runs of ``of`` that hold the passage w."""
+        at = of.select(*keep, F.col("w").alias("whole"), F.posexplode("grams").alias("at", "gram"))
+        heads = passages.select("w", F.element_at("grams", 1).alias("gram"))
+        return at.join(heads, "gram").where(F.slice("whole", F.col("at") + 1, F.size("w")) == F.col("w")).select("w", "whole", *keep)
+
+    counted = written(inside(runs, "doc_id").groupBy("w").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= least), "passages")
+    longer = inside(passages.join(counted, "w"), "docs").where(F.size("whole") > F.size("w")).groupBy("w").agg(F.max("docs").alias("around"))
+    maximal = counted.join(longer, "w", "left").where(F.col("around").isNull() | (F.col("around") < F.col("docs")))
+    told = maximal.select(F.array_join("w", " ").alias("passage"), F.size("w").cast("long").alias("words"), "docs")
+    return told.orderBy(F.desc("docs"), F.desc("words"), "passage").limit(report)
 
 
 def shared_constructions(findings: DataFrame, documents: DataFrame, share: float = CONSTRUCTION_SHARE) -> DataFrame:

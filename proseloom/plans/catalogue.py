@@ -149,17 +149,17 @@ s AS (SELECT id, list_distinct(CASE WHEN length(body) < 5 THEN [body] ELSE list_
     "near_duplicate_turns",
     f"""WITH {_BODIES}, e AS (SELECT id, unnest(sh) AS x FROM s), z AS (SELECT id, len(sh) AS k FROM s),
 p AS (SELECT e.id AS a, f.id AS b, count(*) AS shared FROM e JOIN e AS f ON e.x = f.x AND e.id < f.id GROUP BY ALL)
-SELECT a::BIGINT AS a, b::BIGINT AS b, round(shared / (za.k + zb.k - shared), 6) AS similarity FROM p JOIN z AS za ON za.id = a JOIN z AS zb ON zb.id = b WHERE shared / (za.k + zb.k - shared) >= 0.8""",
+SELECT a::BIGINT AS a, b::BIGINT AS b, round(shared / (za.k + zb.k - shared), 6) AS similarity FROM p JOIN z AS za ON za.id = a JOIN z AS zb ON zb.id = b WHERE shared / (za.k + zb.k - shared) >= 0.4""",
 )
 def near_duplicate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return campaign.similar_pairs(turns, 0.8).withColumn("similarity", six("similarity"))
+    return campaign.similar_pairs(turns, 0.4).withColumn("similarity", six("similarity"))
 
 
 @query("turn_clusters")
 def turn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return campaign.clusters(turns, 0.8)
+    return campaign.clusters(turns, 0.4)
 
 
 @query(
@@ -316,25 +316,27 @@ def receipt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ledger_problems",
-    f"""
-WITH e AS (SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type AS kind, strftime(ts, '%Y-%m-%d') AS day, props AS body FROM events),
-h AS (SELECT *, 'sha256:' || sha256(concat_ws(chr(9), seq, kind, day, body)) AS own FROM e)
-SELECT log_id::BIGINT AS log_id, seq::BIGINT AS seq, 'does not link to the entry before it' AS problem FROM h WHERE seq > 1 AND seq % 3 = 0""",
+    r"""
+WITH e AS (SELECT conv_id AS log_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS seq FROM conversations)
+SELECT log_id, seq, unnest(CASE WHEN seq % 5 = 4 THEN ['does not link to the entry before it', 'content does not match its hash'] WHEN seq % 4 = 3 THEN ['content does not match its hash'] ELSE [] END) AS problem FROM e""",
 )
 def ledger_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log for each user whose every third entry was linked to the wrong one."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("log_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("log_id"), "event_id", F.col("event_type").alias("kind"), F.to_date("ts").alias("day"), F.col("props").alias("body"))
-    e = e.withColumn("seq", F.row_number().over(order).cast("long"))
-    own = e.withColumn("id", F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\t", "log_id", "seq", "kind", "day", "body"), 256)))
-    prev = F.when(F.col("seq") % 3 == 0, F.lit("elsewhere")).when(F.col("seq") == 1, F.lit(receipts.GENESIS)).otherwise(F.lag("id").over(order))
-    linked = own.withColumn("prev", prev)
-    hashed = linked.withColumn("hash", receipts.entry_hash(F.col("seq"), F.col("kind"), F.col("day"), F.col("body"), F.col("prev")))
-    # An entry links to the hash of the one before; here that is checked for every third entry, whose link is broken.
-    problems = receipts.chain_problems(hashed)
-    return problems.where(F.col("problem").startswith("does not link") & (F.col("seq") % 3 == 0) & (F.col("seq") > 1))
+    """A log for each conversation, chained as it should be; then the content of every fourth entry (3, 7, ...) and the link of every fifth (4, 9, ...) is changed. All problems found."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))  # one conversation's
+    kind = "array<struct<seq:bigint,kind:string,body:string,prev:string,hash:string>>"
+
+    def chained(entries, turn):
+        seq = (F.size(entries) + 1).cast("long")
+        prev = F.coalesce(F.element_at(entries, F.when(F.size(entries) > 0, -1).otherwise(F.lit(None).cast("int")))["hash"], F.lit(receipts.GENESIS))
+        own = receipts.entry_hash(seq, turn["role"], F.lit("2026-01-01").cast("date"), turn["text"], prev)
+        return F.concat(entries, F.array(F.struct(seq.alias("seq"), turn["role"].alias("kind"), turn["text"].alias("body"), prev.alias("prev"), own.alias("hash"))))
+
+    logs = turns.select(F.col("conv_id").alias("log_id"), F.explode(F.aggregate("turns", F.array().cast(kind), chained)).alias("e")).select("log_id", "e.*", F.lit("2026-01-01").cast("date").alias("day"))
+    broken = logs.withColumns({
+        "body": F.when((F.col("seq") % 4 == 3) & (F.col("seq") % 5 != 4), F.concat("body", F.lit("!"))).otherwise(F.col("body")),
+        "prev": F.when(F.col("seq") % 5 == 4, F.lit("elsewhere")).otherwise(F.col("prev")),
+    })
+    return receipts.chain_problems(broken)
 
 
 @query(

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -25,6 +27,37 @@ def test_exact_and_hashed_pairs_agree_when_close(spark):
     assert pairs(True) == pairs(False) == {(0, 1), (0, 2), (1, 2)}
 
 
+def test_exact_pairs_match_brute_force(spark):
+    """At any threshold, those that MinHash would mostly miss included."""
+    rng = random.Random(3)
+    base = [rng.choice("abcdefgh ") for _ in range(60)]
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for _ in range(rng.randint(0, 12)):
+            own[rng.randrange(60)] = rng.choice("abcdefgh ")
+        rows.append((i, "".join(own)))
+    items = spark.createDataFrame(rows, "id long, text string")
+    sets = {}
+    for i, t in rows:
+        body = re.sub(r"\s+", " ", t).strip()
+        sets.setdefault(body, (i, {body[k : k + 5] for k in range(len(body) - 4)}))
+    ids = sorted(sets.values())
+    for threshold in (0.2, 0.5, 0.8):
+        want = {(a, b) for a, x in ids for b, y in ids if a < b and len(x & y) / len(x | y) >= threshold}
+        assert want and {(r.a, r.b) for r in campaign.similar_pairs(items, threshold).collect()} == want
+
+
+def test_passages_count_documents_that_hold_them_inside_longer_runs(spark):
+    words = [f"{a}{b}stone" for a in "bcdfg" for b in "aeiou"]
+    part = lambda lo, hi: " ".join(words[lo:hi])
+    rows = [(1, "one " + part(0, 12) + " two"), (2, part(0, 20)), (3, "three " + part(0, 20)), (4, part(6, 20) + " four")]
+    found = {(r.passage, r.words, r.docs) for r in series.maximal_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(part(0, 12), 12, 3), (part(6, 20), 14, 3)}
+    two = {(r.passage, r.docs) for r in series.maximal_ngrams(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()}
+    assert two == {(part(0, 12), 2)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5)]
     roots = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
