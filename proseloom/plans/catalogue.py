@@ -156,6 +156,17 @@ def near_duplicate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaign.similar_pairs(turns, 0.4).withColumn("similarity", six("similarity"))
 
 
+@query(
+    "near_duplicate_documents",
+    f"""WITH {_BODIES.replace("conv_id * 1000 + turn", "doc_id").replace("FROM conversations", "FROM documents")}, e AS (SELECT id, unnest(sh) AS x FROM s), z AS (SELECT id, len(sh) AS k FROM s),
+p AS (SELECT e.id AS a, f.id AS b, count(*) AS shared FROM e JOIN e AS f ON e.x = f.x AND e.id < f.id GROUP BY ALL)
+SELECT a::BIGINT AS a, b::BIGINT AS b, round(shared / (za.k + zb.k - shared), 6) AS similarity FROM p JOIN z AS za ON za.id = a JOIN z AS zb ON zb.id = b WHERE shared / (za.k + zb.k - shared) >= 0.8""",
+)
+def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return campaign.similar_pairs(documents, 0.8).withColumn("similarity", six("similarity"))
+
+
 @query("turn_clusters")
 def turn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")

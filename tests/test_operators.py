@@ -27,6 +27,12 @@ def test_exact_and_hashed_pairs_agree_when_close(spark):
     assert pairs(True) == pairs(False) == {(0, 1), (0, 2), (1, 2)}
 
 
+def test_shingles_are_of_code_points(spark):
+    bodies = ["\U0001f600ab\U0001f601cd\nef", "abcd", "abcde", "", "\U0001f600" * 7, "größe ß"]
+    found = spark.createDataFrame([(b,) for b in bodies], "b string").select(F.col("b"), campaign.shingles(F.col("b")).alias("s")).collect()
+    assert {r.b: set(r.s) for r in found} == {b: ({b[k : k + 5] for k in range(len(b) - 4)} or ({b} if b else set())) for b in bodies}
+
+
 def test_exact_pairs_match_brute_force(spark):
     """At any threshold, those that MinHash would mostly miss included."""
     rng = random.Random(3)
