@@ -24,14 +24,67 @@ def confusion(frame: DataFrame, label: str, predicted: str, *by: str) -> DataFra
     return agg.select("*", rate("tp", "fp").alias("precision"), rate("tp", "fn").alias("recall"), rate("fp", "tn").alias("fpr"))
 
 
+#: Ranges of values in which running sums are worked out apart.
+RANGES = 256
+
+
+def running(counts: DataFrame, value: str, *sums: str) -> DataFrame:
+    """The rows (one for each value) with ``<sum>_before``: the sums over all smaller values.
+
+    Values are cut into ranges of about as many rows each; sums over whole ranges come first.
+    """
+    cuts = counts.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []  # at most RANGES values
+    cut = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    ranged = counts.withColumn("_range", F.size(F.filter(cut, lambda c: c < F.col(value))))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy("_range").agg(*(F.sum(k).alias(k) for k in sums)).select("_range", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.select("*", *(F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"_own_{k}") for k in sums))
+    return own.join(F.broadcast(whole), "_range").select(*counts.columns, *((F.col(f"_{k}") + F.col(f"_own_{k}")).alias(f"{k}_before") for k in sums))  # at most RANGES rows
+
+
+def ks_distance(frame: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: ``ones, others, distance``: the largest gap between the distributions of the value where ``group`` is 1 and where it is 0; null where one of them is empty. Null groups and values are left out."""
+    there = frame.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    counts = there.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 1).alias("ones"), F.count_if(F.col(group) == 0).alias("others"))
+    total = counts.agg(F.sum("ones").alias("n1"), F.sum("others").alias("n0"))
+    both = running(counts, "v", "ones", "others").join(F.broadcast(total))  # one row
+    gap = F.abs((F.col("ones_before") + F.col("ones")) / F.nullif("n1", F.lit(0)) - (F.col("others_before") + F.col("others")) / F.nullif("n0", F.lit(0)))
+    return both.agg(F.sum("ones").alias("ones"), F.sum("others").alias("others"), F.max(gap).alias("distance"))
+
+
+def newcombe(k1: Column, n1: Column, k2: Column, n2: Column) -> tuple[Column, Column, Column]:
+    """The difference of two rates and its interval, from the Wilson intervals of both; null without trials."""
+    (low1, high1), (low2, high2) = wilson(k1, n1), wilson(k2, n2)
+    p1, p2 = k1 / F.nullif(n1, F.lit(0)), k2 / F.nullif(n2, F.lit(0))
+    down, up = F.sqrt((p1 - low1) ** 2 + (high2 - p2) ** 2), F.sqrt((high1 - p1) ** 2 + (p2 - low2) ** 2)
+    return p1 - p2, p1 - p2 - down, p1 - p2 + up
+
+
+def bands(reference: DataFrame, by: str, value: str, least: int) -> DataFrame:
+    """``by, low, high, samples``: where the middle 80 % of the values lie, widened by a tenth of their spread or more where samples are few; groups of fewer than ``least`` values have none."""
+    low, high, n = F.percentile(value, F.lit(0.1)), F.percentile(value, F.lit(0.9)), F.count(value)
+    found = reference.groupBy(by).agg(low.alias("lo"), high.alias("hi"), n.alias("samples")).where(F.col("samples") >= least)
+    margin = F.greatest((F.col("hi") - F.col("lo")) * 0.1, (0.05 + 0.2 / F.col("samples")) * F.abs(F.col("lo") + F.col("hi")) / 2)
+    return found.select(by, F.round(F.greatest(F.lit(0.0), F.col("lo") - margin), 3).alias("low"), F.round(F.col("hi") + margin, 3).alias("high"), "samples")
+
+
+def placed(items: DataFrame, bands: DataFrame, by: str, value: str) -> DataFrame:
+    """The items with ``verdict`` (inside, above, below; unknown without a value or a band) and ``excess``: by how many widths of the band the value lies outside."""
+    v = F.col(value)
+    verdict = F.when(v.isNull() | F.col("low").isNull(), "unknown").when(v > F.col("high"), "above").when(v < F.col("low"), "below").otherwise("inside")
+    width = F.coalesce(F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.greatest(F.abs("high"), F.lit(1.0)))
+    outside = F.when(v > F.col("high"), v - F.col("high")).when(v < F.col("low"), F.col("low") - v)
+    return items.join(bands, by, "left").select(*items.columns, verdict.alias("verdict"), F.round(outside / width, 2).alias("excess"))
+
+
 def auroc(frame: DataFrame, label: str, score: str) -> DataFrame:
     """One row: ``positives, negatives, auroc``, by counts of each distinct score, so ties count half.
 
     Scores are aggregated first; the running sum is over distinct scores only.
     """
     counts = frame.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("below", below)
+    placed = running(counts, "s", "pos", "neg").withColumnRenamed("neg_before", "below")
     agg = placed.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("wins"))
     return agg.select("positives", "negatives", (F.col("wins") / F.nullif(F.col("positives") * F.col("negatives"), F.lit(0))).alias("auroc"))
 

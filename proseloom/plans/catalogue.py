@@ -426,6 +426,47 @@ def length_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.auroc(joined, "quality", "n_chars").withColumn("auroc", six("auroc"))
 
 
+@query(
+    "length_shift",
+    r"""
+WITH x AS (SELECT quality AS y, n_chars AS v FROM documents JOIN labels USING (doc_id)), g AS (SELECT DISTINCT v FROM x)
+SELECT count(*) FILTER (y = 1)::BIGINT AS ones, count(*) FILTER (y = 0)::BIGINT AS others,
+  round((SELECT max(abs((SELECT count(*) FILTER (y = 1 AND x.v <= g.v) / count(*) FILTER (y = 1) - count(*) FILTER (y = 0 AND x.v <= g.v) / count(*) FILTER (y = 0) FROM x))) FROM g), 6) AS distance FROM x""",
+)
+def length_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return evaluate.ks_distance(joined, "quality", "n_chars").withColumn("distance", six("distance"))
+
+
+@query(
+    "toxic_rate_difference",
+    r"""
+WITH c AS (SELECT count(*) FILTER (quality = 0 AND toxic = 1)::DOUBLE AS k1, count(*) FILTER (quality = 0)::DOUBLE AS n1, count(*) FILTER (quality = 1 AND toxic = 1)::DOUBLE AS k2, count(*) FILTER (quality = 1)::DOUBLE AS n2 FROM labels),
+w AS (SELECT *, k1 / n1 AS p1, k2 / n2 AS p2, 1.96 * 1.96 AS z FROM c),
+i AS (SELECT *, (p1 + z / (2 * n1)) / (1 + z / n1) AS m1, sqrt(z) * sqrt(p1 * (1 - p1) / n1 + z / (4 * n1 * n1)) / (1 + z / n1) AS h1, (p2 + z / (2 * n2)) / (1 + z / n2) AS m2, sqrt(z) * sqrt(p2 * (1 - p2) / n2 + z / (4 * n2 * n2)) / (1 + z / n2) AS h2 FROM w),
+e AS (SELECT *, greatest(0, m1 - h1) AS l1, least(1, m1 + h1) AS u1, greatest(0, m2 - h2) AS l2, least(1, m2 + h2) AS u2 FROM i)
+SELECT round(p1 - p2, 6) AS difference, round(p1 - p2 - sqrt((p1 - l1) ** 2 + (u2 - p2) ** 2), 6) AS low, round(p1 - p2 + sqrt((u1 - p1) ** 2 + (p2 - l2) ** 2), 6) AS high FROM e""",
+)
+def toxic_rate_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad, good, toxic = F.col("quality") == 0, F.col("quality") == 1, F.col("toxic") == 1
+    counts = table(spark, sf_dir, "labels").agg(F.count_if(bad & toxic).alias("k1"), F.count_if(bad).alias("n1"), F.count_if(good & toxic).alias("k2"), F.count_if(good).alias("n2"))
+    found = evaluate.newcombe(*(F.col(k) for k in ("k1", "n1", "k2", "n2")))
+    return counts.select(*(six(x).alias(k) for x, k in zip(found, ("difference", "low", "high"), strict=True)))
+
+
+@query(
+    "length_placement",
+    r"""
+WITH b AS (SELECT lang, quantile_cont(n_chars, 0.1) AS lo, quantile_cont(n_chars, 0.9) AS hi, count(n_chars) AS n FROM documents GROUP BY lang HAVING count(n_chars) >= 5),
+m AS (SELECT lang, round(greatest(0.0, lo - greatest((hi - lo) * 0.1, (0.05 + 0.2 / n) * abs(lo + hi) / 2)), 3) AS low, round(hi + greatest((hi - lo) * 0.1, (0.05 + 0.2 / n) * abs(lo + hi) / 2), 3) AS high FROM b)
+SELECT doc_id, CASE WHEN n_chars IS NULL OR low IS NULL THEN 'unknown' WHEN n_chars > high THEN 'above' WHEN n_chars < low THEN 'below' ELSE 'inside' END AS verdict,
+  round(CASE WHEN n_chars > high THEN n_chars - high WHEN n_chars < low THEN low - n_chars END / coalesce(nullif(high - low, 0), greatest(abs(high), 1)), 2) AS excess FROM documents LEFT JOIN m USING (lang)""",
+)
+def length_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return evaluate.placed(documents, evaluate.bands(documents, "lang", "n_chars", 5), "lang", "n_chars").select("doc_id", "verdict", "excess")
+
+
 @query(
     "label_confusion",
     r"""
