@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +95,33 @@ def nearest_rank(values: Column, percent: float) -> Column:
     """The nearest-rank percentile of an array: the sorted element at ``percent / 100 * (n - 1)``, rounded half to even; null if empty."""
     at = F.bround((F.size(values) - 1) * F.lit(percent / 100.0)).cast("int") + 1
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), F.greatest(at, F.lit(1))))
+
+
+def bootstrap_rate(frame: DataFrame, key: str, hit: str, *by: str, replicates: int = 200, level: float = 0.95) -> DataFrame:
+    """``by, n, rate, low, high``: the rate of hits and its interval, by Poisson-weighted replicates.
+
+    A row's weight in a replicate depends on its key alone, so reruns and lost executors give
+    the same interval. Weights are summed before the exchange: one row per group, replicate and
+    task leaves it. Rows with a null hit are left out.
+    """
+    there = frame.where(F.col(hit).isNotNull())
+    u = (F.pmod(F.xxhash64(F.col(key), F.col("_b")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    steps, total, p = [], 0.0, math.exp(-1.0)
+    for k in range(8):
+        total += p
+        steps.append(total)
+        p /= k + 1
+    weight = sum((u > s).cast("long") for s in steps)
+    drawn = there.select(key, *by, F.col(hit).cast("long").alias("_h"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b")).withColumn("_w", weight)
+    rates = drawn.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_h")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_r"))
+    half = (1 - level) / 2
+    spread = rates.groupBy(*by).agg(F.percentile("_r", F.lit(half)).alias("low"), F.percentile("_r", F.lit(1 - half)).alias("high"))
+    whole = there.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(hit).cast("double")).alias("rate"))
+    return whole.join(spread, list(by)) if by else whole.join(F.broadcast(spread))  # one row
+
+
+def pair_flips(before: DataFrame, after: DataFrame, key: str, verdict: str, *by: str) -> DataFrame:
+    """``by, pairs, gained, lost, kept``: rows of both readings by key: how many the second reading flags that the first did not, and the other way round. Null verdicts count as not flagged."""
+    flag = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
+    both = before.select(key, *by, F.col(verdict).alias("_a")).join(after.select(key, F.col(verdict).alias("_b")), key)
+    return both.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_if(~flag("_a") & flag("_b")).alias("gained"), F.count_if(flag("_a") & ~flag("_b")).alias("lost"), F.count_if(flag("_a") & flag("_b")).alias("kept"))

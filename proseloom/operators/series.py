@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,17 @@ SECTIONS, SECTION_CV = 4, 0.20
 RHYTHM_SENTENCES, RHYTHM_CV, RHYTHM_SPREAD, RHYTHM_BAND, RHYTHM_RUN = 20, 0.45, 0.05, 6, 8
 PERSPECTIVE_WORDS, PERSPECTIVE_RATE, PERSPECTIVE_STRETCH = 300, 1.0, 1500
 TEMPLATE_DOCS, TEMPLATE_LITERALS, TEMPLATE_REPORT = 3, 3, 12
+ABSTRACT_RUN, ABSTRACT_WORDS = 3, 20
+SCAFFOLD_SHARE, SCAFFOLD_PARAGRAPHS, SCAFFOLD_DOCS = 0.40, 5, 3
+SPECIFIC = r"\d[\d,.:/]*|\"[^\"\n]{3,}\"|“[^”]{3,}”"
+MOVES = (
+    ("limit", r"(?i)\bdoes(?: not|n't) (?:prove|show|establish)\b|\bwhat this does not\b|\bdoes-not-prove\b|\bthis is not evidence\b"),
+    ("confidence", r"(?i)\bconfidence\b|[(\[:]\s*(?:high|moderate|low|unknown)\b|^\W*(?:high|moderate|low|unknown)\W*$"),
+    ("source", r"(?i)https?://|\]\(|\baccording to\b|\breport(?:ed|s)\b|\bsources?:|\[\d+\]|\[\^[^\]]+\]|\bper the\b"),
+    ("first-person", r"^\W*(?:I|My|We|Our)\b|\bI\b|\b(?:me|my|mine|myself)\b"),
+    ("question", r"\?[\"'”’)\]]*$"),
+    ("example", r"(?i)\bfor (?:example|instance)\b|\be\.g\.|\d[\d,.]*\s?(?:%|percent|kg|km|miles?|words|people|years?|days?|hours?|months?|dollars|million|billion)\b|\$\d"),
+)
 FIRST_PERSON = r"\bI\b|\b(?:[Mm]e|[Mm]y|[Mm]ine|[Mm]yself)\b|\b(?:[Ww]e|[Uu]s|[Oo]ur|[Oo]urs|[Oo]urselves)\b"
 
 
@@ -94,6 +108,92 @@ def perspective(documents: DataFrame, column: str = "text") -> DataFrame:
     return told.withColumn("per_1k", rate).withColumn("low", (F.col("words") >= PERSPECTIVE_WORDS) & (F.col("per_1k") < PERSPECTIVE_RATE))
 
 
+def _prose(documents: DataFrame) -> DataFrame:
+    """Prose blocks with ``words``, counted without markup."""
+    return L.masked(blocks(documents).where("kind = 'prose'"), "text", "masked").withColumn("words", text.count(F.col("masked"), text.WORD))
+
+
+def _runs(rows: DataFrame, broken: Column) -> DataFrame:
+    """Numbers the runs of rows of a document between broken ones, which are dropped."""
+    order = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_broken", broken).withColumn("run", F.sum(F.col("_broken").cast("long")).over(order)).where(~F.col("_broken"))
+
+
+def author_stretches(documents: DataFrame, least: int = PERSPECTIVE_STRETCH) -> DataFrame:
+    """``doc_id, words, line_start, line_end``: runs of prose blocks without a first-person word outside quotes, of at least so many words."""
+    agg = _runs(_prose(documents), text.without_quotes(F.col("text")).rlike(FIRST_PERSON)).groupBy("doc_id", "run").agg(F.sum("words").alias("words"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
+    return agg.where(F.col("words") >= least).select("doc_id", "words", "line_start", "line_end")
+
+
+def abstract_runs(documents: DataFrame, least: int = ABSTRACT_RUN) -> DataFrame:
+    """``doc_id, paragraphs, line_start, line_end``: runs of prose blocks of ABSTRACT_WORDS words or more with no number, quotation or capitalised word inside a sentence; shorter blocks neither count nor break."""
+    inner = F.exists(text.sentences(F.col("masked")), lambda s: F.regexp_replace(s, "^[^A-Za-z]+", "").rlike(r".\b[A-Z][a-z][A-Za-z'-]*"))
+    specific = F.col("text").rlike(SPECIFIC) | inner
+    agg = _runs(_prose(documents).where(F.col("words") >= ABSTRACT_WORDS), specific).groupBy("doc_id", "run").agg(F.count("*").alias("paragraphs"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
+    return agg.where(F.col("paragraphs") >= least).select("doc_id", "paragraphs", "line_start", "line_end")
+
+
+def band_runs(documents: DataFrame, band: int = RHYTHM_BAND, column: str = "text") -> DataFrame:
+    """``doc_id, run, first``: the longest run of sentences whose lengths in words differ by at most the band, and where it starts (from 0, the first of equal ones).
+
+    Two moving ends, linear in the sentences: monotone queues hold the largest and smallest length.
+    """
+    lengths = F.filter(F.transform(text.sentences(F.coalesce(F.col(column), F.lit(""))), lambda s: text.count(s, text.WORD)), lambda n: n > 0)
+
+    @F.pandas_udf("struct<run:long,first:long>")
+    def longest(rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in rows:
+            high, low, start, best = deque(), deque(), 0, (0, 0)
+            for end, n in enumerate(row):
+                while high and row[high[-1]] <= n:
+                    high.pop()
+                while low and row[low[-1]] >= n:
+                    low.pop()
+                high.append(end)
+                low.append(end)
+                while row[high[0]] - row[low[0]] > band:
+                    start += 1
+                    for q in (high, low):
+                        if q[0] < start:
+                            q.popleft()
+                if end - start + 1 > best[0]:
+                    best = (end - start + 1, start)
+            out.append(best)
+        return pd.DataFrame(out, columns=["run", "first"])
+
+    return documents.select("doc_id", longest(lengths).alias("r")).select("doc_id", "r.run", "r.first")
+
+
+def moves(documents: DataFrame) -> DataFrame:
+    """``doc_id, block, line_start, seq``: what the sentences of each prose block of two or more do, repeats in a row as one."""
+    flat = lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))
+
+    def label(s: Column) -> Column:
+        told = F.lit(None).cast("string")
+        for name, pattern in reversed(MOVES):
+            told = F.when(flat(s).rlike(pattern), name).otherwise(told)
+        return F.coalesce(told, F.lit("claim"))
+
+    labelled = blocks(documents).where("kind = 'prose'").select("doc_id", "block", "line_start", F.transform(text.sentences(F.col("text")), label).alias("all")).where(F.size("all") >= 2)
+    changed = F.filter("all", lambda m, i: (i == 0) | (m != F.get("all", F.greatest(i - 1, F.lit(0)))))
+    return labelled.select("doc_id", "block", "line_start", changed.alias("seq"))
+
+
+def scaffold_share(documents: DataFrame, paragraphs: int = SCAFFOLD_PARAGRAPHS, share: float = SCAFFOLD_SHARE) -> DataFrame:
+    """``doc_id, paragraphs, scaffold, share``: documents of which so large a share of the paragraphs ends on a limit or a statement of confidence."""
+    ends = F.element_at("seq", -1).isin("limit", "confidence") & (F.size("seq") > 1)
+    agg = moves(documents).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if(ends).alias("scaffold")).withColumn("share", F.col("scaffold") / F.col("paragraphs"))
+    return agg.where((F.col("paragraphs") >= paragraphs) & (F.col("share") >= share))
+
+
+def shared_sequences(documents: DataFrame, least: int = SCAFFOLD_DOCS) -> DataFrame:
+    """``sequence, docs``: three moves in a row, two of them sources, limits or confidence, that so many documents make."""
+    windows = moves(documents).select("doc_id", F.explode(text.grams(F.col("seq"), 3)).alias("w"))
+    held = windows.where(F.size(F.filter("w", lambda m: m.isin("source", "confidence", "limit"))) >= 2).distinct()
+    return held.groupBy(F.array_join("w", " ").alias("sequence")).agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
+
+
 def shared_ngrams(documents: DataFrame, n: int = NGRAM, least: int = NGRAM_DOCS, key: str = "doc_id", column: str = "text") -> DataFrame:
     """``gram, docs``: word n-grams with two content words that at least ``least`` documents hold.
 

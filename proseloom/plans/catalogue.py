@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.functions import campaign_values as CV
-from proseloom.functions import rules, text
-from proseloom.operators import campaign, check, compare, devices, dialogue, edits, evaluate, lines, metrics, negation, packs, receipts, scan, series, voice
+from proseloom.functions import rules, text, values
+from proseloom.operators import calibrate, campaign, check, compare, desk, devices, dialogue, edits, evaluate, lines, markdown, metrics, negation, packs, receipts, scan, series, terms, voice
 from proseloom.plans import fixtures
 from proseloom.sources import readers, sinks
 from proseloom.sources.tables import table
@@ -506,3 +506,106 @@ def sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("perspective", rf"SELECT doc_id, len(regexp_extract_all(text, {W}))::BIGINT AS words, len(regexp_extract_all(regexp_replace(text, '\"[^\"\n]*\"|“[^”\n]*”|‘[^’\n]*’', ' ', 'g'), '\b(?:I|[Mm]e|[Mm]y|[Mm]ine|[Mm]yself|[Ww]e|[Uu]s|[Oo]ur|[Oo]urs|[Oo]urselves)\b'))::BIGINT AS first_person FROM documents WHERE lang = 'en'")
 def perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.perspective(table(spark, sf_dir, "documents").where("lang = 'en'")).select("doc_id", "words", "first_person")
+
+
+@query("line_kinds")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.kinds(table(spark, sf_dir, "documents")).groupBy("doc_id", "kind").agg(F.count("*").alias("lines"))
+
+
+@query("math_masks")
+def math_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.masked(table(spark, sf_dir, "documents")).where("masked != raw").select("doc_id", "line", "kind", "masked")
+
+
+@query("desk_claims")
+def desk_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desk.claims(table(spark, sf_dir, "documents")).groupBy("doc_id", "check", "match").agg(F.count("*").alias("places"))
+
+
+@query("hidden_text")
+def hidden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(fixtures.hidden(spark))
+    return desk.hidden(documents)
+
+
+@query(
+    "missing_sections",
+    r"""
+SELECT doc_id, s AS section FROM (SELECT doc_id, lower(array_to_string(regexp_extract_all(coalesce(text, ''), '(?m)^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$', 1), ' ')) AS heads FROM documents),
+  (SELECT unnest(['limitations', 'methods']) AS s) WHERE NOT contains(heads, s)""",
+)
+def missing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desk.missing_sections(table(spark, sf_dir, "documents"), ("limitations", "methods"))
+
+
+#: Terms for the query: words of the tables' texts.
+TERMS = (terms.Term("stupid", reason="insult"), terms.Term("worthless"), terms.Term("ing", use="ings"), terms.Term("Is", use="Are", match_case=True))
+
+
+@query(
+    "terminology",
+    rf"""
+WITH {_LINES},
+w AS (SELECT doc_id, unnest(string_split_regex(t, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}-]+')) AS w FROM m)
+SELECT doc_id, CASE WHEN w = 'Is' THEN 'terminology/preferred/are' WHEN lower(w) = 'ing' THEN 'terminology/preferred/ings' ELSE 'terminology/banned/' || lower(w) END AS rule_id, count(*)::BIGINT AS hits
+FROM w WHERE w = 'Is' OR lower(w) IN ('stupid', 'worthless', 'ing') GROUP BY ALL""",
+)
+def terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.findings(table(spark, sf_dir, "documents"), list(TERMS)).groupBy("doc_id", "rule_id").agg(F.count("*").alias("hits"))
+
+
+@query("calibrated_findings")
+def calibrated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(fixtures.quoted(spark))
+    return calibrate.calibrated(scan.line_findings(documents), documents).select("doc_id", "line", "start", "end", "tier", "category", "label")
+
+
+@query("author_stretches")
+def author_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.author_stretches(table(spark, sf_dir, "documents"))
+
+
+@query("abstract_runs")
+def abstract_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.abstract_runs(table(spark, sf_dir, "documents"), 1)
+
+
+@query("band_runs")
+def band_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.band_runs(table(spark, sf_dir, "documents"))
+
+
+@query("paragraph_moves")
+def paragraph_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.moves(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "label_flips",
+    r"""
+SELECT lang, count(*) AS pairs, count(*) FILTER (NOT a AND b) AS gained, count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (a AND b) AS kept
+FROM (SELECT lang, coalesce(quality = 0, false) AS a, coalesce(toxic = 1, false) AS b FROM labels JOIN documents USING (doc_id)) GROUP BY lang""",
+)
+def label_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    before = labels.select("doc_id", "lang", (F.col("quality") == 0).cast("int").alias("v"))
+    return evaluate.pair_flips(before, labels.select("doc_id", F.col("toxic").cast("int").alias("v")), "doc_id", "v", "lang")
+
+
+@query("toxic_rate_bootstrap")
+def toxic_rate_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluate.bootstrap_rate(labels, "doc_id", "toxic", "lang").select("lang", "n", six("rate").alias("rate"), six("low").alias("low"), six("high").alias("high"))
+
+
+@query(
+    "commitments",
+    r"""
+SELECT doc_id, 'sha256:' || sha256(unhex(sha256(doc_id::VARCHAR)) || encode(coalesce(text, ''))) AS commitment,
+  rtrim(translate(to_base64(encode(coalesce(lang, ''))), '+/=', '-_'), '=') || '.' || sha256('secret' || chr(10) || coalesce(lang, '')) AS token FROM documents""",
+)
+def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    salt = F.sha2(F.col("doc_id").cast("string"), 256)
+    body, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", values.commitment(salt, body).alias("commitment"), values.token(lang, F.lit("secret")).alias("token"))

@@ -120,6 +120,23 @@ def receipts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RECEIPTS, "gate string, verdict string, ruleset_version string")
 
 
+#: Texts with what no reader sees, and with quotations; ids below zero keep them apart from the tables'.
+HIDDEN = [(-1, "Shown.<!-- not shown -->\nMore."), (-2, "zero\u200bwidth and \U000e0068\U000e0069 tags"), (-3, '<p style="color:white">ghost</p> and `<!-- code -->`'), (-4, "```\n<!-- fenced -->\n```\n> <!-- quoted -->"), (-5, "<!-- writing-profile: essay -->")]
+QUOTED = [
+    (-1, 'The report was read by all of us in the room, and then Ann said, "This is really a robust, seamless tapestry." We went home after that.'),
+    (-2, '"This is really a robust, seamless tapestry of it all," said Ann.'),
+    (-3, "This is really a robust, seamless tapestry."),
+]
+
+
+def hidden(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(HIDDEN, "doc_id long, text string")
+
+
+def quoted(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUOTED, "doc_id long, text string")
+
+
 def values(rows: list, *columns: str) -> str:
     """The rows as SQL: ``(VALUES ...) AS v(columns)``."""
 

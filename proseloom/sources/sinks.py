@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = {"HIGH": "error", "MEDIUM": "warning", "LOW": "note"}
@@ -41,3 +41,10 @@ def redacted(findings: DataFrame) -> DataFrame:
 def passes(findings: DataFrame) -> DataFrame:
     """``tier, category, findings``: how often each category comes."""
     return findings.groupBy("tier", "category").agg(F.count("*").alias("findings"))
+
+
+def within_budget(findings: DataFrame, budget: int) -> DataFrame:
+    """The first findings of each document, by place, whose JSON lines with their line ends fit so many bytes together: a reply of bounded size."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "rule_id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = findings.withColumn("_used", F.sum(F.octet_length(F.to_json(F.struct(*findings.columns))).cast("long") + 1).over(order))
+    return sized.where(F.col("_used") <= budget).drop("_used")
