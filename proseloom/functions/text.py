@@ -6,6 +6,9 @@ Offsets are code points from 0, ends exclusive. ``(?U)`` gives ``\\w``, ``\\b``,
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,19 +52,65 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once, however often the body or a lambda in it uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def starts(lengths: Column, block: int = 256) -> Column:
+    """Before each element, the sum of those before it. Sums of blocks come first, so that a long array isn't copied for each element."""
+    kind = "array<bigint>"
+
+    def running(base: Column, values: Column) -> Column:
+        grown = F.aggregate(values, F.array(base.cast("bigint")), lambda out, v: F.concat(out, F.array(F.element_at(out, -1) + v)))
+        return F.slice(grown, 1, F.size(values))
+
+    def whole(values: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, block))
+        return let(cut, lambda parts: F.flatten(F.zip_with(parts, running(F.lit(0), F.transform(parts, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda n, v: n + v))), lambda x, base: running(base, x))))
+
+    return let(lengths.cast(kind), lambda values: F.when(F.size(values) > 0, whole(values)).otherwise(F.array().cast(kind)))
+
+
 def all_matches(text: Column, pattern: str) -> Column:
     """All matches, leftmost first, as an array of ``struct<start, end, value>``."""
-    kind = "array<struct<start:bigint,end:bigint,value:string>>"
     found = matches(text, pattern)
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), m.alias("value")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
+    long = lambda x: F.length(x).cast("long")
+    gaps = let(found, lambda f: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(f)), f, lambda p, m: F.struct(long(p).alias("gap"), m.alias("value"))))
+
+    def placed(pairs: Column) -> Column:
+        before = starts(F.transform(pairs, lambda p: p["gap"] + long(p["value"])))
+        span = lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + long(p["value"])).alias("end"), p["value"].alias("value"))
+        return F.zip_with(pairs, before, span)
+
+    return F.when(text.rlike(pattern), let(gaps, placed)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
+
+
+def phrase_matches(text: Column, phrases: list[str], hyphens: bool = False) -> Column:
+    """Places of phrases, whole words in any case with any white space between them, leftmost and longest first, as ``struct<start, end, value>``; value: the phrase as listed.
+
+    Runs of words of each listed length are looked up; marks between words are tokens of their
+    own, so no run leads over one. hyphens: a hyphen belongs to a word.
+    """
+    token = r"[\w-]+|[^\w\s-]+" if hyphens else r"\w+|[^\w\s]+"
+    listed = {" ".join(re.findall(token, p.lower())): p for p in phrases}
+    sizes = sorted({len(k.split()) for k in listed}, reverse=True)
+    names = F.create_map(*(F.lit(x) for pair in listed.items() for x in pair))
+    kind = "array<struct<start:bigint,end:bigint,value:string>>"
+
+    def runs(tokens: Column) -> Column:
+        words = F.transform(tokens, lambda t: F.lower(t["value"]))
+        return let(words, lambda w: looked_up(tokens, w))
 
-    def add(state: Column, pair: Column) -> Column:
-        at = state["at"] + pair["gap"]
-        end = at + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(at.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
+    def looked_up(tokens: Column, words: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).isin(*sorted({k.split()[0] for k in listed})))
+        tried = lambda i: F.transform(F.array(*map(F.lit, sizes)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice(words, i, n), " ").alias("key")))
+        hits = F.filter(F.flatten(F.transform(first, tried)), lambda h: (h["i"] + h["n"] - 1 <= F.size(words)) & h["key"].isin(*listed))
+        spans = F.transform(hits, lambda h: F.struct(F.element_at(tokens, h["i"])["start"].alias("start"), F.element_at(tokens, h["i"] + h["n"] - 1)["end"].alias("end"), F.element_at(names, h["key"]).alias("value")))
+        return F.aggregate(spans, F.array().cast(kind), lambda out, h: F.when((F.size(out) == 0) | (h["start"] >= F.try_element_at(out, F.lit(-1))["end"]), F.concat(out, F.array(h))).otherwise(out))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, add)["out"]).otherwise(F.array().cast(kind))
+    tokens = all_matches(text, f"(?U){token}")
+    return let(tokens, lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(F.array().cast(kind)))
 
 
 def blanked(text: Column, pattern: str) -> Column:
