@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import campaign_values as CV
 from proseloom.functions import rules, text, values
-from proseloom.operators import calibrate, campaign, check, compare, desk, devices, dialogue, edits, evaluate, lines, markdown, metrics, negation, packs, receipts, scan, series, terms, voice
+from proseloom.operators import calibrate, campaign, check, compare, desk, devices, dialogue, edits, evaluate, lines, markdown, metrics, negation, packs, receipts, scan, series, structure, terms, voice
 from proseloom.plans import fixtures
 from proseloom.sources import readers, sinks
 from proseloom.sources.tables import table
@@ -609,3 +609,13 @@ def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     salt = F.sha2(F.col("doc_id").cast("string"), 256)
     body, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", values.commitment(salt, body).alias("commitment"), values.token(lang, F.lit("secret")).alias("token"))
+
+
+@query("structure_findings", f"SELECT doc_id::BIGINT AS doc_id, s::BIGINT AS start, e::BIGINT AS \"end\", tier, rule_id FROM {fixtures.values(fixtures.STRUCTURE_FOUND, 'doc_id', 's', 'e', 'tier', 'rule_id')}")
+def structure_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.structure(fixtures.structure(spark), {}).select("doc_id", "start", "end", "tier", "rule_id")
+
+
+@query("structure_documents")
+def structure_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.run("structure", table(spark, sf_dir, "documents")).select("doc_id", "line", "start", "end", "tier", "rule_id")

@@ -145,3 +145,26 @@ def values(rows: list, *columns: str) -> str:
 
     rows = [r if isinstance(r, tuple) else (r,) for r in rows]
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS v({', '.join(columns)})"
+
+
+#: Texts with each rule of structure, and what is found in them, worked by hand: doc_id, start, end, tier, rule.
+STRUCTURE = [
+    'One reader came. One reader left. One reader stayed because it rained.\n\nWe saw Mr. Smith, e.g. at noon, ("He left. He ran.") and went on. It said "Go. Now!" and so on. 1. Then we left.',
+    "Here is the plan. We walk, since it is dry.\n\nThe map is a guide. The road is a friend. The hill is a wall.\n\n- This is the point. The rest is up to you.\n  wrapped line here.\n- second item\n",
+    "The birds sing. The wind blows. It is late and we go home now. Rain fell. That matters.\n\n# Head\n\nOnly one.\n\nOnly two.\n\nWe bought apples, pears, and plums. The choice is yours.",
+    "It rained. It poured over the hills and towns. It stopped at noon.\n\nWho was in there, you asked? Some say, as we do, that it was dark? We ask, because no one knows? Walls stood.\n\n**Note**\n\nThat line is the key one, and we kept it.",
+    "",
+]
+STRUCTURE_FOUND = [
+    (0, 0, 70, "HIGH", "structure-anaphora/run"), (0, 0, 70, "HIGH", "structure-parataxis/run"), (0, 0, 70, "HIGH", "structure-triad/sentences"),
+    (1, 0, 17, "HIGH", "structure-pin/cue"), (1, 45, 106, "HIGH", "structure-parallel/skeleton"), (1, 45, 106, "HIGH", "structure-parataxis/run"),
+    (1, 45, 64, "MEDIUM", "structure-pin/label"), (1, 45, 106, "HIGH", "structure-triad/sentences"), (1, 129, 151, "MEDIUM", "structure-landing/handback"),
+    (2, 0, 87, "HIGH", "structure-parataxis/run"), (2, 74, 87, "HIGH", "structure-pointer/judge"), (2, 97, 117, "LOW", "structure-anaphora/pair"),
+    (2, 119, 154, "LOW", "structure-triad/items"), (2, 155, 175, "HIGH", "structure-landing/handoff"),
+    (3, 0, 66, "MEDIUM", "structure-anaphora/pronoun-run"), (3, 0, 66, "HIGH", "structure-parataxis/run"), (3, 165, 177, "MEDIUM", "structure-landing/closer"),
+    (3, 165, 177, "MEDIUM", "structure-parataxis/stub"), (3, 189, 230, "HIGH", "structure-pointer/meta"),
+]
+
+
+def structure(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(STRUCTURE)), "doc_id long, text string")
