@@ -26,11 +26,11 @@ FEATURES = {
 LEAST_WORDS = 12
 
 
-def features(documents: DataFrame, column: str = "text") -> DataFrame:
-    """``doc_id, words`` and one rate for 100 words for each feature; null below LEAST_WORDS words ("not measured", not 0)."""
+def features(documents: DataFrame, column: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns to keep, ``words`` and one rate for 100 words for each feature; null below LEAST_WORDS words ("not measured", not 0)."""
     body = F.coalesce(F.col(column), F.lit(""))
-    counted = documents.select("doc_id", text.count(body, text.WORD).alias("words"), *(text.count(body, p).alias(k) for k, p in FEATURES.items()))
-    return counted.select("doc_id", "words", *(F.when(F.col("words") >= LEAST_WORDS, F.col(k) * 100.0 / F.col("words")).alias(k) for k in FEATURES))
+    counted = documents.select("doc_id", *keep, text.count(body, text.WORD).alias("words"), *(text.count(body, p).alias(k) for k, p in FEATURES.items()))
+    return counted.select(*(c for c in counted.columns if c not in FEATURES), *(F.when(F.col("words") >= LEAST_WORDS, F.col(k) * 100.0 / F.col("words")).alias(k) for k in FEATURES))
 
 
 def long_form(measured: DataFrame) -> DataFrame:

@@ -123,15 +123,22 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATES = {"adverbs": r"^[\p{L}\p{N}_]{3,}ly$", "nominalizations": r"^[\p{L}\p{N}_]{4,}(?:tion|ment|ance|ence|ancy|ency)$"}
 
 
-@query(
-    "structural_rates",
-    rf"WITH t AS (SELECT doc_id, regexp_extract_all(text, {W}) AS w, text FROM documents) SELECT doc_id, len(w)::BIGINT AS words, "
-    + ", ".join(f"CASE WHEN len(w) >= 12 THEN round(len(list_filter(w, lambda x: regexp_matches(x, '(?i){p}'))) * 100.0 / len(w), 6)::DOUBLE END AS {k}" for k, p in _RATES.items())
-    + r", CASE WHEN len(w) >= 12 THEN round(len(regexp_extract_all(text, '\d+(?:[.,]\d+)*')) * 100.0 / len(w), 6)::DOUBLE END AS numbers, CASE WHEN len(w) >= 12 THEN round(len(regexp_extract_all(text, ',')) * 100.0 / len(w), 6)::DOUBLE END AS commas FROM t",
-)
+def _rates_sql(columns: str) -> str:
+    """SQL: the columns, ``words`` and a rate for each voice feature. RE2 can't look ahead, so passives followed by "by" are counted apart."""
+    passive = voice.FEATURES["passives"].split("(?!")[0]
+    found = lambda p: f"len(regexp_extract_all(text, {_re2(p)}))"
+    counts = {k: found(p) for k, p in voice.FEATURES.items()} | {"passives": f"({found(passive)} - {found(passive + r'\s+by\b')})"}
+    # Words are matched whole, as \b of RE2 knows ASCII only.
+    counts |= {k: f"len(list_filter(w, lambda x: regexp_matches(x, '(?i){p}')))" for k, p in _RATES.items()}
+    counts["first_person"] = f"len(list_filter(w, lambda x: regexp_full_match(x, {_re2(voice.FEATURES['first_person'])})))"
+    rates = ", ".join(f"CASE WHEN len(w) >= {voice.LEAST_WORDS} THEN {c} * 100.0 / len(w) END AS {k}" for k, c in counts.items())
+    return f"SELECT {columns}, len(w)::BIGINT AS words, {rates} FROM (SELECT * REPLACE (coalesce(text, '') AS text), regexp_extract_all(coalesce(text, ''), {W}) AS w FROM documents)"
+
+
+@query("structural_rates", f"SELECT doc_id, words, {', '.join(f'round({k}, 6)::DOUBLE AS {k}' for k in voice.FEATURES)} FROM ({_rates_sql('doc_id')})")
 def structural_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = voice.features(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "words", *(six(c).alias(c) for c in ("adverbs", "nominalizations", "numbers", "commas")))
+    return found.select("doc_id", "words", *(six(c).alias(c) for c in voice.FEATURES))
 
 
 @query("exact_duplicates", "SELECT sha256(text) AS text_sha256, count(*)::BIGINT AS copies, min(doc_id)::BIGINT AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
@@ -384,23 +391,20 @@ def rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "writer_profile",
-    rf"""
-WITH t AS (SELECT lang, doc_id, regexp_extract_all(text, {W}) AS w, text FROM documents),
-v AS (SELECT lang, len(regexp_extract_all(text, ',')) * 100.0 / len(w) AS value FROM t WHERE len(w) >= 12),
-g AS (SELECT lang, list_sort(list(value)) AS v FROM v GROUP BY lang)
-SELECT lang AS writer, 'commas' AS feature, len(v)::BIGINT AS samples, round(v[round_even((len(v) - 1) * 0.1, 0)::INT + 1], 6)::DOUBLE AS low, round(v[round_even((len(v) - 1) * 0.5, 0)::INT + 1], 6)::DOUBLE AS median, round(v[round_even((len(v) - 1) * 0.9, 0)::INT + 1], 6)::DOUBLE AS high FROM g""",
+    f"""
+WITH v AS (UNPIVOT (SELECT writer, {', '.join(f'{k}::DOUBLE AS {k}' for k in voice.FEATURES)} FROM ({_rates_sql('lang AS writer')})) ON {', '.join(voice.FEATURES)} INTO NAME feature VALUE value),
+g AS (SELECT writer, feature, list_sort(list(value)) AS v FROM v GROUP BY writer, feature)
+SELECT writer, feature, len(v)::BIGINT AS samples, {', '.join(f'round(v[round_even((len(v) - 1) * {p}, 0)::INT + 1], 6)::DOUBLE AS {n}' for n, p in (('low', 0.1), ('median', 0.5), ('high', 0.9)))} FROM g""",
 )
 def writer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    measured = voice.features(documents).join(documents.select("doc_id", F.col("lang").alias("writer")), "doc_id")
-    return voice.profile(measured).where("feature = 'commas'").withColumns({c: six(c) for c in ("low", "median", "high")})
+    measured = voice.features(table(spark, sf_dir, "documents"), keep=(F.col("lang").alias("writer"),))
+    return voice.profile(measured).withColumns({c: six(c) for c in ("low", "median", "high")})
 
 
 @query("voice_fit")
 def voice_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    measured = voice.features(documents)
-    return voice.fit(measured, voice.profile(measured.join(documents.select("doc_id", F.col("lang").alias("writer")), "doc_id")))
+    measured = voice.features(table(spark, sf_dir, "documents"), keep=(F.col("lang").alias("writer"),))
+    return voice.fit(measured.drop("writer"), voice.profile(measured))
 
 
 @query(
@@ -503,9 +507,14 @@ def sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sarif(scan.line_findings(fixtures.rule_lines(spark)))
 
 
-@query("perspective", rf"SELECT doc_id, len(regexp_extract_all(text, {W}))::BIGINT AS words, len(regexp_extract_all(regexp_replace(text, '\"[^\"\n]*\"|“[^”\n]*”|‘[^’\n]*’', ' ', 'g'), '\b(?:I|[Mm]e|[Mm]y|[Mm]ine|[Mm]yself|[Ww]e|[Uu]s|[Oo]ur|[Oo]urs|[Oo]urselves)\b'))::BIGINT AS first_person FROM documents WHERE lang = 'en'")
+@query(
+    "perspective",
+    rf"""
+WITH c AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), {W})) AS words, len(list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '\"[^\"\n]*\"|“[^”\n]*”|‘[^’\n]*’', ' ', 'g'), {W}), lambda x: regexp_full_match(x, {_re2(series.FIRST_PERSON)}))) AS hits FROM documents)
+SELECT doc_id, words::BIGINT AS words, hits::BIGINT AS first_person, CASE WHEN words > 0 THEN round(hits * 1000.0 / words, 6) ELSE 0 END::DOUBLE AS per_1k, words >= {series.PERSPECTIVE_WORDS} AND words > 0 AND hits * 1000.0 / greatest(words, 1) < {series.PERSPECTIVE_RATE} AS low FROM c""",
+)
 def perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.perspective(table(spark, sf_dir, "documents").where("lang = 'en'")).select("doc_id", "words", "first_person")
+    return series.perspective(table(spark, sf_dir, "documents")).withColumn("per_1k", six("per_1k"))
 
 
 @query("line_kinds")
