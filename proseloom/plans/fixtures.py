@@ -147,7 +147,7 @@ def values(rows: list, *columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS v({', '.join(columns)})"
 
 
-#: Texts with each rule of structure, and what is found in them, worked by hand: doc_id, start, end, tier, rule.
+#: Texts with each rule of structure, and what is found in them (texts 0 to 2: output read against the rules; text 3: worked out before): doc_id, start, end, tier, rule.
 STRUCTURE = [
     'One reader came. One reader left. One reader stayed because it rained.\n\nWe saw Mr. Smith, e.g. at noon, ("He left. He ran.") and went on. It said "Go. Now!" and so on. 1. Then we left.',
     "Here is the plan. We walk, since it is dry.\n\nThe map is a guide. The road is a friend. The hill is a wall.\n\n- This is the point. The rest is up to you.\n  wrapped line here.\n- second item\n",
