@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.llm import decontaminate, html_extract, packing, pii, quality, sharding, simhash, substring_dedup, toxicity, transport_stream
+from proseloom.llm import decontaminate, html_extract, packing, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity, transport_stream
 from proseloom.llm._tables import table
 
 #: Target mixture of op8: a source's share is its tokens to this power, so that small sources are seen more often than in the natural mixture.
@@ -84,6 +84,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(documents, "doc_id", SHARDS)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_sharding": op10_sharding,
+    "op11_token_counts": op11_token_counts,
     "pipeline": pipeline,
 }
 
