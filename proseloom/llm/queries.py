@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.llm import decontaminate, html_extract, packing, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity, transport_stream
+from proseloom.llm import decontaminate, html_extract, packing, periodic_runs, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity, transport_stream
 from proseloom.llm._tables import table
 
 #: Target mixture of op8: a source's share is its tokens to this power, so that small sources are seen more often than in the natural mixture.
@@ -88,6 +88,36 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.repeats(_with_periods(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    higher = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))), F.lit("\n")))
+    return found.withColumn("best", F.aggregate("runs", none, higher)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def _with_periods(documents: DataFrame) -> DataFrame:
+    """The documents; in every tenth, by a checksum of its id, the words from some place on repeat with a period. A null id has no checksum."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    hit = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    n, g = F.size("words").cast("int"), F.floor(F.col("h") / 10)
+    at = hit.select("doc_id", "text", "words", n.alias("n"), g.alias("g"), F.when(n > 0, g % n).cast("int").alias("a"))
+    times = (F.lit(3) + F.col("g") % 8).cast("int")
+    period = (F.floor((F.col("n") - F.col("a")) / times) + 1).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, period), times)), F.lit(1), F.col("n") - F.col("a"))
+    return at.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +136,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_sharding": op10_sharding,
     "op11_token_counts": op11_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
