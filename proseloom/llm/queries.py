@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.llm import decontaminate, html_extract, packing, periodic_runs, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity, transport_stream
+from proseloom.llm import conversation_repair, decontaminate, html_extract, packing, periodic_runs, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity, transport_stream
 from proseloom.llm._tables import table
 
 #: Target mixture of op8: a source's share is its tokens to this power, so that small sources are seen more often than in the natural mixture.
@@ -88,6 +88,25 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repaired(_damaged(turns)).withColumnRenamed("conv_id", "_conv_id")
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in "gaps blank duplicate truncated illegal cost".split()]
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left")
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """The turns, five in twenty of them damaged, by a checksum of their conversation and number."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.crc32(F.concat_ws(":", *told[:2]).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", *(c.alias(n) for c, n in zip(told[2:], ("role", "text"), strict=True)), kind.alias("kind")).where("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.repeats(_with_periods(table(spark, sf_dir, "documents")))
     none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
@@ -136,6 +155,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_sharding": op10_sharding,
     "op11_token_counts": op11_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
