@@ -2,16 +2,19 @@
 
 Every base span's text is a protected entity. A term is near an entity if it stands on the
 entity's line and no other entity stands between them. How much a term reveals is estimated
-from co-occurrence over all documents: with n documents, n(c) that hold entity c, n(t) that hold
-term t and n(c, t) in which both are near each other, the pointwise mutual information of c and
-t is log(n * n(c, t) / (n(c) * n(t))), and the part of c's information content log(n / n(c)) that
-t discloses is their ratio (1: t occurs with c only), which equals
-1 + log(n(c, t) / n(t)) / log(n / n(c)). Every pair counts, from one shared document on. Wherever
-a text has a pair that discloses at least ``generalise``, the term is replaced, all over the text,
-by its kind: its shape and the kind of the entity that it discloses most. It is removed only
-where the lower bound of that part (Wilson's for n(c, t) / n(t), with distinct texts as the
-support) is at least ``remove``, so a term seen in few texts, whatever their copies, is
-generalised.
+from co-occurrence over all documents: of the n(t) documents that hold term t, n(c, t) hold it
+near entity c. With n documents and n(c) distinct texts that hold c, the part of c's information
+content log(n / n(c)) that t discloses is their pointwise mutual information's share of it,
+1 + log(n(c, t) / n(t)) / log(n / n(c)): 1 if t occurs with c only. The share n(c, t) / n(t) is
+taken at its lower bound (Wilson's, one deviation, with distinct texts as the support, so that
+copies prove nothing). A term gives c away if that bound is at least ``MAJORITY`` and the part
+that it discloses at least ``generalise``; it is then sanitised in every text that holds it,
+with or without base spans.
+
+A disclosing term is generalised to its class: its shape and the kind of the entity that it
+discloses most. A generalisation must not give the entity away in its turn: of all texts in
+which a class would stand near an entity, the part that are one entity's is judged in the same
+way, and where the class discloses at least ``remove``, the term is removed.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ PATTERNS = {
 }
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{N}]+"
-#: Part of an entity's information that a term must disclose (to be removed: at its lower bound); normal deviations of that bound.
-REMOVE, GENERALISE, DEVIATIONS = 0.95, 0.8, 1.96
+#: Part of an entity's information that a class must disclose for its terms to be removed, and a term to be sanitised; least share of a term's documents; normal deviations of the bounds.
+REMOVE, GENERALISE, MAJORITY, DEVIATIONS = 0.8, 0.7, 0.4, 1.0
 #: Values of one step of a running sum; code points of one piece of a text that is cut.
 _STEP, _PIECE = 128, 1024
 _NONE = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -140,27 +143,46 @@ def near(personal: DataFrame) -> DataFrame:
     return pairs.select("key", "copies", F.col("one.value").alias("entity"), F.col("one.kind").alias("kind"), "term").distinct()
 
 
+def _bound(held: Column, size: Column) -> Column:
+    """Wilson's lower bound of a share that was held in so many cases."""
+    square = DEVIATIONS**2
+    spread = DEVIATIONS * F.sqrt(held * (1 - held) / size + square / (4 * size * size))
+    return (held + square / (2 * size) - spread) / (1 + square / size)
+
+
+def _part(share: Column, n: int, n_entity: Column) -> Column:
+    """The part of an entity's information that a share discloses."""
+    return 1 + F.log(share) / F.log(F.lit(float(n)) / n_entity)
+
+
+def _shape(term: Column) -> Column:
+    return F.when(term.rlike(r"^\p{N}+$"), "NUMBER").when(term.rlike(r"^\p{Lu}"), "NAME").otherwise("TERM")
+
+
 def disclosures(pairs: DataFrame, personal: DataFrame, documents: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """``entity, term, disclosed, surely``: what terms give away of entities near them, from at least ``generalise`` on, and its lower bound.
+    """``entity, term, n_term, disclosed, surely, of_class``: terms that give an entity near them away, the part of it that they disclose, its lower bound, and the part that the term's class (``kind``, ``shape``) discloses, at its bound.
 
     pairs: of ``near``; personal: distinct texts with their ``copies`` and base spans. Terms
     are `[\\p{L}\\p{N}]+`, as written; those inside an entity don't count, other numbers do.
     Copies of one text support a pair once.
     """
     # an entity may be of two kinds, as a card and a phone
-    together = pairs.dropDuplicates(["key", "entity", "term"]).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"))
+    together = pairs.groupBy("key", "entity", "term").agg(F.min("copies").alias("copies"), F.max("kind").alias("kind")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"), F.max("kind").alias("kind"))
     entities = F.array_distinct(F.flatten(F.array(*(F.transform(k, lambda s: s["value"]) for k in PATTERNS))))
-    of_entity = personal.select("copies", F.explode(entities).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    of_entity = personal.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     candidates = written(together.join(of_entity, "entity"), "entity-terms")
     n = documents.count()
     of_term = written(documents.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "term-counts")
-    held, square = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)), DEVIATIONS**2  # a base span may cut a word off from one that is a term elsewhere
-    size = F.col("n_texts") / held
-    spread = DEVIATIONS * F.sqrt(held * (1 - held) / size + square / (4 * size * size))
-    low = (held + square / (2 * size) - spread) / (1 + square / size)
-    part = lambda share: 1 + F.log(share) / F.log(F.lit(float(n)) / F.col("n_entity"))
-    known = candidates.where(F.col("n_entity") < n).join(of_term, "term").select("entity", "term", part(held).alias("disclosed"), part(low).alias("surely"))
-    return known.where(F.col("disclosed") >= generalise)
+    held = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))  # a base span may cut a word off from one that is a term elsewhere
+    low = _bound(held, F.col("n_texts") / held)
+    known = candidates.where(F.col("n_entity") < n).join(of_term, "term").select("*", low.alias("low"), _part(held, n, F.col("n_entity")).alias("disclosed"), _part(low, n, F.col("n_entity")).alias("surely"))
+    told = written(known.where((F.col("low") >= MAJORITY) & (F.col("surely") >= generalise)).withColumn("shape", _shape(F.col("term"))), "disclosing-terms")
+    # texts in which a class stands near an entity
+    uses = told.groupBy("kind", "shape", "entity").agg(F.max("n_texts").alias("n_uses"), F.max("n_entity").alias("n_held"))
+    of_class = uses.groupBy("kind", "shape").agg(F.sum("n_uses").alias("n_class"))
+    class_low = _bound(F.col("n_uses") / F.col("n_class"), F.col("n_class"))
+    classes = uses.join(of_class, ["kind", "shape"]).select("kind", "shape", "entity", _part(class_low, n, F.col("n_held")).alias("of_class"))
+    return told.join(classes, ["kind", "shape", "entity"]).select("entity", "term", "n_term", "disclosed", "surely", "of_class")
 
 
 def _apart(terms: Column, bases: Column) -> Column:
@@ -182,12 +204,23 @@ def _apart(terms: Column, bases: Column) -> Column:
     return F.transform(_let(events, free), lambda z: z["event"]["term"])
 
 
+_TOLD = "struct<disclosed:double,surely:double,kind:string,of_class:double>"
+_SPANS = "array<struct<start:bigint,end:bigint,value:string,disclosed:double,surely:double,kind:string,of_class:double>>"
+
+
+def _term_spans() -> Column:
+    """The spans of the text's terms in ``told``, apart from base spans."""
+    matched = _matches(F.col("text"), F.lit(TERM), lambda m: [F.element_at("told", m).alias("told")])
+    chosen = F.transform(F.filter(matched, lambda s: s["told"].isNotNull()), lambda s: F.struct(s["start"], s["end"], s["value"], *(s["told"][c] for c in ("disclosed", "surely", "kind", "of_class")))).cast(_SPANS)
+    return F.when(F.col("told").isNotNull(), _apart(chosen, F.concat(*PATTERNS))).otherwise(F.array().cast(_SPANS))
+
+
 def spans(documents: DataFrame, generalise: float = GENERALISE, more: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: ``doc_id, text``, a column of base spans for each kind, and ``term`` (spans with ``disclosed``, ``surely`` and the entity's ``kind``).
+    """Per document: ``doc_id, text``, a column of base spans for each kind, and ``term`` (spans with ``disclosed``, ``surely``, the entity's ``kind`` and ``of_class``).
 
-    Null texts count as empty. Term spans that overlap a base span are left out. Texts without
-    base spans have no term spans. Equal texts have equal spans, whatever their doc_id, which
-    may be null or repeat. more: further columns to keep; their names must be none of these.
+    Null texts count as empty. Term spans that overlap a base span are left out. Equal texts
+    have equal spans, whatever their doc_id, which may be null or repeat. more: further columns
+    to keep; their names must be none of these, nor ``key`` and ``told``.
     """
     read = texts(documents, *more)
     spotted = read.select("doc_id", "text", *more, *(v.alias(k) for k, v in base_spans(F.col("text")).items()))
@@ -195,23 +228,21 @@ def spans(documents: DataFrame, generalise: float = GENERALISE, more: tuple[str,
     found = written(spotted.where(any_base).withColumn("key", F.md5("text")), "personal-data")
     personal = written(found.groupBy("key").agg(F.count("*").alias("copies"), F.first("text").alias("text"), *(F.first(k).alias(k) for k in PATTERNS)), "personal-texts")
     pairs = written(near(personal), "near-terms")
-    told = written(disclosures(pairs, personal, read, generalise), "disclosures")
-    most = F.max(F.struct("disclosed", "surely", "kind")).alias("most")
-    own = (
-        pairs.select("key", "entity", "kind", "term")
-        .join(told, ["entity", "term"])
-        .groupBy("key", "term")
-        .agg(most, F.max("surely").alias("surely"))
-        .groupBy("key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("most.disclosed", "surely", "most.kind")))).alias("told"))  # of one text
-    )
-    kind = "array<struct<start:bigint,end:bigint,value:string,disclosed:double,surely:double,kind:string>>"
-    matched = _matches(F.col("text"), F.lit(TERM), lambda m: [F.element_at("told", m).alias("told")])
-    chosen = F.transform(F.filter(matched, lambda s: s["told"].isNotNull()), lambda s: F.struct(s["start"], s["end"], s["value"], s["told"]["disclosed"], s["told"]["surely"], s["told"]["kind"])).cast(kind)
-    apart = _apart(chosen, F.concat(*PATTERNS))
-    joined = found.join(own, "key", "left")
-    with_terms = joined.select("doc_id", "text", *more, *PATTERNS, F.when(F.col("told").isNotNull(), apart).otherwise(F.array().cast(kind)).alias("term"))
-    return with_terms.unionByName(spotted.where(~any_base).withColumn("term", F.array().cast(kind)))
+    given = disclosures(pairs, personal, read, generalise)
+    told = F.struct("disclosed", "surely", "kind", "of_class").cast(_TOLD).alias("told")
+    own = written(pairs.join(given, ["entity", "term"]).groupBy("key", "term").agg(F.max(told).alias("told"), F.max("n_term").alias("n_term"), F.max("copies").alias("copies")), "told-terms")
+    of_term = own.groupBy("term").agg(F.max("told").alias("told"), F.max("n_term").alias("n_term"), F.sum("copies").alias("n_near"))
+    elsewhere = written(of_term.where("n_term > n_near").select("term", "told"), "terms-elsewhere")
+    columns = ["doc_id", "text", *more, *PATTERNS]
+    mapped = lambda rows: rows.groupBy("key", "term").agg(F.max("told").alias("told")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("told"))  # noqa: E731  of one text
+    rest = spotted.where(~any_base)
+    own = own.select("key", "term", "told")
+    if elsewhere.isEmpty():  # no text but those near an entity holds a term
+        return found.join(mapped(own), "key", "left").select(*columns, _term_spans().alias("term")).unionByName(rest.select(*columns, F.array().cast(_SPANS).alias("term")))
+    held = read.select(F.md5("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(elsewhere, "term").select("key", "term", "told")
+    every = written(mapped(own.unionByName(held)), "told-texts")
+    both = found.unionByName(rest.withColumn("key", F.md5("text")))
+    return both.join(every, "key", "left").select(*columns, _term_spans().alias("term"))
 
 
 def _marked(by: str):
@@ -232,8 +263,7 @@ def sanitised(documents: DataFrame, remove: float = REMOVE, generalise: float =
     of the one that starts first.
     """
     found = spans(documents, generalise, more)
-    shape = lambda s: F.when(s["value"].rlike(r"^\p{N}+$"), "NUMBER]").when(s["value"].rlike(r"^\p{Lu}"), "NAME]").otherwise("TERM]")
-    word = lambda s: F.when(s["surely"] >= remove, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit(" "), shape(s)))
+    word = lambda s: F.when(s["of_class"] >= remove, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit(" "), _shape(s["value"]), F.lit("]")))
     marks = F.array_sort(
         F.concat(
             *(F.transform(k, _marked(f"[{k.upper()}]")) for k in PATTERNS),

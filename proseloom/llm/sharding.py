@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proseloom.llm._tables import fresh
+
 #: A prime of over a hundred slots for each of some hundred shards.
 TABLE_SIZE = 65_537
 
@@ -57,12 +59,14 @@ def lookup(spark: SparkSession, shards: list[str], size: int = TABLE_SIZE) -> Da
 
 
 def placed(frame: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """All rows and columns of the frame with ``slot`` and ``shard`` (columns of these names are replaced).
+    """All rows and columns of the frame with ``slot`` and ``shard`` (columns of these names, in any case, are replaced).
 
     Equal keys go to one shard, whatever their order; a null key goes to the shard of slot 0.
-    The broadcast side has ``size`` short rows, fixed by the parameter.
+    Other columns may have any names. The broadcast side has ``size`` short rows, fixed by the parameter.
     """
-    kept = [c for c in frame.columns if c not in (slot, shard)]
-    table = lookup(frame.sparkSession, shards, size).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    keyed = frame.select(*(F.col(f"`{c}`") for c in kept), key_slot(F.col(f"`{key}`"), size).alias(slot))
-    return keyed.join(F.broadcast(table), F.col(slot) == F.col("__slot")).select(*(F.col(f"`{c}`") for c in kept), slot, F.col("__shard").alias(shard))
+    kept = [c for c in frame.columns if c.lower() not in (slot.lower(), shard.lower())]
+    at, name = (fresh(f"{c}_of_table", [*frame.columns, slot, shard]) for c in ("slot", "shard"))
+    table = lookup(frame.sparkSession, shards, size).select(F.col("slot").alias(at), F.col("shard").alias(name))
+    own = [F.col(f"`{c}`") for c in kept]
+    keyed = frame.select(*own, key_slot(F.col(f"`{key}`"), size).alias(slot))
+    return keyed.join(F.broadcast(table), F.col(slot) == F.col(at)).select(*own, slot, F.col(name).alias(shard))

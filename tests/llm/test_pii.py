@@ -49,7 +49,7 @@ def test_terms_that_give_an_entity_away(spark):
     assert len(found) == len(rows)
     assert all("Zimbalista" not in found[i].clean and "zim@" not in found[i].clean and "[EMAIL]" in found[i].clean for i in range(6))
     assert "[EMAIL NAME]" in found[0].clean and "please" in found[0].clean
-    assert found[200].clean == "Zimbalista is on stage tonight" and not found[100].term
+    assert found[200].clean == "[EMAIL NAME] is on stage tonight" and not found[100].term
     assert found[201].clean == "" and found[202].clean == ""
     assert all(r.text[s.start : s.end] == s.value for r in found.values() for k in (*pii.PATTERNS, "term") for s in r[k])
 
@@ -66,10 +66,30 @@ def test_terms_of_an_entity_held_once(spark):
     assert "Common" in found[5].clean
 
 
-def test_terms_of_an_entity_held_often_are_removed(spark):
-    rows = [(i, f"Belwick wrote from bel@corp.example.org\nto {i}") for i in range(60)] + [(100 + i, f"they wrote from there, {i}") for i in range(2000)]
-    found = pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 60").collect()
+def test_a_term_is_sanitised_in_texts_without_personal_data(spark):
+    rows = [(i, f"the owner quorvath writes to ann@corp.example.org about {i}") for i in range(9)] + [(9, "quorvath lives in the old mill")]
+    rows += [(10 + i, f"the owner of mill {i} writes to nobody about it") for i in range(30)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.sanitised(documents, remove=2.0).collect()}
+    assert len(found) == len(rows)
+    assert found[9].clean == "[EMAIL TERM] lives in the old mill" and not found[9].email
+    assert all("quorvath" not in r.clean for r in found.values())
+    assert all(found[i].clean == rows[i][1] for i in range(10, 40))
+    # a term of one text near an entity and of others proves nothing about those
+    rows = [(0, "ask belwick at bel@corp.example.org"), (1, "belwick rang"), (2, "nobody rang")] + [(3 + i, f"plain {i}") for i in range(60)]
+    found = {r.doc_id: r.clean for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == "belwick rang" and "belwick" in found[0]
+
+
+def test_terms_are_removed_where_their_class_gives_the_entity_away(spark):
+    plain = [(1000 + i, f"they wrote from there, {i}") for i in range(2000)]
+    one = [(i, f"Belwick wrote from bel@corp.example.org\nto {i}") for i in range(60)]
+    found = pii.sanitised(spark.createDataFrame(one + plain, "doc_id long, text string")).where("doc_id < 60").collect()
     assert len(found) == 60 and all(r.clean.startswith(" wrote from [EMAIL]") for r in found)
+    # names of many entities share a class, which tells none of them
+    many = [(i, f"{chr(65 + i)}elwick wrote from p{i}@corp.example.org\nto {i}") for i in range(20)]
+    found = pii.sanitised(spark.createDataFrame(many + plain, "doc_id long, text string")).where("doc_id < 60").collect()
+    assert len(found) == 20 and all(r.clean.startswith("[EMAIL NAME] wrote from [EMAIL]") for r in found)
 
 
 def brute_terms(texts: list[str], generalise: float) -> list[list[tuple]]:
@@ -90,18 +110,29 @@ def brute_terms(texts: list[str], generalise: float) -> list[list[tuple]]:
                 for x in spans[max(k - 1, 0) : k + 1]:
                     own |= {(line[x[0] : x[1]], w) for w in term.findall(line[a : max(a, b)])}
         pairs[t] = own
-    n, both, of_entity, of_term = len(texts), {}, {}, {}
+    n, both, distinct, of_entity, of_term = len(texts), {}, {}, {}, {}
     for t, base in zip(texts, bases, strict=True):
         for p in pairs[t]:
             both[p] = both.get(p, 0) + 1
+            distinct.setdefault(p, set()).add(t)
         for c in {v for _, _, v in base}:
-            of_entity[c] = of_entity.get(c, 0) + 1
+            of_entity.setdefault(c, set()).add(t)
         for w in set(term.findall(t)):
             of_term[w] = of_term.get(w, 0) + 1
-    told = {p for p, k in both.items() if of_entity[p[0]] < n and p[1] in of_term and 1 + math.log(min(1, k / of_term[p[1]])) / math.log(n / of_entity[p[0]]) >= generalise - 1e-12}
+
+    def bound(held: float, size: float) -> float:
+        return (held + 1 / (2 * size) - math.sqrt(held * (1 - held) / size + 1 / (4 * size * size))) / (1 + 1 / size)
+
+    told = set()
+    for (c, w), k in both.items():
+        if len(of_entity[c]) < n and w in of_term:
+            held = min(1, k / of_term[w])
+            low = bound(held, len(distinct[c, w]) / held)
+            if low >= 0.4 - 1e-12 and 1 + math.log(low) / math.log(n / len(of_entity[c])) >= generalise - 1e-12:
+                told.add((c, w))
     out = []
     for t, base in zip(texts, bases, strict=True):
-        mine = {w for c, w in pairs[t] & told}
+        mine = {w for _, w in told}
         out.append([(m.start(), m.end()) for m in term.finditer(t) if m[0] in mine and not any(a < m.end() and m.start() < b for a, b, _ in base)])
     return out
 
@@ -116,7 +147,7 @@ def test_disclosing_terms_match_brute_force(spark):
         texts.append("\n".join(lines))
     texts += texts[:10]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    for generalise in (0.8, 0.3):
+    for generalise in (0.8, 0.3, 0.7):
         want = brute_terms(texts, generalise)
         found = {r.doc_id: [(s.start, s.end) for s in r.term] for r in pii.spans(frame, generalise).collect()}
         assert [found[i] for i in range(len(texts))] == want

@@ -197,3 +197,11 @@ def test_placement(documents, empty):
         slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % 101
         assert (r.slot, r.shard) == (slot, shards[table[slot]])
     assert sharding.placed(empty, "doc_id", shards, 101).count() == 0
+
+
+def test_placement_leaves_columns_of_any_name_alone(spark):
+    frame = spark.createDataFrame([(1, "a", "b", "c", "d", "e")], "key long, __slot string, __shard string, Slot string, slot_of_table string, `shard of.x` string")
+    found = sharding.placed(frame, "key", ["one", "two"], 101)
+    assert found.columns == ["key", "__slot", "__shard", "slot_of_table", "shard of.x", "slot", "shard"]
+    row = found.first()
+    assert tuple(row)[:5] == (1, "a", "b", "d", "e") and row.shard == ["one", "two"][sharding.filled(["one", "two"], 101)[row.slot]]
