@@ -9,58 +9,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.llm import decontaminate, packing, pii, simhash, toxicity
-from proseloom.llm._tables import scratch, table, written
+from proseloom.llm._tables import fresh, scratch, table, written
 from proseloom.llm.queries import SMOOTHING, tokenizer_path
 
 
-#: Key of a row within a stage; no column of documents has this name.
-ROW = "__stage_row"
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, written so that every read sees the same keys (doc_ids may be null or repeat), and the key's name, which no column has."""
+    row = fresh("stage_row", docs.columns)
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "stage-rows"), row
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own, written so that every read sees the same keys: doc_ids may be null or repeat."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
-
-
-def _by_row(keyed: DataFrame) -> DataFrame:
+def _by_row(keyed: DataFrame, row: str) -> DataFrame:
     """What the operators read: the rows' keys as doc_id."""
-    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+    return keyed.select(F.col(row).alias("doc_id"), "text")
 
 
-def _with(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+def _with(keyed: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     """The rows of keyed whose key is a doc_id in kept, without the key."""
-    return keyed.join(kept.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").drop(ROW)
+    return keyed.join(kept.select(F.col("doc_id").alias(row)), row, "left_semi").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity classifier rejects go, with or without a doc_id."""
-    keyed = _keyed(docs)
+    keyed, row = _keyed(docs)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _with(keyed, toxicity.scored(_by_row(keyed), model).where(F.col("score") < toxicity.THRESHOLD))
+    return _with(keyed, row, toxicity.scored(_by_row(keyed, row), model).where(F.col("score") < toxicity.THRESHOLD))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays: that of the smallest doc_id, one without a doc_id only where no other is there."""
-    keyed = _keyed(docs)
-    found = simhash.near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias("found_row"), "component_id")
-    told = found.join(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), ROW), F.col("found_row") == F.col(ROW))
-    first = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
-    return _with(keyed, first.select(F.col(f"first.{ROW}").alias("doc_id")))
+    keyed, row = _keyed(docs)
+    found = simhash.near_duplicates(_by_row(keyed, row)).select(F.col("doc_id").alias("found_row"), "component_id")
+    own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("own_row"))
+    first = found.join(own, F.col("found_row") == F.col("own_row")).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own_row")).alias("first"))
+    return _with(keyed, row, first.select(F.col("first.own_row").alias("doc_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark window go, with or without a doc_id."""
-    keyed = _keyed(docs)
-    return _with(keyed, decontaminate.contamination(_by_row(keyed), table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    keyed, row = _keyed(docs)
+    return _with(keyed, row, decontaminate.contamination(_by_row(keyed, row), table(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it are replaced in the text; n_chars follows. Each row carries its other columns along."""
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.col("text").isNull().alias("__no_text"))
-    found = pii.sanitised(docs.select("doc_id", "text", rest.alias("_rest")), more=("_rest",))
-    changed = F.size(F.concat(*pii.PATTERNS)) > 0
-    text = F.when(~F.col("_rest.__no_text"), F.when(changed, F.col("clean")).otherwise(F.col("text")))
-    return found.select(*(text.alias(c) if c == "text" else F.when(changed, F.length("clean")).otherwise(F.col("_rest")[c]).cast(t).alias(c) if c == "n_chars" else F.col("_rest")[c].alias(c) for c, t in docs.dtypes))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found = pii.sanitised(docs.select("doc_id", "text", F.struct(own.alias("own"), F.col("text").isNull().alias("no_text")).alias("_rest")), more=("_rest",))
+    changed = F.col("clean") != F.col("text")
+    text = F.when(~F.col("_rest.no_text"), F.when(changed, F.col("clean")).otherwise(F.col("text")))
+    size = F.when(changed, F.length("clean"))
+
+    def column(name: str, kind: str):
+        if name == "text":
+            return text.alias(name)
+        value = F.col("_rest.own").getField(name)
+        return (F.coalesce(size, value).cast(kind) if name == "n_chars" else value).alias(name)
+
+    return found.select(*(column(*c) for c in docs.dtypes))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
