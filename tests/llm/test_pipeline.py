@@ -62,6 +62,8 @@ def test_toxicity_judges_rows_without_an_id(spark):
 def test_columns_of_any_name_and_no_tables_left(spark):
     rows = [(i, f"some words of text number {i} sent by a{i}@mail.example.org", "en", "a", 9, "x", "y", "z", 3, 4) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, clean string, clean_id string, kept_id string, kept_row long, score long")
+    for name in ("__no_text boolean", "no_text", "own", "_rest", "stage_row", "__stage_row", "key", "told", "found_row", "own_row", "a.b"):
+        docs = docs.withColumn(name.split()[0], F.lit(False))
     now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, SF)
