@@ -1,19 +1,20 @@
 """Documents to physical lines, prose lines and sentence rows.
 
-All windows of one document share its key, so the text is shuffled once, whatever is
-computed from its lines afterwards.
+Lines are cut and placed inside the row, so each of several rows of one doc_id gives its own
+lines. States that look around are windows by doc_id, which share one exchange: rows of one
+doc_id should be told apart before, by a key of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseloom.functions import rules, text
 
 
-def _by_line():
-    return Window.partitionBy("doc_id").orderBy("line")
+def _by_line(key: str = "doc_id"):
+    return Window.partitionBy(key).orderBy("line")
 
 
 def masked(frame: DataFrame, column: str, into: str) -> DataFrame:
@@ -35,24 +36,35 @@ def lines(documents: DataFrame, column: str = "text") -> DataFrame:
     separators than CR, LF and CRLF stay within a line.
     """
     body = text.unified(F.col(column))
-    split = F.split(F.regexp_replace(body, r"\n\z", ""), "\n", -1)
-    exploded = documents.select("doc_id", F.posexplode(F.when(body == "", F.array().cast("array<string>")).otherwise(split)).alias("pos", "raw"))
-    numbered = exploded.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), "raw")
-    return numbered.select("doc_id", "line", F.coalesce(F.sum(F.length("raw").cast("long") + 1).over(_by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), "raw")
+    split = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(body, r"\n\z", ""), "\n", -1))
+    placed = text.let(split, lambda raws: F.arrays_zip(text.starts(F.transform(raws, lambda r: F.length(r) + 1)).alias("start"), raws.alias("raw")))
+    return documents.select("doc_id", F.posexplode(placed).alias("pos", "l")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), "l.start", "l.raw")
 
 
-def states(found: DataFrame) -> DataFrame:
-    """The lines with ``in_fence`` (fence lines included) and ``front`` (YAML front matter, its marks included).
+def source_lines(column: Column) -> Column:
+    """The lines of a text as an array of ``struct<start, raw, rest>``: where each begins in the text as it is, the line, and its line end (CR, LF, CRLF or none)."""
+    body = F.coalesce(column, F.lit(""))
+    end = "\r\n?|\n"
+
+    def placed(raws: Column) -> Column:
+        ends = F.zip_with(raws, text.matches(body, end), lambda r, e: F.struct(r.alias("raw"), F.coalesce(e, F.lit("")).alias("rest")))
+        return text.let(ends, lambda e: F.zip_with(e, text.starts(F.transform(e, lambda x: F.length(x["raw"]) + F.length(x["rest"]))), lambda x, at: F.struct(at.alias("start"), x["raw"].alias("raw"), x["rest"].alias("rest"))))
+
+    return F.filter(text.let(F.split(body, end, -1), placed), lambda x: (x["raw"] != "") | (x["rest"] != ""))
+
+
+def states(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The lines of each key with ``in_fence`` (fence lines included) and ``front`` (YAML front matter, its marks included).
 
     A fence mark toggles; front matter opens on a first line ``---`` and closes at the next
     such line outside a fence.
     """
     mark = F.col("raw").rlike(rules.FENCE)
-    fences = F.sum(mark.cast("int")).over(_by_line().rowsBetween(Window.unboundedPreceding, 0))
+    fences = F.sum(mark.cast("int")).over(_by_line(key).rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("in_fence", mark | (fences % 2 == 1))
     dash = F.trim("raw") == "---"
-    opens = F.max(((F.col("line") == 1) & dash).cast("int")).over(Window.partitionBy("doc_id")) == 1
-    close = F.min(F.when((F.col("line") > 1) & dash & ~F.col("in_fence"), F.col("line"))).over(Window.partitionBy("doc_id"))
+    opens = F.max(((F.col("line") == 1) & dash).cast("int")).over(Window.partitionBy(key)) == 1
+    close = F.min(F.when((F.col("line") > 1) & dash & ~F.col("in_fence"), F.col("line"))).over(Window.partitionBy(key))
     return found.withColumn("front", opens & (F.col("line") <= F.coalesce(close, F.lit((1 << 62)))))
 
 
