@@ -38,8 +38,8 @@ _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9])
 TERM = r"[\p{L}\p{N}]+"
 #: Part of an entity's information that a class must disclose for its terms to be removed, and a term to be sanitised; least share of a term's documents; normal deviations of the bounds.
 REMOVE, GENERALISE, MAJORITY, DEVIATIONS = 0.8, 0.7, 0.4, 1.0
-#: Values of one step of a running sum; code points of one piece of a text that is cut.
-_STEP, _PIECE = 128, 1024
+#: Values of one step of a running sum; code points of one piece of a text that is cut; bits of a filter.
+_STEP, _PIECE, _BITS = 128, 1024, 1 << 24
 _NONE = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
@@ -204,6 +204,22 @@ def _apart(terms: Column, bases: Column) -> Column:
     return F.transform(_let(events, free), lambda z: z["event"]["term"])
 
 
+def _bits(hashes: DataFrame) -> Column:
+    """A filter over a frame of one column of hashes: a bit for each remainder, as one array of longs whose size is fixed."""
+    name = hashes.columns[0]
+    at = hashes.select(F.pmod(F.col(name), F.lit(_BITS)).alias("at"))
+    known = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+    every = hashes.sparkSession.range(0, _BITS // 64, 1, 4).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")).unionByName(known)
+    whole = every.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return whole.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("x")).select(F.col("x.bits")).scalar()
+
+
+def _passes(bits: Column, value: Column) -> Column:
+    """Whether the filter may hold the hash: true for all that it was made of, and for few others while it is sparse."""
+    at = F.pmod(value, F.lit(_BITS))
+    return F.get(bits, F.floor(at / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
+
+
 _TOLD = "struct<disclosed:double,surely:double,kind:string,of_class:double>"
 _SPANS = "array<struct<start:bigint,end:bigint,value:string,disclosed:double,surely:double,kind:string,of_class:double>>"
 
@@ -239,10 +255,14 @@ def spans(documents: DataFrame, generalise: float = GENERALISE, more: tuple[str,
     own = own.select("key", "term", "told")
     if elsewhere.isEmpty():  # no text but those near an entity holds a term
         return found.join(mapped(own), "key", "left").select(*columns, _term_spans().alias("term")).unionByName(rest.select(*columns, F.array().cast(_SPANS).alias("term")))
-    held = read.select(F.md5("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(elsewhere, "term").select("key", "term", "told")
+    # a filter of fixed size first, so that few others of all terms and texts are shuffled
+    may_tell = _passes(_bits(elsewhere.select(F.xxhash64("term"))), F.xxhash64("term"))
+    held = read.select(F.md5("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term")).where(may_tell).join(elsewhere, "term").select("key", "term", "told")
     every = written(mapped(own.unionByName(held)), "told-texts")
-    both = found.unionByName(rest.withColumn("key", F.md5("text")))
-    return both.join(every, "key", "left").select(*columns, _term_spans().alias("term"))
+    may_hold = _passes(_bits(every.select(F.xxhash64("key"))), F.xxhash64(F.md5("text")))
+    plain = lambda rows: rows.select("doc_id", "text", *more, *(v.alias(k) for k, v in base_spans(F.col("text")).items())).where(~any_base)
+    joined = found.unionByName(plain(read.where(may_hold)).withColumn("key", F.md5("text"))).join(every.hint("merge"), "key", "left").select(*columns, _term_spans().alias("term"))
+    return joined.unionByName(plain(read.where(~may_hold)).select(*columns, F.array().cast(_SPANS).alias("term")))
 
 
 def _marked(by: str):
