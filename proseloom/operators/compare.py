@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proseloom.functions import text
+from proseloom.functions import quantities, text
 
 # Kinds in order, with their patterns; those whose items can be told apart may be "changed".
 KINDS = (
@@ -19,7 +19,7 @@ KINDS = (
     ("url", r"\bhttps?://[^\s<>\"'\])]+|\bwww\.[^\s<>\"'\])]+|\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}\b"),
     ("citation", r"\[-?@[^\]\n]{1,200}\]|\[\^[\w-]{1,40}\]|\[\d{1,4}(?:\s{0,2}[,–-]\s{0,2}\d{1,4}){0,20}\]|\([A-Z][\w'-]{1,40}(?:\s{1,3}et\s{1,3}al\.)?,?\s{1,3}(?:1[6-9]|20)\d{2}[a-z]?\)"),
     ("quote", "\"[^\"\\n]{1,2000}\"|“[^”\\n]{1,2000}”"),
-    ("number", r"[$€£]?\d+(?:[.,]\d+)*(?:\s?(?:%|percent|ms|s|kb|mb|gb|tb|km|kg|million|billion))?"),
+    ("number", quantities.PATTERN),
     ("modal", r"(?i)\b(?:must|shall|should|may|might|can|could|required|recommended|optional|ought to|ha(?:ve|s|d) to|needs? to)\b"),
     ("scope", r"(?i)\b(?:only|solely|exclusively|unless|except|at least|at most|up to|all|every|each|none|most|some|always)\b"),
     ("negation", r"(?iU)\b(?:not|never|no|none|nor|neither|cannot|without)\b|n['’]t\b"),
@@ -32,7 +32,7 @@ MODAL_CLASS = {"required": "must shall required have has had need needs", "recom
 def _key(kind: str, value: Column) -> Column:
     low = F.lower(F.regexp_replace(value, r"\s+", " "))
     if kind == "number":
-        return F.regexp_replace(F.regexp_replace(low, r"(?<=\d),(?=\d{3}\b)", ""), r"\s*percent$|\s+(?=%)", "%")
+        return quantities.key(value)
     if kind == "modal":
         head = F.substring_index(low, " ", 1)
         out = F.lit("optional")
