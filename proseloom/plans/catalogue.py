@@ -152,15 +152,23 @@ n AS (SELECT min(conv_id * 1000 + turn) AS id, body FROM (SELECT *, lower(trim(r
 s AS (SELECT id, list_distinct(CASE WHEN length(body) < 5 THEN [body] ELSE list_transform(range(1, length(body) - 3), lambda i: substring(body, i, 5)) END) AS sh FROM n)"""
 
 
-@query(
-    "near_duplicate_turns",
-    f"""WITH {_BODIES}, e AS (SELECT id, unnest(sh) AS x FROM s), z AS (SELECT id, len(sh) AS k FROM s),
-p AS (SELECT e.id AS a, f.id AS b, count(*) AS shared FROM e JOIN e AS f ON e.x = f.x AND e.id < f.id GROUP BY ALL)
-SELECT a::BIGINT AS a, b::BIGINT AS b, round(shared / (za.k + zb.k - shared), 6) AS similarity FROM p JOIN z AS za ON za.id = a JOIN z AS zb ON zb.id = b WHERE shared / (za.k + zb.k - shared) >= 0.4""",
-)
-def near_duplicate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: SQL: the turns and, under ids of their own, each third one without its first word.
+_EDITED = "(SELECT conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT 500000000000 + conv_id * 1000 + turn, regexp_replace(text, '^\\S+\\s+', '') FROM conversations WHERE (conv_id * 1000 + turn) % 3 = 0)"
+_TURN_PAIRS = f"""{_BODIES.replace("conv_id * 1000 + turn", "id").replace("FROM conversations", "FROM " + _EDITED + " t")}, e AS (SELECT id, unnest(sh) AS x FROM s), z AS (SELECT id, len(sh) AS k FROM s),
+p AS (SELECT e.id AS a, f.id AS b, count(*) AS shared FROM e JOIN e AS f ON e.x = f.x AND e.id < f.id GROUP BY ALL),
+q AS (SELECT a, b, shared / (za.k + zb.k - shared) AS similarity FROM p JOIN z AS za ON za.id = a JOIN z AS zb ON zb.id = b WHERE shared / (za.k + zb.k - shared) >= 0.8)"""
+
+
+def _edited_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return campaign.similar_pairs(turns, 0.4).withColumn("similarity", six("similarity"))
+    edited = turns.where("id % 3 = 0").select((F.col("id") + 500_000_000_000).alias("id"), F.regexp_replace("text", r"^\S+\s+", "").alias("text"))
+    return turns.unionByName(edited)
+
+
+@query("near_duplicate_turns", f"WITH {_TURN_PAIRS} SELECT a::BIGINT AS a, b::BIGINT AS b, round(similarity, 6) AS similarity FROM q")
+def near_duplicate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and edited copies of a third of them: pairs that differ little."""
+    return campaign.similar_pairs(_edited_turns(spark, sf_dir), 0.8).withColumn("similarity", six("similarity"))
 
 
 @query(
@@ -174,10 +182,20 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaign.similar_pairs(documents, 0.8).withColumn("similarity", six("similarity"))
 
 
-@query("turn_clusters")
+@query(
+    "turn_clusters",
+    f"""WITH RECURSIVE {_TURN_PAIRS},
+body AS (SELECT id, lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', '<url>', 'g'), '@\\w+', '<@>', 'g'), '\\s+', ' ', 'g'))) AS body FROM {_EDITED} t),
+l AS (SELECT a, b, similarity FROM q UNION ALL SELECT n.id, body.id, 1.0 FROM body JOIN n USING (body) WHERE body.id <> n.id),
+g AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r(id, root) AS (SELECT u, u FROM g UNION SELECT g.v, r.root FROM r JOIN g ON g.u = r.id),
+c AS (SELECT id, min(root) AS cluster FROM r GROUP BY id),
+m AS (SELECT cluster, min(similarity) AS lo, max(similarity) AS hi FROM l JOIN c ON c.id = l.a GROUP BY cluster)
+SELECT id::BIGINT AS id, cluster::BIGINT AS cluster, count(*) OVER (PARTITION BY cluster)::BIGINT AS size, CASE WHEN lo >= 0.9 THEN 'near_duplicate' ELSE 'template' END AS kind, round(lo, 6)::DOUBLE AS similarity_min, round(hi, 6)::DOUBLE AS similarity_max FROM c JOIN m USING (cluster)""",
+)
 def turn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return campaign.clusters(turns, 0.4)
+    found = campaign.clusters(_edited_turns(spark, sf_dir), 0.8)
+    return found.withColumns({c: six(c) for c in ("similarity_min", "similarity_max")})
 
 
 @query(

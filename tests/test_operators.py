@@ -54,6 +54,19 @@ def test_exact_pairs_match_brute_force(spark):
         assert want and {(r.a, r.b) for r in campaign.similar_pairs(items, threshold).collect()} == want
 
 
+def test_few_pairs_are_compared(spark):
+    """Texts of one small vocabulary share most shingles; only those that can be alike are compared."""
+    rng = random.Random(8)
+    words = [a + b for a in "bdfgklmnprst" for b in ("an", "ex", "or", "ung")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(150)]
+    rows += [(1000 + i, t.replace(" ", "  ", 3).split(" ", 1)[1]) for i, t in rows[:20]]
+    items = spark.createDataFrame(rows, "id long, text string")
+    distinct = items.select("id", campaign.shingles(campaign.normalised(F.col("text"))).alias("shingles"))
+    compared = campaign.candidates(distinct, 0.8).count()
+    found = {(r.a, r.b) for r in campaign.similar_pairs(items, 0.8).collect()}
+    assert found == {(i, 1000 + i) for i in range(20)} and compared < 0.15 * (170 * 169 / 2)
+
+
 def test_passages_count_documents_that_hold_them_inside_longer_runs(spark):
     words = [f"{a}{b}stone" for a in "bcdfg" for b in "aeiou"]
     part = lambda lo, hi: " ".join(words[lo:hi])
