@@ -4,9 +4,11 @@ A text's features are its distinct words and the beginnings of its words, hashed
 minimises the logistic loss with an L1 term, so that the many words without any bearing
 get no weight and a long text is not judged by the sum of small ones. In each training
 sentence that names a group, each group term (pronouns among them) is swapped for the others
-of its kind, and the squared change of the score is penalised: a mention alone then moves no
-score. Of a sentence and its counterpart only the features that differ matter, so what a task
-hands over for a text is the swaps it offers, not copies of its sentences.
+of its kind, and the squared change of the sentence's score is penalised: a mention alone then
+moves no score. Of a sentence and its counterpart only the features that differ matter: those of
+the term that no other word of the sentence has, and those of the other term that none has. So
+what a task hands over for a text is a number for each swap, with a bit for each feature that it
+changes, and how often that occurs; not copies of its sentences.
 """
 
 from __future__ import annotations
@@ -88,33 +90,85 @@ def _of_texts(many: list[str]) -> Rows:
     return Rows(len(many), row, column)
 
 
-def _named(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, number of the group term) of the terms that a row's sentences name, as two arrays."""
+class Swaps:
+    """The swaps of each group term for its kin, with the features that they change: ``value`` 1 for those that go, -1 for those that come, in the order of ``row`` (the swap) and ``column``."""
+
+    def __init__(self):
+        self.pairs = [(t, kin) for t, term in enumerate(_TERMS) for kin in _KIN[term]]
+        out, into = _of_texts([_TERMS[t] for t, _ in self.pairs]), _of_texts([kin for _, kin in self.pairs])
+        row, column = np.concatenate((out.row, into.row)), np.concatenate((out.column, into.column))
+        pairs, place = np.unique(row << HASH_BITS | column, return_inverse=True)
+        summed = np.bincount(place, np.concatenate((np.ones(len(out.row)), -np.ones(len(into.row)))), len(pairs))
+        keep = summed != 0  # beginnings that both words share do not change
+        self.row, self.column, self.value = pairs[keep] >> HASH_BITS, pairs[keep] & ((1 << HASH_BITS) - 1), summed[keep]
+        self.first = np.searchsorted(self.row, np.arange(len(self.pairs) + 1))
+        term = np.array([t for t, _ in self.pairs])
+        self.of_term = np.searchsorted(term, np.arange(len(_TERMS) + 1))  # pairs are in the order of their terms
+
+    def rows(self, keys: np.ndarray, counts: np.ndarray) -> Rows:
+        """What each key changes, scaled so that the mean over keys weighs each as often as it occurs."""
+        swap, bits = keys >> BITS, keys & ((1 << BITS) - 1)
+        size = np.diff(self.first)[swap]
+        row = np.repeat(np.arange(len(keys)), size)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        on = (bits[row] >> place) & 1 == 1
+        at = (self.first[swap[row]] + place)[on]
+        weight = np.sqrt(counts / max(counts.sum(), 1) * len(keys))
+        return Rows(len(keys), row[on], self.column[at], self.value[at] * weight[row[on]])
+
+
+#: Features of one swap at most: two words with their beginnings.
+BITS = 2 * (1 + len(BEGINNINGS))
+_SENTENCE_ENDS = np.zeros(256, bool)
+_SENTENCE_ENDS[list(b".!?\n")] = True
+
+
+def offered(words: Words, swaps: Swaps) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every swap that a row's sentences offer, one for each sentence; a key is the swap's number and a bit for each feature that it changes there."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    prefix = Words(*utf8(pa.array(_TERMS)), ALPHANUMERIC)
-    known = prefix.hashes()
+        return none
+    hashes = words.hashes()
+    known = Words(*utf8(pa.array(_TERMS)), ALPHANUMERIC).hashes()
     order = np.argsort(known)
-    at, there = chosen(words.hashes(), known[order])
+    at, there = chosen(hashes, known[order])
     where = np.flatnonzero(there)
     spelled = [words.data[a:b].tobytes().decode(errors="replace") for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)]
     term = order[at[where]]
     same = np.array([w == _TERMS[t] for w, t in zip(spelled, term.tolist(), strict=True)], bool)
     where, term = where[same], term[same]
-    pairs = np.unique(words.row()[where] * len(_TERMS) + term)
-    return pairs // len(_TERMS), pairs % len(_TERMS)
-
-
-def _changes() -> tuple[list[tuple[int, str]], Rows]:
-    """All swaps (number of the term, kin), and what each changes: +1 for the features that go, -1 for those that come."""
-    swaps = [(t, kin) for t, term in enumerate(_TERMS) for kin in _KIN[term]]
-    out, into = _of_texts([_TERMS[t] for t, _ in swaps]), _of_texts([kin for _, kin in swaps])
-    row, column = np.concatenate((out.row, into.row)), np.concatenate((out.column, into.column))
-    value = np.concatenate((np.ones(len(out.row)), -np.ones(len(into.row))))
-    pairs, place = np.unique(row << HASH_BITS | column, return_inverse=True)
-    summed = np.bincount(place, value, len(pairs))
-    keep = summed != 0  # beginnings that both words share do not change
-    return swaps, Rows(len(swaps), pairs[keep] >> HASH_BITS, pairs[keep] & ((1 << HASH_BITS) - 1), summed[keep])
+    if not len(where):
+        return none
+    row = words.row()
+    ended = np.cumsum(_SENTENCE_ENDS[words.data])[words.starts]
+    sentence = np.cumsum(np.concatenate(([0], (np.diff(ended) > 0) | (np.diff(row) > 0))))
+    named = np.unique(sentence[where] * len(_TERMS) + term)
+    own, term = named // len(_TERMS), named % len(_TERMS)
+    # how many distinct words of a sentence with a term have each feature
+    inside = np.isin(sentence, own)
+    pairs, first = np.unique(np.stack((sentence[inside], hashes[inside].astype(np.int64))), axis=1, return_index=True)
+    place = np.flatnonzero(inside)[first]
+    prefix, start, length = words.prefix(), words.starts[place], (words.ends - words.starts)[place]
+    found, of = [prefix.of(start, start + length)], [pairs[0]]
+    for n in BEGINNINGS:
+        longer = length > n
+        found.append(prefix.of(start[longer], start[longer] + n) ^ np.uint64(n << 32))
+        of.append(pairs[0][longer])
+    features = np.sort(np.concatenate(of) << HASH_BITS | (np.concatenate(found) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64))
+    # each swap of each named term, feature by feature
+    n_swaps = np.diff(swaps.of_term)[term]
+    swap = np.repeat(swaps.of_term[term], n_swaps) + np.arange(int(n_swaps.sum())) - np.repeat(np.cumsum(n_swaps) - n_swaps, n_swaps)
+    sentences = np.repeat(own, n_swaps)
+    size = np.diff(swaps.first)[swap]
+    each = np.repeat(np.arange(len(swap)), size)
+    bit = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    entry = swaps.first[swap[each]] + bit
+    looked = sentences[each] << HASH_BITS | swaps.column[entry]
+    held = np.searchsorted(features, looked, "right") - np.searchsorted(features, looked, "left")
+    changes = held <= (swaps.value[entry] > 0)  # the term's own, or none
+    bits = np.bincount(each, np.where(changes, 1 << bit, 0), len(swap)).astype(np.int64)
+    row_of = row[np.searchsorted(sentence, sentences)]
+    return row_of, swap.astype(np.int64) << BITS | bits
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -123,7 +177,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class Model:
-    """swaps: counterfactual pairs that the fit saw (each text's distinct ones)."""
+    """swaps: counterfactual pairs that the fit saw, one for each sentence and swap."""
 
     def __init__(self, columns: np.ndarray, weights: np.ndarray, bias: float, swaps: int = 0):
         self.columns, self.weights, self.bias, self.swaps = columns, weights, bias, swaps
@@ -152,35 +206,41 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, l
     sample = texts(documents.where("text is not null")).join(F.broadcast(ids), "doc_id")  # at most max_train ids
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swaps = Swaps()
         for batch in batches:
             each: list[np.ndarray] = []
-            named: list[np.ndarray] = []
+            keys: list[np.ndarray] = []
+            times: list[np.ndarray] = []
             for lo, hi, words in word_slices(batch.column("text"), ALPHANUMERIC, lower=True):
-                for found, (row, column) in ((each, _features(words)), (named, _named(words))):
-                    found += np.split(column.astype(np.int32), np.searchsorted(row, np.arange(1, hi - lo)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(each, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.int32()))], ["toxic", "features", "named"])
+                row, column = _features(words)
+                each += np.split(column.astype(np.int32), np.searchsorted(row, np.arange(1, hi - lo)))
+                pairs, n = np.unique(np.stack(offered(words, swaps)), axis=1, return_counts=True)
+                cuts = np.searchsorted(pairs[0], np.arange(1, hi - lo))
+                keys += np.split(pairs[1], cuts)
+                times += np.split(n, cuts)
+            lists = [pa.array(each, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *lists], ["toxic", "features", "keys", "times"])
 
-    found = sample.mapInArrow(featured, "toxic int, features array<int>, named array<int>").toArrow()
+    found = sample.mapInArrow(featured, "toxic int, features array<int>, keys array<long>, times array<long>").toArrow()
     if not found.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     target = found.column("toxic").to_numpy().astype(float)
     features = found.column("features").combine_chunks()
     column = features.flatten().to_numpy()
     counts = np.diff(features.offsets.to_numpy())
-    named = np.bincount(found.column("named").combine_chunks().flatten().to_numpy(), minlength=len(_TERMS))
-    swaps, changes = _changes()
-    seen = np.array([named[t] for t, _ in swaps])  # texts that offer each swap
-    own = np.unique(changes.column[seen[changes.row] > 0])  # a few for each of the fixed swaps
+    swaps = Swaps()
+    keys, place = np.unique(found.column("keys").combine_chunks().flatten().to_numpy(), return_inverse=True)
+    seen = np.bincount(place, found.column("times").combine_chunks().flatten().to_numpy(), len(keys))
+    changes = swaps.rows(keys, seen)
+    own = np.unique(changes.column)  # a few for each of the fixed swaps
     common = compact(column[np.repeat(target == 0, counts)], max(LEAST_ROWS, MOST_SHARE * (target == 0).sum()), len(column))
     keep = np.setdiff1d(compact(column, LEAST_ROWS, MOST_FEATURES - len(own)), common)
     keep = np.union1d(keep, np.intersect1d(column, own))
     rows = design(counts, column, keep)
     change = None
-    if seen.any():
-        # a swap offered n times counts n times: its row is scaled by the root of its share
+    if len(keys):
         at, there = chosen(changes.column, keep)
-        weight = np.sqrt(seen / seen.sum() * len(swaps))[changes.row]
-        change = Rows(len(swaps), changes.row[there], at[there], (changes.value * weight)[there])
+        change = Rows(len(keys), changes.row[there], at[there], changes.value[there])
     weights, bias = fit(rows, target, len(keep), l1 / len(target) ** 0.5, change, penalty)
     used = weights != 0
     return Model(keep[used], weights[used], bias, int(seen.sum()))

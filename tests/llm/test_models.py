@@ -65,7 +65,57 @@ def test_long_texts_offer_swaps_in_linear_memory(spark):
     long = "she and he and the muslims " * 20_000
     documents = spark.createDataFrame([(i, long if i == 0 else f"plain words {i}") for i in range(30)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
-    assert toxicity.train(documents, labels).swaps in (0, 7)  # he, she: one each; muslims: five
+    assert toxicity.train(documents, labels).swaps in (0, 7)  # one sentence; he, she: one each; muslims: five
+
+
+def test_swaps_are_those_of_real_sentences():
+    """Each sentence and each term in it, swapped as text: the features of both, compared."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from proseloom.llm._words import ALPHANUMERIC, Words, utf8
+
+    rng = np.random.default_rng(5)
+    terms = ["he", "she", "muslims", "muslim", "christians", "christian", "women", "woman", "black", "old", "elderly", "frauen", "femmes", "immigrants", "él"]
+    words = [*terms, *terms, "the", "chris", "christianity", "muslimsx", "sherman", "womens", "blackbird", "immigration", "and", "went"]
+    texts = ["", "no group here.", "he"] + ["".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", "! ", "?", "\n"]) for _ in range(rng.integers(1, 40))) for _ in range(150)]
+    swaps = toxicity.Swaps()
+    cut = Words(*utf8(pa.array(texts)), ALPHANUMERIC, lower=True)
+    row, keys = toxicity.offered(cut, swaps)
+    made = swaps.rows(keys, np.ones(len(keys)))
+    got = [Counter() for _ in texts]
+    for k in range(len(keys)):
+        mine = made.row == k
+        got[row[k]][frozenset(zip(made.column[mine].tolist(), np.sign(made.value[mine]).tolist(), strict=True))] += 1
+    want = [Counter() for _ in texts]
+    flags = lambda t: set(toxicity._of_texts([t]).column.tolist())
+    for i, t in enumerate(texts):
+        for sentence in re.split(r"[.!?\n]", t):
+            for term in set(re.findall(r"[^\x00-/:-`{-\x7f]+", sentence)) & set(toxicity._TERMS):
+                for kin in toxicity._KIN[term]:
+                    other = re.sub(rf"(?<![a-z0-9\x80-\U0010ffff]){term}(?![a-z0-9\x80-\U0010ffff])", kin, sentence)
+                    before, after = flags(sentence), flags(other)
+                    want[i][frozenset({(c, 1.0) for c in before - after} | {(c, -1.0) for c in after - before})] += 1
+    assert got == want and sum(map(len, want)) > 300
+
+
+def test_the_penalty_is_the_mean_squared_change_of_sentences():
+    import pyarrow as pa
+
+    from proseloom.llm._words import ALPHANUMERIC, Words, utf8
+
+    texts = ["he and she went. he went.", "the muslims and she", "he he he"]
+    swaps = toxicity.Swaps()
+    _, keys = toxicity.offered(Words(*utf8(pa.array(texts)), ALPHANUMERIC, lower=True), swaps)
+    found, counts = np.unique(keys, return_counts=True)
+    made = swaps.rows(found, counts)
+    weights = {c: v for c, v in zip(np.unique(swaps.column).tolist(), np.linspace(-1, 1, len(np.unique(swaps.column))).tolist(), strict=True)}
+    score = lambda t: sum(weights.get(c, 0.0) for c in toxicity._of_texts([t]).column.tolist())
+    pairs = [("he and she went", "she and she went"), ("he and she went", "he and he went"), ("he went", "she went"), ("the muslims and she", "the muslims and he"), ("he he he", "she she she")]
+    pairs += [("the muslims and she", f"the {kin} and she") for kin in toxicity._KIN["muslims"]]
+    dot = np.bincount(made.row, made.value * np.array([weights[c] for c in made.column.tolist()]), made.n)
+    assert np.isclose((dot**2).mean(), np.mean([(score(a) - score(b)) ** 2 for a, b in pairs]))
 
 
 def test_toxicity_odd_input(spark, documents, empty):
