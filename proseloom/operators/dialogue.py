@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseloom.functions import text
+from proseloom.operators.order import numbered
+from proseloom.sources.tables import written
 
 ALPHA = 0.5
 WORD = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*"
@@ -37,34 +39,48 @@ def features(body: Column) -> Column:
 
 
 def folds(lines: DataFrame, n: int = 5, min_lines: int = 20) -> DataFrame:
-    """Lines of speakers with ``min_lines`` or more, with ``fold``: each speaker's lines cut into contiguous runs in script order. lines: ``line_id, speaker, text``."""
-    per = Window.partitionBy("speaker")
-    place = F.row_number().over(per.orderBy("line_id")) - 1
-    counted = lines.withColumns({"seen": place, "total": F.count("*").over(per)}).where(F.col("total") >= min_lines)
-    return counted.select("line_id", "speaker", "text", F.floor(F.col("seen") * n / F.col("total")).cast("long").alias("fold"))
+    """Lines of speakers with ``min_lines`` or more, with ``fold``: each speaker's lines cut into contiguous runs in script order. lines: ``line_id, speaker, text``.
+
+    Places are counted by ranges of the sorted lines, so one speaker may hold most of them. Lines without a speaker are left out.
+    """
+    named = lines.select("line_id", "speaker", "text").where("speaker is not null")
+    totals = named.groupBy("speaker").agg(F.count("*").alias("total")).where(F.col("total") >= min_lines)
+    placed = numbered(named, ["speaker"], [F.col("line_id")], "seen").join(totals, "speaker")
+    return placed.select("line_id", "speaker", "text", F.floor(F.col("seen") * n / F.col("total")).cast("long").alias("fold"))
 
 
 def attribution(lines: DataFrame, n: int = 5, min_lines: int = 20) -> DataFrame:
     """``line_id, speaker, rank, p_true, top``: for each line, from the other folds, the rank and posterior of its true speaker and the likeliest one.
 
-    Ties go to the speaker first by name. Fewer than two speakers give no rows.
+    What the other folds hold is what all hold less the line's own fold, so no fold is joined
+    with the rest. Ties go to the speaker first by name. Fewer than two speakers give no rows.
+    Each line is scored for each speaker who has enough lines.
     """
-    cut = folds(lines, n, min_lines)
+    cut = written(folds(lines, n, min_lines), "dialogue-folds")
     each = cut.select("line_id", "speaker", "fold", F.explode(features(F.coalesce(F.col("text"), F.lit("")))).alias("f"))
-    counts = each.groupBy("fold", "speaker", "f").agg(F.count("*").alias("c"))
-    held = cut.select("fold").distinct().withColumnRenamed("fold", "held")
-    trained = counts.join(held, F.col("fold") != F.col("held")).groupBy("held", "speaker", "f").agg(F.sum("c").alias("own"))
-    of_feature = trained.groupBy("held", "f").agg(F.sum("own").alias("total"))
-    of_speaker = trained.groupBy("held", "speaker").agg(F.sum("own").alias("mine"))
-    grand = of_feature.groupBy("held").agg(F.sum("total").alias("grand"), F.count("*").alias("vocab"))
+    counts = written(each.groupBy("fold", "speaker", "f").agg(F.count("*").alias("c")), "dialogue-counts")
+    in_fold = counts.groupBy(F.col("fold").alias("held"), "f").agg(F.sum("c").alias("held_total"))
+    whole = counts.groupBy("f").agg(F.sum("c").alias("all_total"))
+    # a feature that only the held fold has is none of the others'
+    lone = in_fold.join(whole, "f").groupBy("held").agg(F.sum("held_total").alias("held_grand"), F.count_if(F.col("held_total") == F.col("all_total")).alias("lone"))
+    size = whole.agg(F.sum("all_total").alias("all_grand"), F.count("*").alias("features"))
+    grand = lone.join(F.broadcast(size)).select("held", (F.col("all_grand") - F.col("held_grand")).alias("grand"), (F.col("features") - F.col("lone")).alias("vocab"))  # one row
+    of_fold = counts.groupBy("speaker", F.col("fold").alias("held")).agg(F.sum("c").alias("held_mine"))
+    of_all = counts.groupBy("speaker").agg(F.sum("c").alias("all_mine")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("held"))
+    of_speaker = of_all.join(of_fold, ["speaker", "held"], "left").select("speaker", "held", (F.col("all_mine") - F.coalesce("held_mine", F.lit(0))).alias("mine"))
     base = of_speaker.join(grand, "held").select("held", "speaker", F.log(F.col("grand") - F.col("mine") + ALPHA * F.col("vocab")).alias("den"))
-    tested = each.groupBy("line_id", "fold", "f").agg(F.count("*").alias("k")).withColumnRenamed("fold", "held")
+    tested = each.groupBy("line_id", F.col("fold").alias("held"), "f").agg(F.count("*").alias("k"))
+    of_feature = in_fold.join(whole, "f").select("held", "f", (F.col("all_total") - F.col("held_total")).alias("total"))
+    mine = counts.groupBy("speaker", "f").agg(F.sum("c").alias("all_own"))
+    held_own = counts.select("speaker", "f", F.col("fold").alias("held"), F.col("c").alias("held_own"))
+    trained = in_fold.select("held", "f").join(mine, "f").join(held_own, ["speaker", "f", "held"], "left").select("held", "speaker", "f", (F.col("all_own") - F.coalesce("held_own", F.lit(0))).alias("own")).where("own > 0")
     # Terms that every speaker shares (the feature's total in the other folds) are summed once a line; only a speaker's own counts are joined by speaker.
     shared = tested.join(of_feature, ["held", "f"], "left").select("line_id", "held", "f", "k", F.coalesce("total", F.lit(0)).alias("total"))
     common = shared.groupBy("line_id", "held").agg(F.sum(F.col("k") * F.log(F.col("total") + ALPHA)).alias("all_log"), F.sum("k").alias("n"))
     own = shared.join(trained, ["held", "f"]).select("line_id", "speaker", (F.col("k") * (F.log(F.col("total") - F.col("own") + ALPHA) - F.log(F.col("total") + ALPHA))).alias("d"))
     less = own.groupBy("line_id", "speaker").agg(F.sum("d").alias("d"))
-    candidates = common.join(base, "held").withColumnRenamed("speaker", "candidate")
+    every = cut.select("line_id", F.col("fold").alias("held")).join(common, ["line_id", "held"], "left").na.fill(0, ["all_log", "n"])  # lines without features too
+    candidates = every.join(base, "held").withColumnRenamed("speaker", "candidate")
     scored = candidates.join(less.withColumnRenamed("speaker", "candidate"), ["line_id", "candidate"], "left")
     score = -(F.col("all_log") + F.coalesce("d", F.lit(0.0)) - F.col("n") * F.col("den"))
     of_line = Window.partitionBy("line_id")

@@ -47,13 +47,7 @@ def _edit(rule: str, new: str | None):
 
 def applied(body: Column, changes: Column) -> Column:
     """The text with the edits made."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def put(state: Column, e: Column) -> Column:
-        gap = F.substring(body, (state["at"] + 1).cast("int"), (e["start"] - state["at"]).cast("int"))
-        return F.struct(e["end"].alias("at"), F.concat(state["out"], gap, e["new"]).alias("out"))
-
-    return F.aggregate(changes, start, put, lambda s: F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), F.length(body))))
+    return text.spliced(body, changes)
 
 
 def transformed(documents: DataFrame, phrases: bool = False, dashes: bool = True) -> DataFrame:

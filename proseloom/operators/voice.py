@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseloom.functions import rules, text
-from proseloom.operators.evaluate import nearest_rank
+from proseloom.operators.order import numbered
+from proseloom.sources.tables import written
 
 #: Features, as rates for 100 words.
 FEATURES = {
@@ -41,18 +42,38 @@ def long_form(measured: DataFrame) -> DataFrame:
 def profile(measured: DataFrame, by: Column | None = None) -> DataFrame:
     """``writer, feature, samples, low, median, high``: nearest-rank 10th, 50th and 90th percentiles over samples.
 
-    measured: ``features()`` with a ``writer``. Percentiles need a writer's samples of one feature together, one number each.
+    measured: ``features()`` with a ``writer``. The sorted values are numbered by ranges, so no writer's samples meet in one row or task.
     """
-    rows = measured.unpivot(["writer", "doc_id"], list(FEATURES), "feature", "value").where("value is not null")
-    grouped = rows.groupBy("writer", "feature").agg(F.collect_list("value").alias("v"))
-    return grouped.select("writer", "feature", F.size("v").cast("long").alias("samples"), *(nearest_rank(F.col("v"), p).alias(n) for n, p in (("low", 10), ("median", 50), ("high", 90))))
+    rows = measured.unpivot(["writer", "doc_id"], list(FEATURES), "feature", "value").where("value is not null").select("writer", "feature", "value")
+    rows = rows.withColumn("apart", F.monotonically_increasing_id())  # equal values may be many
+    samples = rows.groupBy("writer", "feature").agg(F.count("*").alias("samples"))
+    placed = numbered(rows, ["writer", "feature"], [F.col("value"), F.col("apart")], "at")
+    both = placed.join(samples.select(F.col("writer").alias("_w"), F.col("feature").alias("_f"), "samples"), F.col("writer").eqNullSafe(F.col("_w")) & (F.col("feature") == F.col("_f")))
+    rank = lambda p: F.max(F.when(F.col("at") == F.bround((F.col("samples") - 1) * F.lit(p / 100.0)), F.col("value")))
+    return both.groupBy("writer", "feature").agg(F.first("samples").alias("samples"), *(rank(p).alias(n) for n, p in (("low", 10), ("median", 50), ("high", 90))))
+
+
+#: Writers whose ranges go along with each row at once.
+WRITERS = 256
 
 
 def placed(measured: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``doc_id, writer, feature, value, place``: each feature below, within or above each writer's range."""
-    joined = long_form(measured).join(profiles, "feature")
-    place = F.when(F.col("value") < F.col("low"), "below").when(F.col("value") > F.col("high"), "above").otherwise("within")
-    return joined.select("doc_id", "writer", "feature", "value", place.alias("place"))
+    """``doc_id, writer, feature, value, place``: each feature below, within or above each writer's range.
+
+    A writer's ranges are one row; rows take up so many writers at a time, in passes, and none are shuffled.
+    """
+    ranges = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("low", "high")))).alias("ranges")
+    writers = written(profiles.groupBy("writer").agg(ranges).withColumn("pass", F.floor((F.row_number().over(Window.orderBy("writer")) - 1) / WRITERS)), "writer-ranges")  # a row for each writer
+    values = F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).cast("double").alias("value")) for k in FEATURES))
+    told = measured.select("doc_id", F.filter(values, lambda v: v["value"].isNotNull()).alias("values"))
+    out = None
+    for k in range((writers.agg(F.max("pass")).first()[0] or 0) + 1):
+        some = writers.where(F.col("pass") == k).agg(F.collect_list(F.struct("writer", "ranges"))).scalar()
+        rows = told.select("doc_id", "values", F.explode(some).alias("w")).select("doc_id", "w.writer", F.col("w.ranges").alias("ranges"), F.explode("values").alias("v"))
+        at = rows.select("doc_id", "writer", "v.feature", "v.value", F.element_at("ranges", F.col("v.feature")).alias("r")).where("r is not null")
+        out = at if out is None else out.unionByName(at)
+    place = F.when(F.col("value") < F.col("r.low"), "below").when(F.col("value") > F.col("r.high"), "above").otherwise("within")
+    return out.select("doc_id", "writer", "feature", "value", place.alias("place"))
 
 
 def fit(measured: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -267,8 +267,7 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("low_rule_counts", f"WITH {_LINES}, h AS ({_rule_sql(('LOW',), 'l', 'raw')}) SELECT rule_id, count(*)::BIGINT AS findings, count(DISTINCT doc_id)::BIGINT AS docs FROM h GROUP BY rule_id")
 def low_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.line_findings(table(spark, sf_dir, "documents"))
-    low = found.where(F.col("rule_id").isin(*(r.rule_id for r in rules.rules("LOW") if not r.looks_around)))
+    low = scan.line_findings(table(spark, sf_dir, "documents"), only=tuple(r.rule_id for r in rules.rules("LOW") if not r.looks_around))
     return low.groupBy("rule_id").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -419,10 +418,18 @@ def writer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voice.profile(measured).withColumns({c: six(c) for c in ("low", "median", "high")})
 
 
-@query("voice_fit")
+@query(
+    "voice_fit",
+    f"""
+WITH m AS (SELECT doc_id, writer, {', '.join(f'{k}::DOUBLE AS {k}' for k in voice.FEATURES)} FROM ({_rates_sql('doc_id, lang AS writer')})),
+v AS (UNPIVOT m ON {', '.join(voice.FEATURES)} INTO NAME feature VALUE value),
+g AS (SELECT writer, feature, list_sort(list(value)) AS v FROM v GROUP BY writer, feature),
+p AS (SELECT writer, feature, v[round_even((len(v) - 1) * 0.1, 0)::INT + 1] AS low, v[round_even((len(v) - 1) * 0.9, 0)::INT + 1] AS high FROM g)
+SELECT doc_id, p.writer, round(avg((value >= low AND value <= high)::INT), 6)::DOUBLE AS share FROM v JOIN p USING (feature) GROUP BY ALL""",
+)
 def voice_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = voice.features(table(spark, sf_dir, "documents"), keep=(F.col("lang").alias("writer"),))
-    return voice.fit(measured.drop("writer"), voice.profile(measured))
+    return voice.fit(measured.drop("writer"), voice.profile(measured)).withColumn("share", six("share"))
 
 
 @query(
@@ -508,11 +515,14 @@ def rewrite_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.compare(pairs)
 
 
-@query("house_edits", r"SELECT doc_id, sha256(text) AS input_sha256, length(text)::BIGINT AS chars FROM documents")
+_PLAIN = r"[\"`“<]|https?:|—|[ \t]–|[ \t]{2}|\|"
+
+
+@query("house_edits", f"SELECT doc_id, ((length(text) - length(replace(text, ', ', ''))) / 2)::BIGINT AS edits, sha256(text) AS output_sha256, sha256(replace(text, ', ', ' — ')) AS input_sha256, text FROM documents WHERE NOT regexp_matches(text, '{_PLAIN}')")
 def house_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = edits.transformed(table(spark, sf_dir, "documents"))
-    back = F.length("text") + F.aggregate("edits", F.lit(0).cast("long"), lambda a, e: a + e["end"] - e["start"] - F.length(e["new"]))
-    return found.select("doc_id", "input_sha256", back.cast("long").alias("chars"))
+    """Texts whose commas have become dashes: the edits make commas of them again. Texts with protected spans, or changes of their own, are told apart first."""
+    dashed = table(spark, sf_dir, "documents").where(~F.col("text").rlike(_PLAIN)).select("doc_id", F.replace("text", F.lit(", "), F.lit(" — ")).alias("text"))
+    return edits.transformed(dashed).select("doc_id", F.size("edits").cast("long").alias("edits"), "output_sha256", "input_sha256", "text")
 
 
 @query("device_rates")

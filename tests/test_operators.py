@@ -229,3 +229,42 @@ def test_sinks(spark):
     first = sinks.diagnostics(found).where("doc_id = 0").first()
     assert first.line == 0 and first.severity == 1
     assert "match" not in sinks.redacted(found).columns
+
+
+def test_attribution_equals_plain_loops(spark):
+    rng = random.Random(12)
+    words = {s: [f"{s.lower()}{k}" for k in range(4)] + ["the", "and", "so"] for s in ("ANN", "BOB", "CY")}
+    lines = [(i, s, " ".join(rng.choice(words[rng.choice([s, s, "ANN"])]) for _ in range(rng.randint(0, 5))) + rng.choice(["", "?", "!", ", so"])) for i, s in enumerate(rng.choice("ANN BOB CY".split()) for _ in range(75))]
+    lines += [(200, None, "no one"), (201, "RARE", "once")]
+    frame = spark.createDataFrame(lines, "line_id long, speaker string, text string")
+    got = {r.line_id: r for r in dialogue.attribution(frame).collect()}
+    marks = [("?", "q"), ("!", "x"), (";", "s"), ("...", "e"), ("…", "e"), (",", "k")]
+
+    def features(t):
+        ws = [w.lower() for w in re.findall(dialogue.WORD, t)]
+        joined = f" {' '.join(ws)} "
+        return Counter([f"w:{w}" for w in ws] + [f"b:{a}_{b}" for a, b in zip(ws, ws[1:], strict=False)] + [f"c:{joined[i : i + 3]}" for i in range(len(joined) - 2)] + [f"p:{tag}" for m, tag in marks for _ in range(t.count(m))])
+
+    of = {s: [x for x in lines if x[1] == s] for s in ("ANN", "BOB", "CY")}
+    assert all(len(x) >= 20 for x in of.values())
+    fold = {x[0]: k * 5 // len(xs) for xs in of.values() for k, x in enumerate(xs)}
+    for line_id, speaker, body in (x for xs in of.values() for x in xs):
+        trained = {s: sum((features(t) for i, _, t in xs if fold[i] != fold[line_id]), Counter()) for s, xs in of.items()}
+        total = sum(trained.values(), Counter())
+        score = {}
+        for s in of:
+            rest = total.total() - trained[s].total() + 0.5 * len(total)
+            score[s] = -sum(k * math.log((total[f] - trained[s][f] + 0.5) / rest) for f, k in features(body).items())
+        top = max(score.values())
+        p = {s: math.exp(x - top) for s, x in score.items()}
+        ranked = sorted(score, key=lambda s: (-round(score[s], 9), s))
+        r = got.pop(line_id)
+        assert r.speaker == speaker and r.top == ranked[0] and r.rank == ranked.index(speaker) + 1
+        assert math.isclose(r.p_true, p[speaker] / sum(p.values()), rel_tol=1e-9)
+    assert not got
+
+
+def test_edits_of_a_long_text(spark):
+    body = "é " + "One — two  and — three. " * 3000
+    (row,) = edits.transformed(spark.createDataFrame([(1, body)], "doc_id long, text string")).collect()
+    assert row.text == "é " + "One, two and, three. " * 3000 and len(row.edits) == 9000
