@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.operators import campaign, masks, skeletons
+from proseloom.operators import campaign, masks, process, skeletons
 from proseloom.plans.catalogue import _EDITED, _TURN_PAIRS, _edited_turns, query
-from proseloom.sources.tables import table
+from proseloom.sources.tables import table, written
 
 _TAGS = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<pre\b[^>]*>.*?</pre\s*>|<!--.*?-->|</?[a-z!][^<>]*>".replace("'", "''")
 
@@ -58,3 +58,39 @@ def turn_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = skeletons.skeletons(turns, clusters)
     back = skeletons.rebuilt(found, skeletons.filled(turns, clusters, found))
     return back.join(found.select("cluster", (F.col("shared") > 0).alias("shares_words")), "cluster").select("cluster", "id", "words", "shares_words")
+
+
+@query(
+    "process_chain",
+    f"""WITH RECURSIVE e AS (SELECT 'user ' || user_id AS log_id, event_id::VARCHAR AS event_id, event_type AS kind, strftime(ts, '%Y-%m-%d') AS day, coalesce(props, '') AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+c AS (SELECT log_id, seq, event_id, '{process.GENESIS}' AS prev, 'sha256:' || sha256(concat_ws(chr(9), seq::VARCHAR, kind, day, body, '{process.GENESIS}')) AS hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.log_id, e.seq, e.event_id, c.hash, 'sha256:' || sha256(concat_ws(chr(9), e.seq::VARCHAR, kind, day, body, c.hash)) FROM c JOIN e ON e.log_id = c.log_id AND e.seq = c.seq + 1)
+SELECT log_id, seq::BIGINT AS seq, event_id, prev, hash FROM c""",
+)
+def process_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each user: the first half of the events is appended, then all of them, of which the first half is known."""
+    events = _log_events(spark, sf_dir)
+    half = events.agg((F.max("at") / 2).cast("long")).first()[0] or 0
+    first = written(process.appended(events.sparkSession.createDataFrame([], process.ENTRY), events.where(F.col("at") <= half)), "process-entries").select(*process.COLUMNS)
+    rest = process.appended(first, events).where("problem is null").select(*process.COLUMNS)
+    return first.unionByName(rest).select("log_id", "seq", "event_id", "prev", "hash")
+
+
+def _log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "events")
+    return told.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("log_id"), F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("at"), F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.coalesce("props", F.lit("")).alias("body"), F.lit(None).cast("string").alias("builds_on"))
+
+
+@query(
+    "process_heads",
+    """WITH e AS (SELECT 'user ' || user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, user_id % 4 AS f FROM events),
+c AS (SELECT log_id, f, count(*) AS n FROM e GROUP BY ALL)
+SELECT log_id, CASE WHEN f = 1 AND n >= 3 THEN n - 1 ELSE n END::BIGINT AS entries, CASE WHEN f = 1 AND n >= 4 THEN 4 WHEN f = 2 AND n >= 2 THEN 2 END::BIGINT AS first_fault,
+  CASE WHEN f = 1 AND n >= 3 THEN 2 WHEN f = 2 AND n >= 2 THEN 1 ELSE n END::BIGINT AS good FROM c""",
+)
+def process_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of users, of which some lost their third entry and some had their second changed: how far each is sound."""
+    entries = process.appended(spark.createDataFrame([], process.ENTRY), _log_events(spark, sf_dir)).select(*process.COLUMNS)
+    fault = F.substring_index("log_id", " ", -1).cast("long") % 4
+    broken = entries.where((fault != 1) | (F.col("seq") != 3)).withColumn("body", F.when((fault == 2) & (F.col("seq") == 2), "changed").otherwise(F.col("body")))
+    return process.heads(written(broken, "process-broken")).select("log_id", "entries", "first_fault", "good")
