@@ -259,10 +259,19 @@ def _without_looking_around() -> list[str]:
     return [r.rule_id for r in rules.rules("HIGH", "MEDIUM", "LOW") if not r.looks_around]
 
 
-@query("rule_hits", f"WITH f AS (SELECT * FROM {fixtures.values(list(enumerate(fixtures.RULE_LINES)), 'doc_id', 'text')}) SELECT doc_id::BIGINT AS doc_id, rule_id, tier, \"match\" FROM ({_rule_sql(('HIGH', 'MEDIUM', 'LOW'), 'f')}) x")
+#: SQL: lines of the documents, each document followed by a line of the fixed ones.
+_RULE_LINES = _LINES.replace("FROM documents WHERE text <> ''", "FROM (SELECT doc_id, coalesce(text, '') || chr(10) || " + fixtures.dealt_sql(fixtures.RULE_LINES, "doc_id") + " AS text FROM documents) y WHERE text <> ''")
+
+
+def _with_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, each followed by a line of the fixed ones, dealt in turn."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), fixtures.dealt(fixtures.RULE_LINES, "doc_id")).alias("text"))
+
+
+@query("rule_hits", f"WITH {_RULE_LINES}, d AS (SELECT * FROM m WHERE NOT regexp_matches(raw, '^\\s*-{{3,}}\\s*$')) SELECT doc_id, rule_id, tier, \"match\" FROM ({_rule_sql(('HIGH', 'MEDIUM'), 'd', 't')} UNION ALL {_rule_sql(('LOW',), 'm', 'raw')}) x")
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.line_findings(fixtures.rule_lines(spark))
-    return found.where(F.col("rule_id").isin(*_without_looking_around())).select("doc_id", "rule_id", "tier", "match")
+    found = scan.line_findings(_with_line(spark, sf_dir), only=tuple(_without_looking_around()))
+    return found.select("doc_id", "rule_id", "tier", "match")
 
 
 @query("low_rule_counts", f"WITH {_LINES}, h AS ({_rule_sql(('LOW',), 'l', 'raw')}) SELECT rule_id, count(*)::BIGINT AS findings, count(DISTINCT doc_id)::BIGINT AS docs FROM h GROUP BY rule_id")
@@ -273,21 +282,21 @@ def low_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gate_by_profile")
 def gate_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixtures.rule_lines(spark)
+    found = _with_line(spark, sf_dir)
     parts = [check.check(found, check.Profile(name=s, slop=s)).select("doc_id", "profile", "gate", "verdict", "n_high", "n_medium", "n_low", "blocking") for s in check.GATE_TIERS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("all_findings")
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.findings(fixtures.rule_lines(spark))
+    return scan.findings(_with_line(spark, sf_dir))
 
 
 @query("pack_findings")
 def pack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name in packs.PACKS:
-        part = packs.run(name, fixtures.rule_lines(spark)).withColumn("pack", F.lit(name))
+        part = packs.run(name, _with_line(spark, sf_dir)).withColumn("pack", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -302,16 +311,22 @@ _VOICES = " OR ".join(f"regexp_matches(t, {_re2(p)})" for label, p, _ in CV.PROM
 _ACRONYMS = ", ".join(f"'{a}'" for a in CV.ACRONYMS)
 
 
+_POSTS = [t for _, t in fixtures.POSTS if t]
+_BIOS = [t or "" for _, t, _ in fixtures.BIOS]
+_PLATFORMS = [p for _, _, p in fixtures.BIOS]
+
+
 @query(
     "promo_templates",
     rf"""
-WITH f AS (SELECT id::BIGINT AS id, coalesce(text, '') AS t FROM {fixtures.values(fixtures.POSTS, 'id', 'text')}),
+WITH f AS (SELECT id, coalesce(text, '') || ' ' || {fixtures.dealt_sql(_POSTS, 'id')} AS t FROM (SELECT conv_id * 8 + turn AS id, text FROM conversations) x),
 c AS (SELECT id, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(t, '[^.!?\n]+[.!?\n]?')) AS s FROM f) x WHERE regexp_matches(s, {_re2(CV.SPEC)}) AND len(list_filter(regexp_extract_all(s, '\b[A-Z]{{4,}}\b'), lambda w: w NOT IN ({_ACRONYMS}))) > 0 GROUP BY id),
 z AS (SELECT f.id, {_PROMO_SUM} + 2 * coalesce(c.n, 0) + CASE WHEN (regexp_matches(t, {_re2(CV.ENDORSE)}) OR {_VOICES}) AND NOT regexp_matches(t, {_re2(CV.DISCLOSURE)}) THEN 2 ELSE 0 END AS score FROM f LEFT JOIN c USING (id))
 SELECT id, score::BIGINT AS score, score >= 3 AS template FROM z""",
 )
 def promo_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.promo_scores(fixtures.posts(spark))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 8 + F.col("turn")).alias("id"), "text")
+    return campaign.promo_scores(turns.select("id", F.concat_ws(" ", F.coalesce("text", F.lit("")), fixtures.dealt(_POSTS, "id")).alias("text")))
 
 
 _SLOT_SQL = ", ".join(f"CASE WHEN regexp_matches(t, {_re2(p).replace('(?<![' + WORD_CLASS + '$])', '(?:^|[^' + WORD_CLASS + '$])')}) THEN '{s}' END" for s, _, p in CV.SLOTS)
@@ -321,17 +336,19 @@ _MIN = "CASE platform " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CV.MIN_SLO
 @query(
     "persona_slots",
     f"""
-WITH f AS (SELECT id::BIGINT AS id, coalesce(text, '') AS t, platform FROM {fixtures.values(fixtures.BIOS, 'id', 'text', 'platform')}),
+WITH f AS (SELECT c_custkey::BIGINT AS id, {fixtures.dealt_sql(_BIOS, 'c_custkey')} || ' ' || c_name AS t, {fixtures.dealt_sql(_PLATFORMS, 'c_custkey')} AS platform FROM customer),
 s AS (SELECT id, platform, list_sort(list_distinct(list_filter([{_SLOT_SQL}], lambda x: x IS NOT NULL))) AS k FROM f)
 SELECT id, platform, array_to_string(k, ',') AS slot_types, len(k)::BIGINT AS score, len(k) >= {_MIN} AS template FROM s""",
 )
 def persona_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.personas(fixtures.bios(spark)).select("id", "platform", F.array_join("slot_types", ",").alias("slot_types"), "score", "template")
+    bios = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.concat_ws(" ", fixtures.dealt(_BIOS, "c_custkey"), "c_name").alias("text"), fixtures.dealt(_PLATFORMS, "c_custkey").alias("platform"))
+    return campaign.personas(bios).select("id", "platform", F.array_join("slot_types", ",").alias("slot_types"), "score", "template")
 
 
 @query("negation_load")
 def negation_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return negation.load(fixtures.entries(spark))
+    told = F.concat_ws(" ", F.coalesce("text", F.lit("")), fixtures.dealt([t for _, t in fixtures.ENTRIES], "doc_id"))
+    return negation.load(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), told.alias("text")))
 
 
 @query("page_negation")
@@ -343,10 +360,11 @@ def page_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "receipt_audit",
     f"""SELECT gate, verdict, count(*)::BIGINT AS receipts, sum((coalesce(ruleset_version, '') <> 'a')::BIGINT)::BIGINT AS stale
-FROM (SELECT coalesce(gate, '?') AS gate, coalesce(verdict, '?') AS verdict, ruleset_version FROM {fixtures.values(fixtures.RECEIPTS, 'gate', 'verdict', 'ruleset_version')}) r GROUP BY GROUPING SETS ((gate), (verdict), ())""",
+FROM (SELECT coalesce(gate, '?') AS gate, coalesce(verdict, '?') AS verdict, ruleset_version FROM (SELECT {', '.join(fixtures.dealt_sql([r[k] for r in fixtures.RECEIPTS], 'doc_id') + ' AS ' + c for k, c in enumerate(('gate', 'verdict', 'ruleset_version')))} FROM documents) d) r GROUP BY GROUPING SETS ((gate), (verdict), ())""",
 )
 def receipt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return receipts.audit(fixtures.receipts(spark), "a")
+    made = (fixtures.dealt([r[k] for r in fixtures.RECEIPTS], "doc_id").alias(c) for k, c in enumerate(("gate", "verdict", "ruleset_version")))
+    return receipts.audit(table(spark, sf_dir, "documents").select(*made), "a")
 
 
 @query(
@@ -509,10 +527,17 @@ def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: six(c) for c in ("precision", "recall", "fpr")})
 
 
-@query("rewrite_facts")
+@query(
+    "rewrite_facts",
+    """SELECT doc_id, kind, 'changed' AS status, before, after, (length(coalesce(text, '')) + 2 + strpos('It costs $5 million and must run in two and a half hours', before) - 1)::BIGINT AS before_start,
+  (length(coalesce(text, '')) + 2 + strpos('It costs $6M and should run in 2.5 hours', after) - 1)::BIGINT AS after_start FROM documents, (VALUES ('number', '$5 million', '$6M'), ('modal', 'must', 'should')) v(kind, before, after)""",
+)
 def rewrite_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(1, "It costs $5 and must run in 20 ms at https://a.io.", "It costs $6 and should run in 20 ms at https://a.io."), (2, "We saw Ann.", "We did not see anyone.")], "doc_id long, original string, rewrite string")
-    return compare.compare(pairs)
+    """What a rewrite of each document's last paragraph changes: all other facts are kept, an amount spelled otherwise among them."""
+    body = F.coalesce("text", F.lit(""))
+    said = lambda what: F.concat(body, F.lit("\n\n"), F.lit(what))
+    pairs = table(spark, sf_dir, "documents").select("doc_id", said("It costs $5 million and must run in two and a half hours").alias("original"), said("It costs $6M and should run in 2.5 hours").alias("rewrite"))
+    return compare.compare(pairs).where("status != 'kept'")
 
 
 _PLAIN = r"[\"`“<]|https?:|—|[ \t]–|[ \t]{2}|\|"
@@ -532,7 +557,7 @@ def device_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sarif_logs")
 def sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.sarif(scan.line_findings(fixtures.rule_lines(spark)))
+    return sinks.sarif(scan.line_findings(_with_line(spark, sf_dir)))
 
 
 @query(
@@ -648,9 +673,16 @@ def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", values.commitment(salt, body).alias("commitment"), values.token(lang, F.lit("secret")).alias("token"))
 
 
-@query("structure_findings", f"SELECT doc_id::BIGINT AS doc_id, s::BIGINT AS start, e::BIGINT AS \"end\", tier, rule_id FROM {fixtures.values(fixtures.STRUCTURE_FOUND, 'doc_id', 's', 'e', 'tier', 'rule_id')}")
+@query(
+    "structure_findings",
+    f"SELECT doc_id, (s + length(coalesce(text, '')) + 2)::BIGINT AS start, (e + length(coalesce(text, '')) + 2)::BIGINT AS \"end\", tier, rule_id FROM documents JOIN {fixtures.values(fixtures.STRUCTURE_FOUND, 'k', 's', 'e', 'tier', 'rule_id')} ON doc_id % {len(fixtures.STRUCTURE)} = k",
+)
 def structure_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.structure(fixtures.structure(spark), {}).select("doc_id", "start", "end", "tier", "rule_id")
+    """The documents, each followed by a text of known structure: what is found in that."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("own"))
+    whole = documents.select("doc_id", F.concat("own", F.lit("\n\n"), fixtures.dealt(fixtures.STRUCTURE, "doc_id")).alias("text"))
+    found = structure.structure(whole, {}).join(documents.select("doc_id", (F.length("own") + 2).alias("from")), "doc_id")
+    return found.where(F.col("start") >= F.col("from")).select("doc_id", "start", "end", "tier", "rule_id")
 
 
 @query("structure_documents")

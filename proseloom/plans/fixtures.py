@@ -1,8 +1,9 @@
-"""Small literal tables for rules that the test tables hold no case of; the oracle SQL repeats them as VALUES."""
+"""Short texts for rules that the test tables hold no case of. Queries deal them out over the rows of a table, so that their work grows with it; the oracle SQL does the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RULE_LINES = [
     "This is not a bug but a feature of the plan.",
@@ -104,22 +105,10 @@ def rule_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(RULE_LINES)), "doc_id long, text string")
 
 
-def posts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POSTS, "id long, text string")
-
-
-def bios(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BIOS, "id long, text string, platform string")
-
-
 def entries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ENTRIES, "entry_id long, text string")
 
 
-def receipts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RECEIPTS, "gate string, verdict string, ruleset_version string")
-
-
 #: Texts with what no reader sees, and with quotations; ids below zero keep them apart from the tables'.
 HIDDEN = [(-1, "Shown.<!-- not shown -->\nMore."), (-2, "zero\u200bwidth and \U000e0068\U000e0069 tags"), (-3, '<p style="color:white">ghost</p> and `<!-- code -->`'), (-4, "```\n<!-- fenced -->\n```\n> <!-- quoted -->"), (-5, "<!-- writing-profile: essay -->")]
 QUOTED = [
@@ -137,6 +126,17 @@ def quoted(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUOTED, "doc_id long, text string")
 
 
+def dealt(values: list, key: str) -> Column:
+    """The value that falls to a row by its key (a number from 0 on)."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def dealt_sql(values: list, key: str) -> str:
+    """The same in SQL."""
+    quoted = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{quoted}])[{key} % {len(values)} + 1]"
+
+
 def values(rows: list, *columns: str) -> str:
     """The rows as SQL: ``(VALUES ...) AS v(columns)``."""
 

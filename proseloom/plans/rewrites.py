@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.operators import campaign, masks, process, skeletons
-from proseloom.plans.catalogue import _EDITED, _TURN_PAIRS, _edited_turns, query
+from proseloom.functions import rules
+from proseloom.operators import campaign, editplan, masks, process, skeletons
+from proseloom.plans import fixtures
+from proseloom.plans.catalogue import _EDITED, _LINES, _TURN_PAIRS, _edited_turns, _re2, query
 from proseloom.sources.tables import table, written
 
 _TAGS = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<pre\b[^>]*>.*?</pre\s*>|<!--.*?-->|</?[a-z!][^<>]*>".replace("'", "''")
@@ -94,3 +96,23 @@ def process_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     fault = F.substring_index("log_id", " ", -1).cast("long") % 4
     broken = entries.where((fault != 1) | (F.col("seq") != 3)).withColumn("body", F.when((fault == 2) & (F.col("seq") == 2), "changed").otherwise(F.col("body")))
     return process.heads(written(broken, "process-broken")).select("log_id", "entries", "first_fault", "good")
+
+
+_TALLIED = [r.rule_id for r in rules.rules("HIGH", "MEDIUM") if not r.looks_around]
+_LINE_RULES = " UNION ALL ".join(f"SELECT doc_id, side, '{r.rule_id}' AS rule_id FROM s WHERE regexp_matches(t, {_re2(r.pattern)})" for r in rules.rules("HIGH", "MEDIUM") if not r.looks_around)
+
+
+@query(
+    "edit_tally",
+    f"""WITH {_LINES}, s AS (SELECT doc_id, 'same' AS side, t FROM m WHERE NOT regexp_matches(raw, '^\\s*-{{3,}}\\s*$') UNION ALL SELECT doc_id, 'b', {fixtures.dealt_sql(fixtures.RULE_LINES, 'doc_id')} FROM documents UNION ALL SELECT doc_id, 'a', {fixtures.dealt_sql(fixtures.RULE_LINES, '(doc_id + 1)')} FROM documents),
+h AS ({_LINE_RULES}),
+c AS (SELECT doc_id, rule_id, count(*) FILTER (side = 'same') AS k, count(*) FILTER (side = 'b') AS b, count(*) FILTER (side = 'a') AS a FROM h GROUP BY ALL)
+SELECT doc_id, rule_id, (b - least(a, b))::BIGINT AS gone, (k + least(a, b))::BIGINT AS remaining, (a - least(a, b))::BIGINT AS added FROM c""",
+)
+def edit_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents followed by a paragraph of one fixed line, and by the next line in its stead: findings gone, remaining and added."""
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"))
+    lines = lambda key: F.concat(body, fixtures.dealt(fixtures.RULE_LINES, key))
+    pairs = table(spark, sf_dir, "documents").withColumn("next", F.col("doc_id") + 1).select("doc_id", lines("doc_id").alias("original"), lines("next").alias("rewrite"))
+    found = editplan.tally(pairs).where(F.col("rule_id").isin(*_TALLIED))
+    return found.groupBy("doc_id", "rule_id").agg(*(F.sum(c).alias(c) for c in ("gone", "remaining", "added")))
