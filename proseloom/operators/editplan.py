@@ -99,7 +99,7 @@ def _aligned(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([ops(a, b) for a, b in zip(before, after, strict=True)])
 
 
-def _cut(column: str, name: str) -> Column:
+def cut(column: str, name: str) -> Column:
     """Paragraphs with their sentences: ``struct<start, sentences: array<struct<start, end, flat>>>``."""
     body = F.coalesce(F.col(column), F.lit(""))
     gaps = text.all_matches(body, PARAGRAPH)
@@ -120,7 +120,7 @@ def records(pairs: DataFrame) -> DataFrame:
 
     Paragraphs are paired by place; where their numbers differ, both texts are read as one paragraph.
     """
-    one = pairs.select("doc_id", "original", "rewrite", _cut("original", "_b"), _cut("rewrite", "_a"))
+    one = pairs.select("doc_id", "original", "rewrite", cut("original", "_b"), cut("rewrite", "_a"))
     whole = lambda c: F.array(F.struct(F.lit(0).cast("long").alias("start"), F.flatten(F.transform(c, lambda p: p["sentences"])).alias("sentences")))
     same = F.size("_b") == F.size("_a")
     paired = F.arrays_zip(F.when(same, F.col("_b")).otherwise(whole("_b")).alias("b"), F.when(same, F.col("_a")).otherwise(whole("_a")).alias("a"))

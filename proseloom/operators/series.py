@@ -165,17 +165,18 @@ def band_runs(documents: DataFrame, band: int = RHYTHM_BAND, column: str = "text
     return documents.select("doc_id", longest(lengths).alias("r")).select("doc_id", "r.run", "r.first")
 
 
-def moves(documents: DataFrame) -> DataFrame:
-    """``doc_id, block, line_start, seq``: what the sentences of each prose block of two or more do, repeats in a row as one."""
-    flat = lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))
+def move(sentence: Column) -> Column:
+    """What a sentence does: the first of MOVES that it fits, or claim."""
+    flat = F.trim(F.regexp_replace(sentence, r"\s+", " "))
+    told = F.lit(None).cast("string")
+    for name, pattern in reversed(MOVES):
+        told = F.when(flat.rlike(pattern), name).otherwise(told)
+    return F.coalesce(told, F.lit("claim"))
 
-    def label(s: Column) -> Column:
-        told = F.lit(None).cast("string")
-        for name, pattern in reversed(MOVES):
-            told = F.when(flat(s).rlike(pattern), name).otherwise(told)
-        return F.coalesce(told, F.lit("claim"))
 
-    labelled = blocks(documents).where("kind = 'prose'").select("doc_id", "block", "line_start", F.transform(text.sentences(F.col("text")), label).alias("all")).where(F.size("all") >= 2)
+def moves(documents: DataFrame) -> DataFrame:
+    """``doc_id, block, line_start, seq``: what the sentences of each prose block of two or more do, repeats in a row as one."""
+    labelled = blocks(documents).where("kind = 'prose'").select("doc_id", "block", "line_start", F.transform(text.sentences(F.col("text")), move).alias("all")).where(F.size("all") >= 2)
     changed = F.filter("all", lambda m, i: (i == 0) | (m != F.get("all", F.greatest(i - 1, F.lit(0)))))
     return labelled.select("doc_id", "block", "line_start", changed.alias("seq"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.functions import rules
-from proseloom.operators import campaign, editplan, masks, process, skeletons
+from proseloom.operators import campaign, editplan, masks, process, restructure, skeletons
 from proseloom.plans import fixtures
 from proseloom.plans.catalogue import _EDITED, _LINES, _TURN_PAIRS, _edited_turns, _re2, query
 from proseloom.sources.tables import table, written
@@ -116,3 +116,24 @@ def edit_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "documents").withColumn("next", F.col("doc_id") + 1).select("doc_id", lines("doc_id").alias("original"), lines("next").alias("rewrite"))
     found = editplan.tally(pairs).where(F.col("rule_id").isin(*_TALLIED))
     return found.groupBy("doc_id", "rule_id").agg(*(F.sum(c).alias(c) for c in ("gone", "remaining", "added")))
+
+
+_SCAFFOLD = "The gate was found shut. According to the almanac, it rained. Confidence: high. The mill stood empty."
+_MOVING = r"https?://|\]\(|\[\d+\]|\[\^|(?i)\baccording to\b|\breport(?:ed|s)\b|\bsources?:|\bper the\b|\bconfidence\b|[(\[:]\s*(?:high|moderate|low|unknown)\b|^\W*(?:high|moderate|low|unknown)\W*$|\bdoes(?: not|n't) (?:prove|show|establish)\b"
+
+
+@query(
+    "restructured",
+    f"""WITH d AS (SELECT doc_id, text, substring(sha256('According to the almanac, it rained. Confidence: high.@' || (length(text) + 26)), 1, 8) AS id FROM documents WHERE text <> '' AND NOT regexp_matches(text, '{_MOVING.replace("'", "''")}'))
+SELECT doc_id, text || chr(10) || chr(10) || 'The gate was found shut.[^m-' || id || '] The mill stood empty.' || chr(10) || chr(10) || '## Sources and method' || chr(10) || chr(10) || '[^m-' || id || ']: According to the almanac, it rained. Confidence: high.' || chr(10) AS proposal,
+  1::BIGINT AS moved, true AS ok, false AS ok_changed FROM d""",
+)
+def restructured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that name no source themselves, followed by a paragraph that does: the proposal, its check, and the check of a proposal that lost a word."""
+    documents = table(spark, sf_dir, "documents").where((F.col("text") != "") & ~F.col("text").rlike(_MOVING))
+    texts = documents.select("doc_id", F.concat("text", F.lit("\n\n" + _SCAFFOLD)).alias("text"))
+    found = written(restructure.proposed(texts), "proposals")
+    pairs = texts.join(found, "doc_id").select("doc_id", F.col("text").alias("original"), "proposal")
+    judged = restructure.verified(pairs).select("doc_id", "ok")
+    lost = restructure.verified(pairs.withColumn("proposal", F.replace("proposal", F.lit("almanac"), F.lit("book")))).select("doc_id", F.col("ok").alias("ok_changed"))
+    return found.select("doc_id", "proposal", F.size("moved").cast("long").alias("moved")).join(judged, "doc_id").join(lost, "doc_id")
