@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths written since each enclosing ``scratch`` began.
-_open: list[list[str]] = []
+#: Paths written since each enclosing ``scratch`` began, for each thread of control by itself.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratches", default=())
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
@@ -36,19 +37,21 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/proseloom/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if held := _open.get():
+        held[-1].append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Removes, at its end, the tables that ``written`` made inside, but for those whose paths are taken out of the list it gives."""
-    _open.append([])
+    made: list[str] = []
+    token = _open.set((*_open.get(), made))
     try:
-        yield _open[-1]
+        yield made
     finally:
-        for path in _open.pop():
+        _open.reset(token)
+        for path in made:
             removed(spark, path)
 
 

@@ -9,7 +9,7 @@ import __spark_entry__ as driver
 from proseloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents labels pages benchmark conversations events".split()
+TABLES = "documents labels pages benchmark conversations events customer orders lineitem".split()
 
 
 @pytest.fixture(scope="module")
