@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.functions import rules
-from proseloom.operators import campaign, editplan, masks, process, restructure, skeletons
+from proseloom.operators import campaign, editplan, masks, process, restructure, sheets, skeletons
 from proseloom.plans import fixtures
 from proseloom.plans.catalogue import _EDITED, _LINES, _TURN_PAIRS, _edited_turns, _re2, query
 from proseloom.sources.tables import table, written
@@ -137,3 +137,43 @@ def restructured(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = restructure.verified(pairs).select("doc_id", "ok")
     lost = restructure.verified(pairs.withColumn("proposal", F.replace("proposal", F.lit("almanac"), F.lit("book")))).select("doc_id", F.col("ok").alias("ok_changed"))
     return found.select("doc_id", "proposal", F.size("moved").cast("long").alias("moved")).join(judged, "doc_id").join(lost, "doc_id")
+
+
+_SHEETS = [
+    ("User", None, ["the", "der", "la"], [("(?i)que[aeiou]", "too fine a word")], None, ["und"], ["in", "de"], 1, 12, None, None),
+    ("Bot", ["Assistant"], None, None, [(["and", "est"], None, None)], None, None, None, None, False, "only"),
+]
+
+
+@query(
+    "sheet_findings",
+    r"""WITH l AS (SELECT conv_id * 1000 + turn AS line_id, role AS speaker, coalesce(text, '') AS t FROM conversations),
+o AS (SELECT *, regexp_replace(t, '"[^"]*"|“[^”]*”', ' ', 'g') AS own, regexp_replace(t, '[\s\p{Z}]+$', '') AS w FROM l),
+s AS (SELECT *, list_filter(list_transform(list_filter(string_split(regexp_replace(own, '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''), lambda x: len(regexp_extract_all(x, '[A-Za-z]+([''’][A-Za-z]+)*'))), lambda n: n < 1 OR n > 12) AS z FROM o),
+k AS (SELECT *, list_filter(['and', 'est'], lambda p: regexp_matches(t, '(?i)(^|[^A-Za-z])' || p || '($|[^A-Za-z])')) AS hit FROM o)
+SELECT line_id, 'User' AS name, 'never' AS "check", p AS excerpt FROM o, (VALUES ('the'), ('der'), ('la')) v(p) WHERE speaker = 'user' AND regexp_matches(own, '(?i)(^|[^A-Za-z])' || p || '($|[^A-Za-z])')
+UNION ALL SELECT line_id, 'User', 'never-pattern', '(?i)que[aeiou]' FROM o WHERE speaker = 'user' AND regexp_matches(own, '(?i)que[aeiou]')
+UNION ALL SELECT line_id, 'User', 'sentence-length', array_to_string(z, ', ') FROM s WHERE speaker = 'user' AND len(z) > 0
+UNION ALL SELECT line_id, 'Bot', 'questions', w[-40:] FROM o WHERE speaker = 'assistant' AND NOT regexp_matches(w, '\?["''”]*$')
+UNION ALL SELECT line_id, 'Bot', 'contractions', '' FROM o WHERE false
+UNION ALL SELECT line_id, 'Bot', 'knowledge-leak', array_to_string(hit, ', ') FROM k WHERE speaker = 'assistant' AND len(hit) > 0""",
+)
+def sheet_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns against the sheets of two of the three roles."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), F.col("role").alias("speaker"), "text")
+    return sheets.findings(turns, spark.createDataFrame(_SHEETS, sheets.SCHEMA)).select("line_id", "name", "check", "excerpt")
+
+
+_USES = r"(?i)(^|[^A-Za-z])(%s)($|[^A-Za-z])"
+
+
+@query(
+    "sheet_usage",
+    f"""SELECT role AS speaker, CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Bot' END AS name, count(*)::BIGINT AS lines,
+  round(CASE role WHEN 'user' THEN avg(regexp_matches(coalesce(text, ''), '{_USES % 'in|de'}')::INT) WHEN 'assistant' THEN 0.0 END, 6)::DOUBLE AS tic_lines,
+  round(CASE role WHEN 'user' THEN avg(regexp_matches(coalesce(text, ''), '{_USES % 'und'}')::INT) WHEN 'assistant' THEN 0.0 END, 6)::DOUBLE AS marker_lines FROM conversations GROUP BY role""",
+)
+def sheet_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("role").alias("speaker"), "text")
+    found = sheets.usage(turns, spark.createDataFrame(_SHEETS, sheets.SCHEMA))
+    return found.withColumns({c: F.round(c, 6) for c in ("tic_lines", "marker_lines")})
