@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseloom.functions import rules, text
@@ -67,3 +67,46 @@ def opener_runs(documents: DataFrame, least: int = 2) -> DataFrame:
     agg = islands.groupBy("doc_id", "island", "opener").agg(F.count("*").alias("run"), F.min("line").alias("line")).where(F.col("run") >= least)
     tier = F.when(F.col("run") < 3, "LOW").when(F.col("opener").isin(*rules.PRONOUNS) & (F.col("run") == 3), "MEDIUM").otherwise("HIGH")
     return agg.select("doc_id", "opener", "line", "run", tier.alias("tier"))
+
+
+#: Endings that a word may lose for its base form, and what takes their place; letters that must stay.
+ENDINGS = (("ies", "y"), ("es", ""), ("s", ""), ("ing", ""), ("ing", "e"), ("ed", ""), ("ed", "e"), ("d", ""), ("ly", ""))
+STEM = 3
+#: Words from the first to the last of a crossed figure at most.
+REACH = 12
+
+
+def lemma(word: Column) -> Column:
+    """One base form of a word in lower case, so that "owes" and "owe" are equal: the shortest of the word and its stripped forms, the first by spelling of equally short ones."""
+    forms = [F.struct(F.length(word).alias("n"), word.alias("form"))]
+    for end, by in ENDINGS:
+        cut = F.concat(F.substring(word, F.lit(1), F.length(word) - len(end)), F.lit(by))
+        forms.append(F.when(word.endswith(end) & (F.length(word) - len(end) >= STEM), F.struct(F.length(cut).alias("n"), cut.alias("form"))))
+    return F.array_min(F.array(*forms))["form"]
+
+
+def crossed(lemmas: Column, reach: int = REACH) -> Column:
+    """Crossed figures of a sequence: ``struct<a, b, c, d>`` of places (from 0) where the outer two are one word and the inner two another, a + reach > d, the narrowest for each a; nulls are no words.
+
+    Equal words are paired within the reach first, each with those after it, so the work is
+    linear in the sequence, by the square of the reach.
+    """
+    near = lambda seq: F.transform(seq, lambda x, i: F.filter(F.transform(F.slice(seq, i + 2, F.lit(reach - 1)), lambda y, k: F.when(y == x, i + 1 + k)), lambda j: j.isNotNull()))
+
+    def figures(seq: Column) -> Column:
+        return text.let(near(seq), lambda later: F.filter(F.transform(seq, lambda x, a: first(seq, later, x, a)), lambda f: f.isNotNull()))
+
+    def first(seq: Column, later: Column, x: Column, a: Column) -> Column:
+        inner = lambda d: F.flatten(F.transform(F.sequence(a + 1, F.greatest(d - 2, a + 1)), lambda b: F.transform(F.filter(F.coalesce(F.get(later, b), F.array().cast("array<int>")), lambda c: (c < d) & (F.get(seq, b) != x)), lambda c: F.struct(d.alias("d"), b.alias("b"), c.alias("c")))))
+        best = F.array_min(F.flatten(F.transform(F.filter(F.get(later, a), lambda d: d - a >= 3), inner)))
+        return F.when(x.isNotNull() & best.isNotNull(), F.struct(a.alias("a"), best["b"].alias("b"), best["c"].alias("c"), best["d"].alias("d")))
+
+    return text.let(lemmas, figures)
+
+
+def chiasmus(documents: DataFrame, reach: int = REACH) -> DataFrame:
+    """``doc_id, line, n, outer, inner, sentence``: sentences that turn two words around ("eat to live, not live to eat"), by base forms; words of under three letters and function words don't count."""
+    s = _sentences(documents)
+    plain = F.transform("w", lambda x: F.when((F.length(x) >= 3) & ~x.isin(*rules.NGRAM_STOP), lemma(x)))
+    found = s.select("doc_id", "line", "n", "sentence", F.explode(F.array(plain)).alias("l")).select("doc_id", "line", "n", "sentence", "l", F.explode(crossed(F.col("l"), reach)).alias("f"))
+    return found.select("doc_id", "line", "n", F.get("l", F.col("f.a")).alias("outer"), F.get("l", F.col("f.b")).alias("inner"), "sentence")
