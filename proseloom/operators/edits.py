@@ -27,14 +27,16 @@ def edits(body: Column, phrases: bool = False, dashes: bool = True) -> Column:
         if on:
             found.append(F.transform(text.all_matches(body, pattern), _edit(rule, new)))
     rows = F.array_sort(F.concat(*found))
-    free = F.filter(rows, lambda e: ~F.exists(guarded, lambda g: (g["start"] < e["end"]) & (e["start"] < g["end"])))
+    free = text.let(guarded, lambda spans: F.filter(rows, lambda e: ~F.exists(spans, lambda g: (g["start"] < e["end"]) & (e["start"] < g["end"]))))
     start = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast(KIND).alias("out"))
 
     def add(state: Column, e: Column) -> Column:
         clear = e["start"] >= state["end"]
         return F.struct(F.greatest(state["end"], e["end"]).alias("end"), F.when(clear, F.concat(state["out"], F.array(e))).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(free, start, add)["out"]
+    # edits of one rule are apart; only where those of two rules meet is one chosen
+    meet = lambda rows: F.exists(F.zip_with(rows, F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda a, b: F.coalesce(b["start"] < a["end"], F.lit(False))), lambda x: x)
+    return text.let(free, lambda rows: F.when(meet(rows), F.aggregate(rows, start, add, lambda held: held["out"])).otherwise(rows.cast(KIND)))
 
 
 def _edit(rule: str, new: str | None):

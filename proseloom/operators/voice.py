@@ -45,7 +45,7 @@ def profile(measured: DataFrame, by: Column | None = None) -> DataFrame:
     measured: ``features()`` with a ``writer``. The sorted values are numbered by ranges, so no writer's samples meet in one row or task.
     """
     rows = measured.unpivot(["writer", "doc_id"], list(FEATURES), "feature", "value").where("value is not null").select("writer", "feature", "value")
-    rows = rows.withColumn("apart", F.monotonically_increasing_id())  # equal values may be many
+    rows = written(rows.withColumn("apart", F.monotonically_increasing_id()), "voice-values")  # measured once; equal values may be many
     samples = rows.groupBy("writer", "feature").agg(F.count("*").alias("samples"))
     placed = numbered(rows, ["writer", "feature"], [F.col("value"), F.col("apart")], "at")
     both = placed.join(samples.select(F.col("writer").alias("_w"), F.col("feature").alias("_f"), "samples"), F.col("writer").eqNullSafe(F.col("_w")) & (F.col("feature") == F.col("_f")))
