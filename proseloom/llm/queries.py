@@ -183,5 +183,10 @@ words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, unnest(range(0
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) x GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op10_sharding": f"""
+WITH t AS (SELECT string_split('{",".join(map(str, sharding.filled(SHARDS)))}', ',') AS shards),
+d AS (SELECT doc_id, length(text)::BIGINT AS text_chars, coalesce(('0x' || substring(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {sharding.TABLE_SIZE}, 0) AS slot FROM documents)
+SELECT doc_id, text_chars, slot::BIGINT AS slot, 'shard-' || lpad(shards[slot + 1], 2, '0') AS shard FROM d, t
 """,
 }
