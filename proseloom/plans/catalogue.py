@@ -301,9 +301,20 @@ def pack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("injection_findings")
+_TOLD = [r for r in rules.rules("INJECTION")]
+_DIRECTED = f"SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') || chr(10) || {fixtures.dealt_sql(fixtures.DIRECTIONS, 'turn')} AS text FROM conversations"
+
+
+@query(
+    "injection_findings",
+    f"""WITH t AS ({_DIRECTED}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM t),
+r AS (SELECT *, {' '.join(['CASE', *(f"WHEN regexp_matches(raw, {_re2(r.pattern)}) THEN {k}" for k, r in enumerate(_TOLD)), 'END'])} AS k FROM l)
+SELECT doc_id, line::BIGINT AS line, [{', '.join("'" + r.rule_id + "'" for r in _TOLD)}][k + 1] AS rule_id, CASE k {' '.join(f"WHEN {k} THEN regexp_extract(raw, {_re2(r.pattern)})" for k, r in enumerate(_TOLD))} END AS \"match\" FROM r WHERE k IS NOT NULL""".replace('\\"', '"'),
+)
 def injection_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.injection_findings(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+    """Turns, each followed by a line that may speak to an assistant: the first rule that a line meets."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat_ws("\n", F.coalesce("text", F.lit("")), fixtures.dealt(fixtures.DIRECTIONS, "turn")).alias("text"))
+    return scan.injection_findings(turns).select("doc_id", "line", "rule_id", "match")
 
 
 _PROMO_SUM = " + ".join(f"{w} * len(regexp_extract_all(t, {_re2(p)}))" for _, p, w in CV.PROMO)
@@ -570,14 +581,34 @@ def perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.perspective(table(spark, sf_dir, "documents")).withColumn("per_1k", six("per_1k"))
 
 
-@query("line_kinds")
+def _with_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, each followed by a paragraph of Markdown structure, and the number of its own lines."""
+    body = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(body, F.lit("\n\n"), fixtures.dealt(fixtures.STRUCTURED, "doc_id")).alias("text"), F.size(F.split(body, "\n", -1)).alias("own"))
+
+
+_OWN_LINES = "len(string_split(coalesce(text, ''), chr(10)))"
+
+
+@query(
+    "line_kinds",
+    rf"""WITH o AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
+k AS (SELECT doc_id, CASE WHEN regexp_matches(raw, '^\s*$') THEN 'blank' ELSE 'text' END AS kind, 1 AS n FROM o UNION ALL SELECT doc_id, 'blank', 1 FROM documents UNION ALL SELECT doc_id, kind, n FROM documents JOIN {fixtures.values(fixtures.STRUCTURED_KINDS, 'k', 'kind', 'n')} ON doc_id % {len(fixtures.STRUCTURED)} = k)
+SELECT doc_id, kind, sum(n)::BIGINT AS lines FROM k GROUP BY doc_id, kind""".replace("\\s", "\s"),
+)
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.kinds(table(spark, sf_dir, "documents")).groupBy("doc_id", "kind").agg(F.count("*").alias("lines"))
+    return markdown.kinds(_with_structure(spark, sf_dir)).groupBy("doc_id", "kind").agg(F.count("*").alias("lines"))
 
 
-@query("math_masks")
+@query(
+    "math_masks",
+    f"SELECT doc_id, ({_OWN_LINES} + 1 + i)::BIGINT AS line, kind, masked FROM documents JOIN {fixtures.values(fixtures.STRUCTURED_MASKS, 'k', 'i', 'kind', 'masked')} ON doc_id % {len(fixtures.STRUCTURED)} = k",
+)
 def math_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.masked(table(spark, sf_dir, "documents")).where("masked != raw").select("doc_id", "line", "kind", "masked")
+    """Lines that the masks of structure change, in the paragraph after each document."""
+    documents = _with_structure(spark, sf_dir)
+    found = markdown.masked(documents).join(documents.select("doc_id", "own"), "doc_id")
+    return found.where("masked != raw and line > own").select("doc_id", "line", "kind", "masked")
 
 
 @query("desk_claims")
