@@ -594,7 +594,7 @@ _OWN_LINES = "len(string_split(coalesce(text, ''), chr(10)))"
     "line_kinds",
     rf"""WITH o AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
 k AS (SELECT doc_id, CASE WHEN regexp_matches(raw, '^\s*$') THEN 'blank' ELSE 'text' END AS kind, 1 AS n FROM o UNION ALL SELECT doc_id, 'blank', 1 FROM documents UNION ALL SELECT doc_id, kind, n FROM documents JOIN {fixtures.values(fixtures.STRUCTURED_KINDS, 'k', 'kind', 'n')} ON doc_id % {len(fixtures.STRUCTURED)} = k)
-SELECT doc_id, kind, sum(n)::BIGINT AS lines FROM k GROUP BY doc_id, kind""".replace("\\s", "\s"),
+SELECT doc_id, kind, sum(n)::BIGINT AS lines FROM k GROUP BY doc_id, kind""",
 )
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.kinds(_with_structure(spark, sf_dir)).groupBy("doc_id", "kind").agg(F.count("*").alias("lines"))
