@@ -67,6 +67,27 @@ def test_few_pairs_are_compared(spark):
     assert found == {(i, 1000 + i) for i in range(20)} and compared < 0.15 * (170 * 169 / 2)
 
 
+def test_pairs_are_dealt_into_bounded_cells_and_none_is_lost(spark, monkeypatch):
+    """Texts of many lengths in one small vocabulary, cut into many cells: all pairs of a plain loop, and few rows leave the cells."""
+    monkeypatch.setattr(campaign, "CELL_ROWS", 20)
+    monkeypatch.setattr(campaign, "LEAST_ROWS", 5)
+    rng = random.Random(11)
+    words = [a + b for a in "bdfgkl" for b in ("an", "ex", "or")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 5, 30, 33, 36, 200])))) for i in range(150)]
+    rows += [(1000 + i, t.rsplit(" ", rng.randint(1, 6))[0]) for i, t in rows] + [(5000, "ab"), (5001, "abcdefg")]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(t, (i, {t[k : k + 5] for k in range(len(t) - 4)} or {t}))
+    ids = sorted(sets.values())
+    items = spark.createDataFrame(rows, "id long, text string")
+    distinct = items.groupBy("text").agg(F.min("id").alias("id")).select("id", campaign.shingles(F.col("text")).alias("shingles"))
+    for threshold in (0.4, 0.8, 1.0):
+        want = {(a, b) for a, x in ids for b, y in ids if a < b and len(x & y) / len(x | y) >= threshold}
+        assert {(r.a, r.b) for r in campaign.similar_pairs(items, threshold).collect()} == want
+        passed = [(r.a, r.b) for r in campaign.candidates(distinct, threshold).collect()]
+        assert len(passed) == len(set(passed)) and want <= set(passed)
+
+
 def test_passages_count_documents_that_hold_them_inside_longer_runs(spark):
     words = [f"{a}{b}stone" for a in "bcdfg" for b in "aeiou"]
     part = lambda lo, hi: " ".join(words[lo:hi])
