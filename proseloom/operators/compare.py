@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import quantities, text
 
-# Kinds in order, with their patterns; those whose items can be told apart may be "changed".
+# Kinds in order, with their patterns, which look at a first letter before anything else; those whose items can be told apart may be "changed".
 KINDS = (
     ("code", r"(?s)```.*?(?:```|\z)|``[^\n]+?``|`[^`\n]+`"),
     ("math", r"(?s)\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)"),
@@ -20,11 +20,13 @@ KINDS = (
     ("citation", r"\[-?@[^\]\n]{1,200}\]|\[\^[\w-]{1,40}\]|\[\d{1,4}(?:\s{0,2}[,–-]\s{0,2}\d{1,4}){0,20}\]|\([A-Z][\w'-]{1,40}(?:\s{1,3}et\s{1,3}al\.)?,?\s{1,3}(?:1[6-9]|20)\d{2}[a-z]?\)"),
     ("quote", "\"[^\"\\n]{1,2000}\"|“[^”\\n]{1,2000}”"),
     ("number", quantities.PATTERN),
-    ("modal", r"(?i)\b(?:must|shall|should|may|might|can|could|required|recommended|optional|ought to|ha(?:ve|s|d) to|needs? to)\b"),
-    ("scope", r"(?i)\b(?:only|solely|exclusively|unless|except|at least|at most|up to|all|every|each|none|most|some|always)\b"),
-    ("negation", r"(?iU)\b(?:not|never|no|none|nor|neither|cannot|without)\b|n['’]t\b"),
-    ("entity", r"(?U)(?<=[\p{L}\p{N},;)]\s)[A-Z][\w'’-]*|\b[A-Z]{2,}[\w-]*"),
+    ("modal", r"(?i)(?=[mscrohn])\b(?:must|shall|should|may|might|can|could|required|recommended|optional|ought to|ha(?:ve|s|d) to|needs? to)\b"),
+    ("scope", r"(?i)(?=[oseuanm])\b(?:only|solely|exclusively|unless|except|at least|at most|up to|all|every|each|none|most|some|always)\b"),
+    ("negation", r"(?iU)(?=[ncw])(?:\b(?:not|never|no|none|nor|neither|cannot|without)\b|n['’]t\b)"),
+    ("entity", r"(?U)(?=[A-Z])(?:(?<=[\p{L}\p{N},;)]\s)[A-Z][\w'’-]*|\b[A-Z]{2,}[\w-]*)"),
 )
+#: Of some kinds, literals one of which an item holds.
+NEEDS = {"code": ("`",), "math": ("$$", "\\[", "\\("), "url": ("http", "www.", "@"), "citation": ("[", "("), "quote": ('"', "“")}
 UNPAIRED = ("negation",)
 MODAL_CLASS = {"required": "must shall required have has had need needs", "recommended": "should recommended ought", "optional": "may might can could optional"}
 
@@ -57,8 +59,8 @@ def invariants(documents: DataFrame, column: str = "text", freeze: list[str] | N
         terms = "|".join(re.escape(t.strip()) for t in sorted(freeze, key=len, reverse=True) if t.strip())
         kinds.insert(5, ("freeze", rf"(?U)(?<!\w)(?:{terms})(?!\w)"))
     state = documents.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("t0"))
-    for k, (kind, pattern) in enumerate(kinds):  # one projection for each kind, so that no expression is nested in the next
-        state = state.withColumn(f"f{k}", text.all_matches(F.col(f"t{k}"), pattern)).withColumn(f"t{k + 1}", text.blanked(F.col(f"t{k}"), pattern))
+    for k, (kind, pattern) in enumerate(kinds):  # projections of their own for each kind, so that no expression is nested in the next
+        state = state.withColumn("cut", text.cut(F.col(f"t{k}"), pattern, NEEDS.get(kind, ()))).withColumns({f"f{k}": text.located(F.col("cut")), f"t{k + 1}": text.blank(F.col("cut"))})
     found = F.concat(*(F.transform(f"f{k}", _labelled(kind)) for k, (kind, _) in enumerate(kinds)))
     rows = state.select("doc_id", F.explode(found).alias("i")).select("doc_id", "i.*")
     key = F.col("value")
@@ -77,22 +79,21 @@ def compare(pairs: DataFrame, freeze: list[str] | None = None) -> DataFrame:
     status: kept (one key on both sides), changed (what is left over of one kind on both sides,
     in text order), dropped, added. Negations are counted, never "changed".
     """
-    nth = F.row_number().over(Window.partitionBy("doc_id", "kind", "key").orderBy("start"))
-    a = invariants(pairs, "original", freeze).withColumn("nth", nth)
-    b = invariants(pairs, "rewrite", freeze).withColumn("nth", nth)
-    sides = a.select("doc_id", "kind", "key", "nth", F.col("value").alias("before"), F.col("start").alias("before_start")).join(
-        b.select("doc_id", "kind", "key", "nth", F.col("value").alias("after"), F.col("start").alias("after_start")), ["doc_id", "kind", "key", "nth"], "full"
-    )
-    columns = ["doc_id", "kind", "status", "before", "after", "before_start", "after_start"]
-    kept = sides.where("before is not null and after is not null").withColumn("status", F.lit("kept")).select(columns)
-    place = lambda start: F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(start))
-    gone = sides.where("after is null").select("doc_id", "kind", "before", "before_start").withColumn("at", place("before_start"))
-    new = sides.where("before is null").select("doc_id", "kind", "after", "after_start").withColumn("at", place("after_start"))
-    paired = ~F.col("kind").isin(*UNPAIRED)
-    left = gone.withColumn("at", F.when(paired, F.col("at")).otherwise(-F.col("at")))
-    rest = left.join(new, ["doc_id", "kind", "at"], "full")
-    status = F.when(F.col("after").isNull(), "dropped").when(F.col("before").isNull(), "added").otherwise("changed")
-    return kept.unionByName(rest.withColumn("status", status).select(columns))
+    side = lambda k, column: F.struct(F.lit(k).alias("side"), F.col(column).alias("text"))
+    both = pairs.select("doc_id", F.explode(F.array(side(0, "original"), side(1, "rewrite"))).alias("x")).select(F.struct("doc_id", "x.side").alias("doc_id"), "x.text")
+    facts = invariants(both, "text", freeze).select("doc_id.doc_id", "doc_id.side", "kind", "key", "value", "start").repartition("doc_id")  # the one exchange of all steps
+    nth = F.row_number().over(Window.partitionBy("doc_id", "kind", "key", "side").orderBy("start"))
+    of = lambda column, k: F.max(F.when(F.col("side") == k, F.col(column)))
+    columns = {"before": of("value", 0), "after": of("value", 1), "before_start": of("start", 0), "after_start": of("start", 1)}
+    met = facts.withColumn("nth", nth).groupBy("doc_id", "kind", "key", "nth").agg(*(c.alias(n) for n, c in columns.items()))
+    left = F.when(F.col("after").isNull(), "dropped").when(F.col("before").isNull(), "added").otherwise("kept")
+    met = met.withColumn("left", left)
+    at = F.row_number().over(Window.partitionBy("doc_id", "kind", "left").orderBy(F.coalesce("before_start", "after_start")))
+    apart = F.col("kind").isin(*UNPAIRED) & (F.col("left") == "dropped")
+    met = met.withColumn("at", at).withColumns({"at": F.when(apart, -F.col("at")).otherwise(F.col("at")), "kept": F.col("left") == "kept"})
+    told = met.groupBy("doc_id", "kind", "kept", "at").agg(*(F.max(n).alias(n) for n in columns))
+    status = F.when(F.col("after").isNull(), "dropped").when(F.col("before").isNull(), "added").when(F.col("kept"), "kept").otherwise("changed")
+    return told.select("doc_id", "kind", status.alias("status"), *columns)
 
 
 def verdicts(pairs: DataFrame, allow: list[str] | None = None, freeze: list[str] | None = None) -> DataFrame:
