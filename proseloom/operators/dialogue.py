@@ -32,7 +32,8 @@ def features(body: Column) -> Column:
     ws = F.transform(text.matches(body, WORD), lambda w: F.lower(w))
     joined = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
     pairs = F.transform(text.grams(ws, 2), lambda g: F.concat(F.lit("b:"), F.array_join(g, "_")))
-    trigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 2, F.lit(1))), lambda i: F.concat(F.lit("c:"), F.substring(joined, i, F.lit(3))))
+    at = lambda chars, i: F.concat(F.lit("c:"), F.element_at(chars, i), F.element_at(chars, i + 1), F.element_at(chars, i + 2))
+    trigrams = text.let(F.split(joined, "", -1), lambda chars: F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - 2, F.lit(1))), lambda i: at(chars, i)))  # characters are cut once, so a long line stays linear
     trigrams = F.when(F.length(joined) >= 3, trigrams).otherwise(F.array().cast("array<string>"))
     marks = [F.array_repeat(F.lit("p:" + tag), F.floor((F.length(body) - F.length(F.replace(body, F.lit(mark), F.lit("")))) / len(mark)).cast("int")) for mark, tag in MARKS]
     return F.concat(F.transform(ws, lambda w: F.concat(F.lit("w:"), w)), pairs, trigrams, *marks)
@@ -69,16 +70,20 @@ def attribution(lines: DataFrame, n: int = 5, min_lines: int = 20) -> DataFrame:
     of_all = counts.groupBy("speaker").agg(F.sum("c").alias("all_mine")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("held"))
     of_speaker = of_all.join(of_fold, ["speaker", "held"], "left").select("speaker", "held", (F.col("all_mine") - F.coalesce("held_mine", F.lit(0))).alias("mine"))
     base = of_speaker.join(grand, "held").select("held", "speaker", F.log(F.col("grand") - F.col("mine") + ALPHA * F.col("vocab")).alias("den"))
-    tested = each.groupBy("line_id", F.col("fold").alias("held"), "f").agg(F.count("*").alias("k"))
     of_feature = in_fold.join(whole, "f").select("held", "f", (F.col("all_total") - F.col("held_total")).alias("total"))
     mine = counts.groupBy("speaker", "f").agg(F.sum("c").alias("all_own"))
     held_own = counts.select("speaker", "f", F.col("fold").alias("held"), F.col("c").alias("held_own"))
     trained = in_fold.select("held", "f").join(mine, "f").join(held_own, ["speaker", "f", "held"], "left").select("held", "speaker", "f", (F.col("all_own") - F.coalesce("held_own", F.lit(0))).alias("own")).where("own > 0")
-    # Terms that every speaker shares (the feature's total in the other folds) are summed once a line; only a speaker's own counts are joined by speaker.
-    shared = tested.join(of_feature, ["held", "f"], "left").select("line_id", "held", "f", "k", F.coalesce("total", F.lit(0)).alias("total"))
-    common = shared.groupBy("line_id", "held").agg(F.sum(F.col("k") * F.log(F.col("total") + ALPHA)).alias("all_log"), F.sum("k").alias("n"))
-    own = shared.join(trained, ["held", "f"]).select("line_id", "speaker", (F.col("k") * (F.log(F.col("total") - F.col("own") + ALPHA) - F.log(F.col("total") + ALPHA))).alias("d"))
-    less = own.groupBy("line_id", "speaker").agg(F.sum("d").alias("d"))
+    # Logs are taken once a feature, in one table that the lines meet once. What every speaker shares (the feature's total
+    # in the other folds) stands under no speaker; a line's terms are sums, so a feature that comes twice is two rows.
+    logs = of_feature.join(trained, ["held", "f"], "left").groupBy("held", "f", "total").agg(F.collect_list(F.struct("speaker", F.log(F.col("total") - F.col("own") + ALPHA).alias("log"))).alias("own"))
+    common = F.log(F.col("total") + ALPHA)
+    terms = F.transform(F.filter("own", lambda x: x["speaker"].isNotNull()), lambda x: F.struct(x["speaker"].alias("speaker"), (x["log"] - common).alias("v")))
+    logs = written(logs.select("held", "f", F.concat(F.array(F.struct(F.lit(None).cast(lines.schema["speaker"].dataType).alias("speaker"), common.alias("v"))), terms).alias("terms")), "dialogue-logs")
+    met = each.select("line_id", F.col("fold").alias("held"), "f").join(logs, ["held", "f"]).select("line_id", "held", F.explode("terms").alias("t"))
+    sums = written(met.groupBy("line_id", "held", F.col("t.speaker").alias("speaker")).agg(F.sum("t.v").alias("v"), F.count("*").alias("n")), "dialogue-sums")
+    common = sums.where("speaker is null").select("line_id", "held", F.col("v").alias("all_log"), "n")
+    less = sums.where("speaker is not null").groupBy("line_id", "speaker").agg(F.sum("v").alias("d"))
     every = cut.select("line_id", F.col("fold").alias("held")).join(common, ["line_id", "held"], "left").na.fill(0, ["all_log", "n"])  # lines without features too
     candidates = every.join(base, "held").withColumnRenamed("speaker", "candidate")
     scored = candidates.join(less.withColumnRenamed("speaker", "candidate"), ["line_id", "candidate"], "left")
