@@ -20,7 +20,11 @@ def _sentences(documents: DataFrame) -> DataFrame:
 
 def read(documents: DataFrame) -> DataFrame:
     """All devices found, in one pass over the sentences: anaphora, epistrophe, anadiplosis, epizeuxis, polysyndeton, asyndeton, tricolon, alliteration, isocolon."""
-    s = _sentences(documents)
+    return _found(_sentences(documents)).select("doc_id", "line", "d.device", "d.detail", "sentence")
+
+
+def _found(s: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, line, sentence, d`` (``struct<device, detail>``) and further columns of the sentences."""
     w, sentence = F.col("w"), F.col("sentence")
     sounds = F.transform(F.filter(w, lambda x: (F.length(x) >= 3) & ~x.isin(*rules.NGRAM_STOP)), lambda x: F.substring(x, 1, 1))
     s = s.withColumns({"first": F.element_at(w, 1), "last": F.element_at(w, -1), "pairs": text.grams(w, 2), "ands": F.size(F.filter(w, lambda x: x.isin("and", "or", "nor"))), "sounds": sounds})
@@ -42,15 +46,14 @@ def read(documents: DataFrame) -> DataFrame:
         says("alliteration", alike, F.lit("three content words begin alike")),
         says("isocolon", same("words", "last_words") & (F.col("words") >= 4) & (F.size(F.array_intersect("w", "last_w")) >= 2), F.col("words")),
     )
-    rows = s.select("doc_id", "line", "sentence", F.explode(F.array_compact(found)).alias("d"))
-    return rows.select("doc_id", "line", "d.device", "d.detail", "sentence")
+    return s.select("doc_id", "line", "sentence", *more, F.explode(F.array_compact(found)).alias("d"))
 
 
 def rates(documents: DataFrame) -> DataFrame:
     """``doc_id, device, hits, per_100``: hits for 100 sentences."""
-    totals = _sentences(documents).groupBy("doc_id").agg(F.count("*").alias("sentences"))
-    counted = read(documents).groupBy("doc_id", "device").agg(F.count("*").alias("hits"))
-    return counted.join(totals, "doc_id").select("doc_id", "device", "hits", (F.col("hits") * 100.0 / F.col("sentences")).alias("per_100"))
+    s = _sentences(documents).withColumn("sentences", F.count("*").over(Window.partitionBy("doc_id")))  # counted where they are read
+    counted = _found(s, "sentences").groupBy("doc_id", "d.device", "sentences").agg(F.count("*").alias("hits"))
+    return counted.select("doc_id", "device", "hits", (F.col("hits") * 100.0 / F.col("sentences")).alias("per_100"))
 
 
 def opener_runs(documents: DataFrame, least: int = 2) -> DataFrame:
