@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.functions import text
@@ -14,19 +17,21 @@ VERB = (
 )
 BEFORE, AFTER = rf"(?i){VERB}\b[^\"“‘.!?]{{0,40}}$|:\s*$", rf"(?i)^[,.]?\s*(?:\w+\s+){{0,3}}{VERB}\b"
 BEFORE_CHARS, AFTER_CHARS, QUOTE_SHARE = 60, 40, 0.6
+#: What opens a quotation.
+OPENS = ('"', "“", "‘")
 REPORTED = ("filler-intensifier",)
 
 
 def attributed_quotes(documents: DataFrame, column: str = "text") -> DataFrame:
     """``doc_id, start, end``: quotations with a verb of attribution beside them that are under three fifths of their paragraph."""
-    placed = documents.select("doc_id", F.posexplode(F.split(text.unified(F.col(column)), "\n\n", -1)).alias("part", "p"))
-    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("at", F.coalesce(F.sum(F.length("p").cast("long") + 2).over(before), F.lit(0)))
+    parts = F.split(text.unified(F.col(column)), "\n\n", -1)
+    placed = text.let(parts, lambda x: F.arrays_zip(text.starts(F.transform(x, lambda p: F.length(p) + 2)).alias("at"), x.alias("p")))
+    placed = documents.select("doc_id", F.explode(placed).alias("x")).select("doc_id", "x.at", "x.p").where(reduce(or_, (F.col("p").contains(mark) for mark in OPENS)))
     found = placed.select("doc_id", "at", "p", F.explode(text.all_matches(F.col("p"), text.QUOTED)).alias("q"))
     first, last = F.col("q.start"), F.col("q.end")
     lead = F.substring(F.col("p"), (F.greatest(first - BEFORE_CHARS, F.lit(0)) + 1).cast("int"), F.least(first, F.lit(BEFORE_CHARS)).cast("int"))
     follow = F.substring(F.col("p"), (last + 1).cast("int"), F.lit(AFTER_CHARS))
-    size = F.greatest(F.length(F.regexp_replace("p", r"^\s+|\s+$", "")), F.lit(1))
+    size = F.greatest(F.length(F.regexp_replace("p", r"^\s+|(?<!\s)\s+$", "")), F.lit(1))
     kept = found.where(((last - first) / size < QUOTE_SHARE) & (lead.rlike(BEFORE) | follow.rlike(AFTER)))
     return kept.select("doc_id", (F.col("at") + first).alias("start"), (F.col("at") + last).alias("end"))
 

@@ -51,7 +51,7 @@ def hidden(documents: DataFrame, column: str = "text") -> DataFrame:
 
     Fenced code and block quotes are left out. ``shown`` spells tag characters out.
     """
-    marked = L.states(L.lines(documents, column)).withColumn("seen", F.when(F.col("in_fence") | F.col("raw").rlike(r"^\s*>"), F.repeat(F.lit(" "), F.length("raw"))).otherwise(F.col("raw")))
+    marked = L.with_states(documents, column).withColumn("seen", F.when(F.col("in_fence") | F.col("raw").rlike(r"^\s*>"), F.repeat(F.lit(" "), F.length("raw"))).otherwise(F.col("raw")))
     joined = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "seen"))).alias("rows")).select("doc_id", F.array_join(F.transform("rows", lambda r: r["seen"]), "\n").alias("seen"))
     of = lambda kind, pattern: F.transform(text.all_matches(F.col("seen"), pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), _untagged(m["value"]).alias("shown")))
     found = F.concat(F.filter(of("comment", markdown.COMMENT), lambda m: ~m["shown"].rlike(OWN_COMMENT)), of("invisible", INVISIBLE), of("styled", STYLED))

@@ -40,7 +40,7 @@ def cv(values: str) -> Column:
 
 def blocks(documents: DataFrame) -> DataFrame:
     """Blank-line blocks: ``doc_id, block, kind`` (heading, list, quote, table, comment, prose), ``line_start, line_end, text``; headings stand alone."""
-    marked = L.states(L.lines(documents)).where("not front")
+    marked = L.with_states(documents).where("not front")
     order = Window.partitionBy("doc_id").orderBy("line")
     raw = F.col("raw")
     kind = (
