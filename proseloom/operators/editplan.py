@@ -9,6 +9,7 @@ every finding of either side belongs to one record, found by an interval join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -99,11 +100,16 @@ def _aligned(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([ops(a, b) for a, b in zip(before, after, strict=True)])
 
 
-def cut(column: str, name: str) -> Column:
-    """Paragraphs with their sentences: ``struct<start, sentences: array<struct<start, end, flat>>>``."""
+def paragraphs(body: Column) -> Column:
+    """Paragraphs as an array of ``struct<start, body>``."""
+    parts = text.cut(body, PARAGRAPH)
+    placed = lambda x: F.zip_with(x, text.starts(F.transform(x, F.length)), lambda p, at: F.struct(at.alias("start"), p.alias("body")))
+    return F.filter(text.let(parts, placed), lambda p, i: i % 2 == 0)
+
+
+def cut(column: str, name: str, only: Callable[[Column], Column] = lambda p: F.lit(True)) -> Column:
+    """Paragraphs with their sentences: ``struct<start, sentences: array<struct<start, end, flat>>>``. only: a test of paragraphs; those that fail are left out."""
     body = F.coalesce(F.col(column), F.lit(""))
-    gaps = text.all_matches(body, PARAGRAPH)
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(gaps, lambda g: g["end"]))
 
     def sentences(paragraph: Column, base: Column) -> Column:
         ends = text.all_matches(paragraph, SENTENCE_END)
@@ -112,7 +118,7 @@ def cut(column: str, name: str) -> Column:
         pieces = F.zip_with(starts, cuts, lambda s, e: F.struct((base + s).alias("start"), (base + e).alias("end"), F.trim(F.regexp_replace(F.substring(paragraph, (s + 1).cast("int"), (e - s).cast("int")), r"(?U)\s+", " ")).alias("flat")))
         return F.filter(pieces, lambda p: p["flat"] != "")
 
-    return F.zip_with(F.split(body, PARAGRAPH, -1), begins, lambda p, b: F.struct(b.alias("start"), sentences(p, b).alias("sentences"))).alias(name)
+    return F.transform(F.filter(paragraphs(body), lambda p: only(p["body"])), lambda p: F.struct(p["start"].alias("start"), sentences(p["body"], p["start"]).alias("sentences"))).alias(name)
 
 
 def records(pairs: DataFrame) -> DataFrame:

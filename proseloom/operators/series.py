@@ -167,11 +167,14 @@ def band_runs(documents: DataFrame, band: int = RHYTHM_BAND, column: str = "text
 
 def move(sentence: Column) -> Column:
     """What a sentence does: the first of MOVES that it fits, or claim."""
-    flat = F.trim(F.regexp_replace(sentence, r"\s+", " "))
-    told = F.lit(None).cast("string")
-    for name, pattern in reversed(MOVES):
-        told = F.when(flat.rlike(pattern), name).otherwise(told)
-    return F.coalesce(told, F.lit("claim"))
+
+    def first(flat: Column) -> Column:
+        told = F.lit("claim")
+        for name, pattern in reversed(MOVES):
+            told = F.when(flat.rlike(pattern), name).otherwise(told)
+        return told
+
+    return text.let(F.trim(F.regexp_replace(sentence, r"\s+", " ")), first)
 
 
 def moves(documents: DataFrame) -> DataFrame:

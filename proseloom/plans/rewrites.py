@@ -130,13 +130,13 @@ SELECT doc_id, text || chr(10) || chr(10) || 'The gate was found shut.[^m-' || i
 )
 def restructured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that name no source themselves, followed by a paragraph that does: the proposal, its check, and the check of a proposal that lost a word."""
-    documents = table(spark, sf_dir, "documents").where((F.col("text") != "") & ~F.col("text").rlike(_MOVING))
+    begins = r"(?:(?=[hHaArRsSpPcCdD(\[:\]])|^)(?:" + _MOVING + ")"  # one look at a character instead of one for each alternative
+    documents = table(spark, sf_dir, "documents").where((F.col("text") != "") & ~F.col("text").rlike(begins))
     texts = documents.select("doc_id", F.concat("text", F.lit("\n\n" + _SCAFFOLD)).alias("text"))
-    found = written(restructure.proposed(texts), "proposals")
-    pairs = texts.join(found, "doc_id").select("doc_id", F.col("text").alias("original"), "proposal")
-    judged = restructure.verified(pairs).select("doc_id", "ok")
-    lost = restructure.verified(pairs.withColumn("proposal", F.replace("proposal", F.lit("almanac"), F.lit("book")))).select("doc_id", F.col("ok").alias("ok_changed"))
-    return found.select("doc_id", "proposal", F.size("moved").cast("long").alias("moved")).join(judged, "doc_id").join(lost, "doc_id")
+    found = written(restructure.proposed(texts, ("text",)), "proposals").select("doc_id", F.col("text").alias("original"), "proposal", F.size("moved").cast("long").alias("moved"))
+    judged = restructure.verified(found, ("original", "proposal", "moved")).withColumnsRenamed({"proposal": "_proposal", "ok": "_ok"})
+    lost = judged.drop("reasons").withColumn("proposal", F.replace("_proposal", F.lit("almanac"), F.lit("book")))
+    return restructure.verified(lost, ("_proposal", "moved", "_ok")).select("doc_id", F.col("_proposal").alias("proposal"), "moved", F.col("_ok").alias("ok"), F.col("ok").alias("ok_changed"))
 
 
 _SHEETS = [

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 
-from proseloom.operators import restructure
+from pyspark.sql import functions as F
+
+from proseloom.operators import restructure, series
 
 KEPT = ["They found the gate.", "Rain fell all day!", "The mill stands empty.", "It was closed, and nobody came."]
 MOVES = ["According to the almanac, it rained.", "Confidence: high.", "This does not prove the claim.", "See https://a.example/x."]
@@ -60,3 +62,18 @@ def test_entries_that_change_places_are_refused(spark):
     swapped = swapped.split("## Sources")[0].replace(a, "y" * 8).replace(b, a).replace("y" * 8, b) + "## Sources" + swapped.split("## Sources")[1]
     found = check(spark, [(PLAIN, swapped), (PLAIN, made), (None, None)])
     assert found[0].reasons == ["the text does not read as it did with its entries put back"] and found[1].ok and found[2].ok
+
+
+def test_paragraphs_that_hold_no_move_are_left_out_and_nothing_is_joined(spark):
+    moving = ["This does\nnot  prove it.", "It doesn't show that.", "See (high).", "x: Low", " -- Unknown --", "a https://b.c", "xhttps://b.c", "[a](b)", "According  to it", "It reports", "Source: x", "as [12] says", "[^1]", "Per the rule", "What this does not", "a does-not-prove", "This is not evidence", "my Confidence"]
+    still = ["Flow below highland reporter", "nothing", "This does it.", "hot water"]
+    frame = spark.createDataFrame([(x,) for x in moving + still], "t string").select("t", F.col("t").rlike(restructure.MAY_MOVE).alias("may"), series.move(F.col("t")).isin(*restructure.MOVED).alias("moves"))
+    told = {r.t: (r.may, r.moves) for r in frame.collect()}
+    assert all(told[x] == (True, True) for x in moving) and not any(told[x][0] for x in still)
+    documents = spark.createDataFrame([(1, "A b.\n\nThe gate shut. According to x, it rained. The mill stood."), (1, "Only this."), (None, None)], "doc_id long, text string")
+    found = restructure.proposed(documents, ("text",))
+    judged = restructure.verified(found.withColumnRenamed("text", "original"), ("moved",))
+    assert sorted((r.doc_id or 0, r.ok, len(r.moved)) for r in judged.collect()) == [(0, True, 0), (1, True, 0), (1, True, 1)]
+    assert "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
+    lost = restructure.verified(found.select("doc_id", F.col("text").alias("original"), F.replace("proposal", F.lit("mill"), F.lit("barn")).alias("proposal")))
+    assert sorted(len(r.reasons) for r in lost.collect()) == [0, 0, 2]
