@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +35,26 @@ def _words(x: Column) -> Column:
     return text.matches(x, text.NEGATION_WORD)
 
 
+def _begins(letters: str, pattern: str) -> str:
+    """The pattern, tried only where one of the letters stands, with which all its matches begin."""
+    flags, rest = pattern.split(")", 1)
+    if rest.count("|\\b") == re.sub(r"\(\?:[^()]*\)", "", rest).count("|") and rest.startswith("\\b"):  # each begins a word
+        rest = "\\b(?:" + rest[2:].replace("|\\b", "|") + ")"
+    return f"{flags})(?=[{letters}])(?:{rest})"
+
+
+#: What an address holds, and the patterns with the letters that begin their matches.
+ADDRESSED = ("http", "www.", ".com", ".io", ".org", ".net", ".dev", ".htm", ".md", ".json")
+_STRONG, _WEAK, _VIRTUE = _begins("nclyuhdo", STRONG), _begins("woeup", WEAK), _begins("prthvaisew", VIRTUE)
+
+
+def _bare(entry: Column) -> Column:
+    """The entry with a space for each address."""
+    return F.when(reduce(or_, (entry.contains(x) for x in ADDRESSED)), F.regexp_replace(entry, ADDRESS, " ")).otherwise(entry)
+
+
 def _soft_split(part: Column) -> Column:
     """Cuts at ", and" where four or more words stand on either side, so that a list keeps its last item."""
-    pieces = F.split(part, SOFT, -1)
-    start = F.struct(F.array(F.element_at(pieces, 1)).alias("out"), F.lit(", ").alias("sep"))
 
     def add(state: Column, piece: Column) -> Column:
         left = F.element_at(F.split(F.element_at(state["out"], -1), ","), -1)
@@ -43,21 +63,32 @@ def _soft_split(part: Column) -> Column:
         joined = F.concat(F.slice(state["out"], 1, F.size(state["out"]) - 1), F.array(F.concat(F.element_at(state["out"], -1), state["sep"], piece)))
         return F.struct(F.when(cut, F.concat(state["out"], F.array(piece))).otherwise(joined).alias("out"), state["sep"].alias("sep"))
 
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), start, add)["out"]
+    def joined(pieces: Column) -> Column:
+        start = F.struct(F.array(F.element_at(pieces, 1)).alias("out"), F.lit(", ").alias("sep"))
+        return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), start, add)["out"]).otherwise(pieces)
+
+    return F.when(part.contains(","), text.let(text.pieces(part, SOFT), joined)).otherwise(F.array(part))
+
+
+def _clauses(bare: Column) -> Column:
+    """The clauses of an entry without addresses, as ``struct<p, n>``: each with the number of its words, which are found once."""
+    sentences = text.pieces(F.trim(bare), SENTENCE)
+    hard = F.flatten(F.transform(sentences, lambda s: text.pieces(s, HARD)))
+    parts = F.transform(F.flatten(F.transform(hard, _soft_split)), lambda p: F.regexp_replace(F.trim(p), LEAD, ""))
+    content = lambda w: F.filter(w, lambda x: ~F.lower(x).isin(*SMALL) & x.rlike("^[A-Za-z]"))
+    titled = lambda c: (F.size(c) >= 2) & (F.size(F.filter(c, lambda w: w.rlike("^[A-Z]"))) / F.greatest(F.size(c), F.lit(1)) >= 0.75)
+    told = lambda p: text.let(_words(p), lambda w: F.struct(p.alias("p"), F.size(w).alias("n"), F.when(F.size(w) >= 2, text.let(content(w), titled)).alias("titled")))
+    return F.transform(F.filter(F.transform(parts, told), lambda c: (c["n"] >= 2) & ~c["titled"]), lambda c: F.struct(c["p"].alias("p"), c["n"].alias("n")))
 
 
 def clauses(entry: Column) -> Column:
     """The clauses of an entry of two words or more; titles in title case are left out."""
-    sentences = F.split(F.trim(F.regexp_replace(entry, ADDRESS, " ")), SENTENCE, -1)
-    hard = F.flatten(F.transform(sentences, lambda s: F.split(s, HARD, -1)))
-    parts = F.transform(F.flatten(F.transform(hard, _soft_split)), lambda p: F.regexp_replace(F.trim(p), LEAD, ""))
-    content = lambda p: F.filter(_words(p), lambda w: ~F.lower(w).isin(*SMALL) & w.rlike("^[A-Za-z]"))
-    titled = lambda p: (F.size(content(p)) >= 2) & (F.size(F.filter(content(p), lambda w: w.rlike("^[A-Z]"))) / F.greatest(F.size(content(p)), F.lit(1)) >= 0.75)
-    return F.filter(parts, lambda p: (F.size(_words(p)) >= 2) & ~titled(p))
+    return F.transform(_clauses(_bare(entry)), lambda c: c["p"])
 
 
-def negates(clause: Column) -> Column:
-    return clause.rlike(STRONG) | ((F.size(_words(clause)) <= WEAK_MAX_WORDS) & clause.rlike(WEAK))
+def negates(clause: Column, words: Column | None = None) -> Column:
+    """words: the number of the clause's words, if it is at hand."""
+    return clause.rlike(_STRONG) | (((F.size(_words(clause)) if words is None else words) <= WEAK_MAX_WORDS) & clause.rlike(_WEAK))
 
 
 def load(entries: DataFrame, rule: str = "copy") -> DataFrame:
@@ -66,9 +97,9 @@ def load(entries: DataFrame, rule: str = "copy") -> DataFrame:
     if exempt and "dialogue" in entries.columns:
         entries = entries.where(~F.coalesce("dialogue", F.lit(False)))
     body = F.coalesce(F.col("text"), F.lit(""))
-    parts = entries.select("*", clauses(body).alias("parts"), F.regexp_replace(body, ADDRESS, " ").alias("bare"))
-    negative = parts.withColumn("negative", F.filter("parts", negates)).withColumn("words", F.size(_words(F.col("bare"))).cast("long"))
-    total = lambda c: F.aggregate(F.transform(c, lambda p: F.size(_words(p))), F.lit(0), lambda a, x: a + x)
+    read = entries.select("*", _bare(body).alias("bare")).withColumn("words", F.size(_words(F.col("bare"))).cast("long"))
+    negative = read.withColumn("parts", _clauses(F.col("bare"))).withColumn("negative", F.filter("parts", lambda c: negates(c["p"], c["n"])))
+    total = lambda c: F.aggregate(F.transform(c, lambda p: p["n"]), F.lit(0), lambda a, x: a + x)
     share = lambda n, d: F.when(d > 0, n / d).otherwise(F.lit(0.0))
     told = negative.where(F.col("words") >= MIN_WORDS).select(
         "entry_id",
@@ -77,7 +108,7 @@ def load(entries: DataFrame, rule: str = "copy") -> DataFrame:
         F.size("parts").cast("long").alias("clauses"),
         F.size("negative").cast("long").alias("negation_clauses"),
         "words",
-        text.count(F.col("bare"), VIRTUE).alias("virtue"),
+        text.count(F.col("bare"), _VIRTUE).alias("virtue"),
     )
     rounded = F.round("score", 3)
     return told.withColumn("verdict", F.when(rounded >= fail, "fail").when(rounded >= warn, "warn").otherwise("ok"))
