@@ -85,6 +85,10 @@ ENTRY_TAGS = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd figcaption blockquote
 SKIPPED_TAGS = frozenset("script style code pre svg template noscript head".split())
 
 
+#: Characters of entries that a task gathers before it hands them on.
+ENTRY_CHARS = 1 << 20
+
+
 class _Entries(HTMLParser):
     """Text by innermost entry element, in page order."""
 
@@ -116,16 +120,22 @@ class _Entries(HTMLParser):
 def html_entries(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """``page_id, n, tag, text``: the text of block elements of each page; scripts, styles and code are skipped, empty elements left out."""
 
+    kinds = pa.schema([("page_id", pa.int64()), ("n", pa.int64()), ("tag", pa.string()), ("text", pa.string())])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, size = [], 0
+            for k in range(batch.num_rows):  # one page at a time becomes a Python string, and entries leave by the megabyte
                 parser = _Entries()
-                parser.feed(source or "")
+                parser.feed(batch.column(1)[k].as_py() or "")
                 parser.close()
-                kept = [(t, " ".join(x.split())) for t, x in parser.found]
-                rows += [{"page_id": page, "n": n, "tag": t, "text": x} for n, (t, x) in enumerate(((t, x) for t, x in kept if x), 1)]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("n", pa.int64()), ("tag", pa.string()), ("text", pa.string())]))
+                kept = [(t, x) for t, found in parser.found if (x := " ".join(found.split()))]
+                rows += [{"page_id": batch.column(0)[k].as_py(), "n": n, "tag": t, "text": x} for n, (t, x) in enumerate(kept, 1)]
+                size += sum(len(x) for _, x in kept)
+                if size >= ENTRY_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(column).cast("string").alias("html")).mapInArrow(read, "page_id long, n long, tag string, text string")
 
