@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import text
 from proseloom.operators.order import numbered
-from proseloom.sources.tables import written
+from proseloom.sources.tables import exchanged, written
 
 ALPHA = 0.5
 WORD = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*"
@@ -28,15 +28,16 @@ def summary(lines: DataFrame) -> DataFrame:
 
 
 def features(body: Column) -> Column:
-    """Words, word pairs, character trigrams and marks, each as often as it comes."""
-    ws = F.transform(text.matches(body, WORD), lambda w: F.lower(w))
-    joined = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
-    pairs = F.transform(text.grams(ws, 2), lambda g: F.concat(F.lit("b:"), F.array_join(g, "_")))
-    at = lambda chars, i: F.concat(F.lit("c:"), F.element_at(chars, i), F.element_at(chars, i + 1), F.element_at(chars, i + 2))
-    trigrams = text.let(F.split(joined, "", -1), lambda chars: F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - 2, F.lit(1))), lambda i: at(chars, i)))  # characters are cut once, so a long line stays linear
-    trigrams = F.when(F.length(joined) >= 3, trigrams).otherwise(F.array().cast("array<string>"))
+    """Words, word pairs, character trigrams and marks, each as often as it comes. The words are cut once, so a long line stays linear."""
+    named = lambda tag, values: F.transform(values, lambda x: F.concat(F.lit(tag), x))
+
+    def of_words(ws: Column) -> Column:
+        joined = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+        trigrams = F.regexp_extract_all(joined, F.lit("(?s)(?=(.{3}))"), F.lit(1))  # one begins at each character
+        return F.concat(named("w:", ws), named("b:", F.transform(text.grams(ws, 2), lambda g: F.array_join(g, "_"))), named("c:", trigrams))
+
     marks = [F.array_repeat(F.lit("p:" + tag), F.floor((F.length(body) - F.length(F.replace(body, F.lit(mark), F.lit("")))) / len(mark)).cast("int")) for mark, tag in MARKS]
-    return F.concat(F.transform(ws, lambda w: F.concat(F.lit("w:"), w)), pairs, trigrams, *marks)
+    return F.concat(text.let(F.transform(text.matches(body, WORD), lambda w: F.lower(w)), of_words), *marks)
 
 
 def folds(lines: DataFrame, n: int = 5, min_lines: int = 20) -> DataFrame:
@@ -57,40 +58,42 @@ def attribution(lines: DataFrame, n: int = 5, min_lines: int = 20) -> DataFrame:
     with the rest. Ties go to the speaker first by name. Fewer than two speakers give no rows.
     Each line is scored for each speaker who has enough lines.
     """
-    cut = written(folds(lines, n, min_lines), "dialogue-folds")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as features are many times their text, its size does not tell how many tasks they need
+    cut = written(folds(lines, n, min_lines).repartition(parts, "line_id"), "dialogue-folds")
     each = cut.select("line_id", "speaker", "fold", F.explode(features(F.coalesce(F.col("text"), F.lit("")))).alias("f"))
-    counts = written(each.groupBy("fold", "speaker", "f").agg(F.count("*").alias("c")), "dialogue-counts")
-    in_fold = counts.groupBy(F.col("fold").alias("held"), "f").agg(F.sum("c").alias("held_total"))
-    whole = counts.groupBy("f").agg(F.sum("c").alias("all_total"))
+    every = range(n)
+    counts = written(each.groupBy("f", "speaker").agg(F.array(*(F.count_if(F.col("fold") == k) for k in every)).alias("c")), "dialogue-counts")
+    summed = F.array(*(F.sum(F.get("c", F.lit(k))) for k in every))
+    # Logs are taken once a feature and held fold, in one table that the lines meet once. What every speaker shares (the feature's
+    # total in the other folds) stands under no speaker; a line's terms are sums, so a feature that comes twice is two rows.
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    told = counts.groupBy("f").agg(summed.alias("all"), F.collect_list(F.struct("speaker", "c")).alias("own"))
+    told = told.select("f", "all", "own", total(F.col("all")).alias("all_total"), F.explode(F.array(*(F.lit(k).cast("long") for k in every))).alias("held"))
+    told = told.withColumn("held_total", F.get("all", F.col("held").cast("int"))).where("held_total > 0").withColumn("total", F.col("all_total") - F.col("held_total"))
+    common = F.log(F.col("total") + ALPHA)
+    own = F.transform("own", lambda x: F.struct(x["speaker"].alias("speaker"), (total(x["c"]) - F.get(x["c"], F.col("held").cast("int"))).alias("own")))
+    terms = F.transform(F.filter(own, lambda x: x["own"] > 0), lambda x: F.struct(x["speaker"].alias("speaker"), (F.log(F.col("total") - x["own"] + ALPHA) - common).alias("v")))
+    nobody = F.struct(F.lit(None).cast(lines.schema["speaker"].dataType).alias("speaker"), common.alias("v"))
+    first = F.array_position(F.transform("all", lambda x: x > 0), True) == F.col("held") + 1
+    logs = written(told.select("held", "f", "held_total", "total", first.alias("first"), F.concat(F.array(nobody), terms).alias("terms")), "dialogue-logs")
     # a feature that only the held fold has is none of the others'
-    lone = in_fold.join(whole, "f").groupBy("held").agg(F.sum("held_total").alias("held_grand"), F.count_if(F.col("held_total") == F.col("all_total")).alias("lone"))
-    size = whole.agg(F.sum("all_total").alias("all_grand"), F.count("*").alias("features"))
-    grand = lone.join(F.broadcast(size)).select("held", (F.col("all_grand") - F.col("held_grand")).alias("grand"), (F.col("features") - F.col("lone")).alias("vocab"))  # one row
-    of_fold = counts.groupBy("speaker", F.col("fold").alias("held")).agg(F.sum("c").alias("held_mine"))
-    of_all = counts.groupBy("speaker").agg(F.sum("c").alias("all_mine")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("held"))
-    of_speaker = of_all.join(of_fold, ["speaker", "held"], "left").select("speaker", "held", (F.col("all_mine") - F.coalesce("held_mine", F.lit(0))).alias("mine"))
+    by_fold = logs.groupBy("held").agg(F.sum("held_total").alias("held_grand"), F.count_if(F.col("total") == 0).alias("lone"), F.count_if("first").alias("new"))
+    size = by_fold.agg(F.sum("held_grand").alias("all_grand"), F.sum("new").alias("features"))
+    grand = by_fold.join(F.broadcast(size)).select("held", (F.col("all_grand") - F.col("held_grand")).alias("grand"), (F.col("features") - F.col("lone")).alias("vocab"))  # one row
+    of_speaker = counts.groupBy("speaker").agg(summed.alias("c")).select("speaker", total(F.col("c")).alias("all_mine"), F.posexplode("c").alias("held", "held_mine"))
+    of_speaker = of_speaker.select("speaker", F.col("held").cast("long").alias("held"), (F.col("all_mine") - F.col("held_mine")).alias("mine"))
     base = of_speaker.join(grand, "held").select("held", "speaker", F.log(F.col("grand") - F.col("mine") + ALPHA * F.col("vocab")).alias("den"))
-    of_feature = in_fold.join(whole, "f").select("held", "f", (F.col("all_total") - F.col("held_total")).alias("total"))
-    mine = counts.groupBy("speaker", "f").agg(F.sum("c").alias("all_own"))
-    held_own = counts.select("speaker", "f", F.col("fold").alias("held"), F.col("c").alias("held_own"))
-    trained = in_fold.select("held", "f").join(mine, "f").join(held_own, ["speaker", "f", "held"], "left").select("held", "speaker", "f", (F.col("all_own") - F.coalesce("held_own", F.lit(0))).alias("own")).where("own > 0")
-    # Logs are taken once a feature, in one table that the lines meet once. What every speaker shares (the feature's total
-    # in the other folds) stands under no speaker; a line's terms are sums, so a feature that comes twice is two rows.
-    logs = of_feature.join(trained, ["held", "f"], "left").groupBy("held", "f", "total").agg(F.collect_list(F.struct("speaker", F.log(F.col("total") - F.col("own") + ALPHA).alias("log"))).alias("own"))
-    common = F.log(F.col("total") + ALPHA)
-    terms = F.transform(F.filter("own", lambda x: x["speaker"].isNotNull()), lambda x: F.struct(x["speaker"].alias("speaker"), (x["log"] - common).alias("v")))
-    logs = written(logs.select("held", "f", F.concat(F.array(F.struct(F.lit(None).cast(lines.schema["speaker"].dataType).alias("speaker"), common.alias("v"))), terms).alias("terms")), "dialogue-logs")
-    met = each.select("line_id", F.col("fold").alias("held"), "f").join(logs, ["held", "f"]).select("line_id", "held", F.explode("terms").alias("t"))
+    met = each.select("line_id", F.col("fold").alias("held"), "f").join(exchanged(logs.select("held", "f", "terms")), ["held", "f"]).select("line_id", "held", F.explode("terms").alias("t"))
     sums = written(met.groupBy("line_id", "held", F.col("t.speaker").alias("speaker")).agg(F.sum("t.v").alias("v"), F.count("*").alias("n")), "dialogue-sums")
     common = sums.where("speaker is null").select("line_id", "held", F.col("v").alias("all_log"), "n")
     less = sums.where("speaker is not null").groupBy("line_id", "speaker").agg(F.sum("v").alias("d"))
-    every = cut.select("line_id", F.col("fold").alias("held")).join(common, ["line_id", "held"], "left").na.fill(0, ["all_log", "n"])  # lines without features too
-    candidates = every.join(base, "held").withColumnRenamed("speaker", "candidate")
+    of_line = cut.select("line_id", F.col("fold").alias("held")).join(common, ["line_id", "held"], "left").na.fill(0, ["all_log", "n"])  # lines without features too
+    candidates = of_line.join(base, "held").withColumnRenamed("speaker", "candidate")
     scored = candidates.join(less.withColumnRenamed("speaker", "candidate"), ["line_id", "candidate"], "left")
     score = -(F.col("all_log") + F.coalesce("d", F.lit(0.0)) - F.col("n") * F.col("den"))
-    of_line = Window.partitionBy("line_id")
-    told = scored.select("line_id", "candidate", score.alias("score")).withColumn("e", F.exp(F.col("score") - F.max("score").over(of_line)))
-    ranked = told.withColumns({"p": F.col("e") / F.sum("e").over(of_line), "rank": F.row_number().over(of_line.orderBy(F.desc("score"), "candidate")).cast("long"), "top": F.first("candidate").over(of_line.orderBy(F.desc("score"), "candidate"))})
+    by_line = Window.partitionBy("line_id")
+    told = scored.select("line_id", "candidate", score.alias("score")).withColumn("e", F.exp(F.col("score") - F.max("score").over(by_line)))
+    ranked = told.withColumns({"p": F.col("e") / F.sum("e").over(by_line), "rank": F.row_number().over(by_line.orderBy(F.desc("score"), "candidate")).cast("long"), "top": F.first("candidate").over(by_line.orderBy(F.desc("score"), "candidate"))})
     truth = cut.select("line_id", F.col("speaker").alias("candidate"))
     return ranked.join(truth, ["line_id", "candidate"]).select("line_id", F.col("candidate").alias("speaker"), "rank", F.col("p").alias("p_true"), "top")
 
