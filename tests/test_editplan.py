@@ -93,3 +93,16 @@ def test_changes_show_sentences_in_order(spark):
         _, b, a = PAIRS[r.doc_id]
         assert r.before == (b[r.b_start : r.b_end].rstrip() if r.b_start is not None else "") and r.after == (a[r.a_start : r.a_end].rstrip() if r.a_start is not None else "")
     assert editplan.changes(pairs.limit(0)).collect() == []
+
+
+def test_both_sides_meet_by_exchange(spark, monkeypatch):
+    """Findings and records are not written small, to be broadcast then: they meet by document."""
+    found = spark.createDataFrame([(1, 0, "x/y"), (1, 25, "x/y"), (2, 5, "x/y")], "doc_id long, start long, rule_id string")
+    monkeypatch.setattr(editplan.C, "findings", lambda documents, p: found.join(documents.select("doc_id"), "doc_id", "left_semi"))
+    monkeypatch.setattr(editplan, "written", None)
+    told = editplan.tally(spark.createDataFrame([p for p in PAIRS if p[0] in (1, 2)], "doc_id long, original string, rewrite string"))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan and "FullOuter" not in plan
+    rows = {(r.doc_id, r.record, r.rule_id): (r.gone, r.remaining, r.added) for r in told.collect()}
+    # text 1 is 38 and 19 characters long: 25 lies in its second sentence, and in no sentence of the rewrite
+    assert rows == {(1, 0, "x/y"): (1, 0, 0), (1, 1, "x/y"): (0, 1, 0), (1, -1, "x/y"): (0, 0, 1), (2, 0, "x/y"): (0, 1, 0)}
