@@ -87,15 +87,15 @@ def attribution(lines: DataFrame, n: int = 5, min_lines: int = 20) -> DataFrame:
     sums = written(met.groupBy("line_id", "held", F.col("t.speaker").alias("speaker")).agg(F.sum("t.v").alias("v"), F.count("*").alias("n")), "dialogue-sums")
     common = sums.where("speaker is null").select("line_id", "held", F.col("v").alias("all_log"), "n")
     less = sums.where("speaker is not null").groupBy("line_id", "speaker").agg(F.sum("v").alias("d"))
-    of_line = cut.select("line_id", F.col("fold").alias("held")).join(common, ["line_id", "held"], "left").na.fill(0, ["all_log", "n"])  # lines without features too
+    of_line = cut.select("line_id", F.col("fold").alias("held")).join(exchanged(common), ["line_id", "held"], "left").na.fill(0, ["all_log", "n"])  # lines without features too
     candidates = of_line.join(base, "held").withColumnRenamed("speaker", "candidate")
-    scored = candidates.join(less.withColumnRenamed("speaker", "candidate"), ["line_id", "candidate"], "left")
+    scored = candidates.join(exchanged(less.withColumnRenamed("speaker", "candidate")), ["line_id", "candidate"], "left")
     score = -(F.col("all_log") + F.coalesce("d", F.lit(0.0)) - F.col("n") * F.col("den"))
     by_line = Window.partitionBy("line_id")
     told = scored.select("line_id", "candidate", score.alias("score")).withColumn("e", F.exp(F.col("score") - F.max("score").over(by_line)))
     ranked = told.withColumns({"p": F.col("e") / F.sum("e").over(by_line), "rank": F.row_number().over(by_line.orderBy(F.desc("score"), "candidate")).cast("long"), "top": F.first("candidate").over(by_line.orderBy(F.desc("score"), "candidate"))})
     truth = cut.select("line_id", F.col("speaker").alias("candidate"))
-    return ranked.join(truth, ["line_id", "candidate"]).select("line_id", F.col("candidate").alias("speaker"), "rank", F.col("p").alias("p_true"), "top")
+    return ranked.join(exchanged(truth), ["line_id", "candidate"]).select("line_id", F.col("candidate").alias("speaker"), "rank", F.col("p").alias("p_true"), "top")
 
 
 def accuracy(attributed: DataFrame) -> DataFrame:
